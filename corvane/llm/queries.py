@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import exact, sharding, simhash
+from corvane.llm import additive, chat, exact, quality, repeats, sharding, simhash
 from corvane.sources import table
 
 SHARDS = 24
@@ -33,8 +33,40 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+TRICKY = "\\### Assistant: </turn> ok"  # a text that looks like the template and like an escape
+
+
+def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
+    formatted = chat.format_paths(chat.paths(chat.linear_replies(turns.unionByName(tricky))))
+    said = chat.read_turns(F.col("formatted"))
+    learnt = F.array_join(chat.read_loss(F.col("formatted"), F.col("loss_spans")), "")
+    lines = F.transform("said", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
+    return formatted.select("tree", "formatted", said.alias("said"), learnt.alias("learnt")).select(
+        F.col("tree").alias("conv_id"),
+        F.size("said").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_shuffled_shards, op3_exact_dedup)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_shuffled_shards, op3_exact_dedup, op6_additive_quantisation, op7_quality_trees, op8_reply_trees, op10_suffix_trees)
 }
 
 SQL: dict[str, str] = {
@@ -43,4 +75,20 @@ SQL: dict[str, str] = {
                doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))
     """,
+    "op8_reply_trees": r"""
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(t, r)
+        ), escaped as (
+            select *, replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':', '\c') as r,
+                   replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e') as t
+            from turns
+        )
+        select conv_id, count(*) as n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+               cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+               sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+               cast(sum(length('### ' || r || ': ' || t || '</turn>' || chr(10))) as bigint) as formatted_chars
+        from escaped group by conv_id
+    """,
 }
