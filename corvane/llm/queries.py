@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import additive, chat, exact, quality, repeats, sharding, simhash
+from corvane.llm import additive, chat, exact, licences, mixing, pieces, quality, repeats, sharding, simhash
 from corvane.sources import table
 
 SHARDS = 24
@@ -33,6 +33,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("row.source").alias("source"),
+        F.round("share", 6).alias("share"),
+        "block",
+        "slot",
+        "place",
+        "in_mix",
+    )
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op6_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive.search(table(spark, sf_dir, "embeddings"))
 
@@ -61,14 +77,48 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("notices", F.array_join("notices", " "))
+
+
 def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_shuffled_shards, op3_exact_dedup, op6_additive_quantisation, op7_quality_trees, op8_reply_trees, op10_suffix_trees)
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_shuffled_shards,
+        op3_exact_dedup,
+        op4_pfair_mix,
+        op5_sentencepiece,
+        op6_additive_quantisation,
+        op7_quality_trees,
+        op8_reply_trees,
+        op9_licence_digests,
+        op10_suffix_trees,
+    )
 }
 
+
+def _canonical(text: str) -> str:
+    """SQL for licences.canonical."""
+    lines = f"string_split(lower(coalesce({text}, '')), chr(10))"
+    kept = f"array_to_string(list_filter({lines}, lambda x: not regexp_matches(x, '{licences.COPYRIGHT_LINE}')), ' ')"
+    words = f"' ' || trim(regexp_replace({kept}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for old, new in licences.SPELLINGS.items():
+        words = f"replace({words}, ' {old} ', ' {new} ')"
+    return f"trim({words})"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_KNOWN = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licences.KNOWN)
+
 SQL: dict[str, str] = {
     "op3_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
@@ -91,4 +141,56 @@ SQL: dict[str, str] = {
                cast(sum(length('### ' || r || ': ' || t || '</turn>' || chr(10))) as bigint) as formatted_chars
         from escaped group by conv_id
     """,
+    "op4_pfair_mix": f"""
+        with recursive sources as (
+            select case when source is null then '-' else '+' || source end as key, count(*) as n from documents group by 1
+        ), pooled as (
+            select key, case when n * {mixing.PERIOD} >= sum(n) over () then key else '{mixing.REST}' end as pool, n from sources
+        ), weighed as (
+            select pool, sum(n) as n, pow(sum(n), {mixing.POWER}) as w from pooled group by pool
+        ), parts as (
+            select pool, n, w / sum(w) over () as share, cast(greatest(1, round(w / sum(w) over () * {mixing.PERIOD})) as bigint) as p,
+                   row_number() over (order by pool) as i
+            from weighed
+        ), one as (
+            select list(p order by i) as ps, cast(sum(p) as bigint) as period from parts
+        ), edf(t, done, pick) as (
+            select cast(-1 as bigint), list_transform(ps, lambda x: cast(0 as bigint)), cast(0 as bigint) from one
+            union all
+            select t + 1, list_transform(done, lambda d, j: d + case when j = i then 1 else 0 end), i
+            from (
+                select t, done, period, list_sort(list_transform(range(1, len(ps) + 1), lambda j: {{
+                    'late': (done[j] * period) // ps[j] > t + 1, 'due': ((done[j] + 1) * period + ps[j] - 1) // ps[j], 'j': j
+                }}))[1].j as i
+                from edf cross join one where t + 1 < period
+            )
+        ), slots as (
+            select t as slot, pick as i, row_number() over (partition by pick order by t) - 1 as turn from edf where t >= 0
+        ), ended as (
+            select min((n // {mixing.BLOCK_ROWS} // p) * period + slot) as stop
+            from parts join slots using (i) cross join one where pool <> '{mixing.REST}' and turn = n // {mixing.BLOCK_ROWS} % p
+        ), placed as (
+            select doc_id, source, share, i, p, row_number() over (
+                partition by i order by md5('0 ' || coalesce(cast(doc_id as varchar), 'null ' || coalesce(text, ''))), text) - 1 as nth
+            from documents join pooled on key = case when source is null then '-' else '+' || source end join parts using (pool)
+        )
+        select doc_id, source, round(share, 6) as share, nth // {mixing.BLOCK_ROWS} as block,
+               (nth // {mixing.BLOCK_ROWS} // p) * period + slot as slot, cast(nth % {mixing.BLOCK_ROWS} as integer) as place,
+               (nth // {mixing.BLOCK_ROWS} // p) * period + slot < stop as in_mix
+        from placed cross join one cross join ended join slots on slots.i = placed.i and turn = nth // {mixing.BLOCK_ROWS} % p
+    """,
+    "op9_licence_digests": f"""
+        with known as (
+            select sha256({_canonical("text")}) as digest, min(licence) as licence from (values {_KNOWN}) v(licence, text) group by 1
+        ), lines as (
+            select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents
+        ), notices as (
+            select doc_id, string_agg(distinct licence, ' ' order by licence) as notices, count(*) as n
+            from lines join known on digest = sha256({_canonical("line")}) group by doc_id
+        ), texts as (
+            select doc_id, sha256({_canonical("text")}) as text_digest from documents
+        )
+        select doc_id, text_digest, licence, coalesce(notices, '') as notices, coalesce(n, 0) as n_notices
+        from texts left join known on digest = text_digest left join notices using (doc_id)
+    """,
 }
