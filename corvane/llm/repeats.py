@@ -156,7 +156,10 @@ _NOWHERE = -1
 
 
 def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(u1, u2, data, copies): each text once, by 95 bits of hashes. Copies within a task are joined before the shuffle."""
+    """(u1, u2, data, copies): each text once, by 95 bits of hashes. Copies within a task are joined before the shuffle.
+
+    Whatever reads it should read all columns: then Spark shuffles the texts once for all its uses.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*_ids(text), text.cast("binary").alias("data"))
 
@@ -184,7 +187,9 @@ def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     ["u1", "u2", "data", "copies"],
                 )
 
-    sent = rows.mapInArrow(first_of_each, "u1 long, u2 int, data binary, copies long").repartition("u1", "u2")
+    sent = rows.mapInArrow(first_of_each, "u1 long, u2 int, data binary, copies long")
+    # joins would add this filter to some uses and not to others; with the same plan everywhere the texts move once
+    sent = sent.where("u1 is not null and u2 is not null").repartition("u1", "u2")
     return sent.groupBy("u1", "u2").agg(F.first("data", ignorenulls=True).alias("data"), F.sum("copies").alias("copies"))
 
 
@@ -218,7 +223,7 @@ def _ends(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 )
 
     # rows of ends known to be common go by their text, here = -1
-    sent = texts.select("u1", "u2", "data").mapInArrow(run, "key long, here int, u1 long, at long")
+    sent = texts.mapInArrow(run, "key long, here int, u1 long, at long")
     group = Window.partitionBy("key", F.col("here") < 0)
     common = (F.col("here") < 0) | (F.max("here").over(group) >= COMMON_HERE) | (F.count(F.lit(1)).over(group) >= COMMON)
     repeated = (F.col("here") < 0) | (F.count(F.lit(1)).over(group) > 1)
@@ -351,7 +356,7 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     runs is an array of structs (start, n): n windows from word `start` on. The words that they cover are the text's
     maximal repeats. Copies of whole texts are not looked at.
     """
-    flagged = texts.select("u1", "u2", "data").join(_ends(texts, window, gram), ["u1", "u2"])
+    flagged = texts.join(_ends(texts, window, gram), ["u1", "u2"])
     return (
         _meet(_suffixes(flagged, window, gram))
         .groupBy("u1", "u2")
