@@ -92,7 +92,8 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
         .where(F.col("branch_rank") <= best)
     )
     on = chosen.select("tree", "leaf", "branch_rank", "branch_score", F.col("leaf").alias("node"), (F.col("steps") - 1).alias("place"))
-    for k, jump in enumerate(jumps):  # the path so far covers 2^k steps up from the leaf; the jump doubles it
+    # the largest jump first: then each step doubles the rows, and all steps together make twice the path
+    for k, jump in reversed(list(enumerate(jumps))):
         both = F.array(F.struct("node", "place"), F.struct(F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place")))
         on = (
             on.join(jump, ["tree", "node"], "left")
