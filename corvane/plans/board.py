@@ -13,9 +13,14 @@ from corvane.sources import table
 STATUS = {"O": "ACTIVE", "F": "EXPIREE", "P": "ARCHIVEE"}
 
 
-def opportunities(spark: SparkSession, d: str) -> DataFrame:
-    """id, titre, type_opportunite, statut, date_publication, date_limite, organisation_id."""
+def opportunities(spark: SparkSession, d: str, only: str | None = None) -> DataFrame:
+    """id, titre, type_opportunite, statut, date_publication, date_limite, organisation_id.
+
+    only: a status; the filter is on the stored code, so that it reaches the scan.
+    """
     o = table(spark, d, "orders")
+    if only is not None:
+        o = o.where(F.col("o_orderstatus") == next(k for k, v in STATUS.items() if v == only))
     status = F.when(F.col("o_orderstatus") == "O", "ACTIVE").when(F.col("o_orderstatus") == "F", "EXPIREE").otherwise("ARCHIVEE")
     day = F.to_date("o_orderdate")
     return o.select(
@@ -29,10 +34,14 @@ def opportunities(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def with_source_id(spark: SparkSession, d: str) -> DataFrame:
-    """opportunities with source_id, which their organisation gives."""
+def active(spark: SparkSession, d: str) -> DataFrame:
+    return opportunities(spark, d, "ACTIVE")
+
+
+def with_source_id(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """opportunities, or `rows` of them, with source_id, which their organisation gives."""
     org = table(spark, d, "customer").select(F.col("c_custkey").alias("organisation_id"), F.col("c_nationkey").alias("source_id"))
-    return opportunities(spark, d).join(org, "organisation_id")
+    return (opportunities(spark, d) if rows is None else rows).join(org, "organisation_id")
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:

@@ -40,10 +40,10 @@ ORDERABLE = ["date_publication", "date_limite", "date_creation"]
 """)
 def browse_page(spark: SparkSession, d: str) -> DataFrame:
     """The first page of active opportunities of one type with their sources."""
-    rows = board.with_source_id(spark, d).where(P.every(F.col("statut") == "ACTIVE", P.equals_or_any(F.col("type_opportunite"), "2-HIGH")))
-    # the page is cut before the source is joined, so that 20 rows meet it
-    page = listing.page(rows, listing.order(None, ORDERABLE, "-date_publication"), 1)
-    out = nest.with_parent(page, F.broadcast(board.sources(spark, d)), "source_id", "source")
+    rows = board.active(spark, d).where(P.every(P.equals_or_any(F.col("type_opportunite"), "2-HIGH")))
+    # the page is cut before organisations and sources are joined, so that 20 rows meet them
+    page = F.broadcast(listing.page(rows, listing.order(None, ORDERABLE, "-date_publication"), 1))
+    out = nest.with_parent(board.with_source_id(spark, d, page), F.broadcast(board.sources(spark, d)), "source_id", "source")
     return out.select(
         "id", "titre", "type_opportunite", "statut", "date_publication", "date_limite", "organisation_id", "source_id",
         F.col("source.nom").alias("source_nom"), F.col("source.type_source").alias("type_source"),
@@ -53,7 +53,7 @@ def browse_page(spark: SparkSession, d: str) -> DataFrame:
 @query("select count(*) as count from opportunite where statut = 'ACTIVE'")
 def page_count(spark: SparkSession, d: str) -> DataFrame:
     """A1"""
-    return board.opportunities(spark, d).where("statut = 'ACTIVE'").agg(F.count(F.lit(1)).alias("count"))
+    return board.active(spark, d).agg(F.count(F.lit(1)).alias("count"))
 
 
 @query("""
@@ -63,7 +63,7 @@ def page_count(spark: SparkSession, d: str) -> DataFrame:
 """)
 def page_envelope(spark: SparkSession, d: str) -> DataFrame:
     """K2 L3"""
-    return listing.envelope(board.opportunities(spark, d).where("statut = 'ACTIVE'"), 3)
+    return listing.envelope(board.active(spark, d), 3)
 
 
 @query("""
@@ -73,7 +73,7 @@ def page_envelope(spark: SparkSession, d: str) -> DataFrame:
 def ordered_page(spark: SparkSession, d: str) -> DataFrame:
     """Page 2 in an order of the caller's choice; an unknown name is dropped."""
     by = listing.order("-date_limite,salary,date_publication", ORDERABLE, "-date_publication")
-    return listing.page(board.opportunities(spark, d).where("statut = 'ACTIVE'").select("id", "date_limite", "date_publication"), by, 2)
+    return listing.page(board.active(spark, d).select("id", "date_limite", "date_publication"), by, 2)
 
 
 @query("""
@@ -82,7 +82,7 @@ def ordered_page(spark: SparkSession, d: str) -> DataFrame:
 """)
 def last_page(spark: SparkSession, d: str) -> DataFrame:
     """L2: the page named last, with its bounds checked."""
-    rows = board.opportunities(spark, d).where("statut = 'ACTIVE'").select("id", "date_publication")
+    rows = board.active(spark, d).select("id", "date_publication")
     return listing.paginate(rows, listing.order("", ORDERABLE, "-date_publication"), "last").results
 
 
@@ -102,7 +102,7 @@ def source_listing(spark: SparkSession, d: str) -> DataFrame:
 @query("select id, type_opportunite, statut from opportunite where statut = 'ACTIVE' and statut = 'ARCHIVEE' union all select id, type_opportunite, statut from opportunite where statut = 'ACTIVE' and organisation_id = 7")
 def status_filter(spark: SparkSession, d: str) -> DataFrame:
     """The caller's status is a further condition, so any but ACTIVE gives nothing; the second part has rows."""
-    rows = board.opportunities(spark, d).where("statut = 'ACTIVE'").select("id", "type_opportunite", "statut", "organisation_id")
+    rows = board.active(spark, d).select("id", "type_opportunite", "statut", "organisation_id")
     none = rows.where(P.every(P.equals_or_any(F.col("statut"), "ARCHIVEE")))
     some = rows.where(P.every(P.equals_or_any(F.col("statut"), ""), P.equals_or_any(F.col("organisation_id"), 7)))
     return none.unionByName(some).drop("organisation_id")
@@ -111,7 +111,22 @@ def status_filter(spark: SparkSession, d: str) -> DataFrame:
 @query("select id, type_opportunite from sourced where statut = 'ACTIVE' and source_id = 3")
 def source_filter(spark: SparkSession, d: str) -> DataFrame:
     """F4"""
-    return board.with_source_id(spark, d).where((F.col("statut") == "ACTIVE") & (F.col("source_id") == 3)).select("id", "type_opportunite")
+    return board.with_source_id(spark, d, board.active(spark, d)).where(F.col("source_id") == 3).select("id", "type_opportunite")
+
+
+@query("""
+    select o.id, statut, count(c.line) as n, coalesce(string_agg(c.line || ' ' || c.st, ', ' order by c.line, c.st), '') as documents
+    from (select id, statut from opportunite where organisation_id = 7 order by id limit 20) o
+    left join (select opportunite_id, line, statut as st from candidature) c on c.opportunite_id = o.id group by o.id, statut
+""")
+def nested_page(spark: SparkSession, d: str) -> DataFrame:
+    """A caller's page of parents with their children; the page is cut before children are grouped."""
+    rows = board.opportunities(spark, d).where("organisation_id = 7").select("id", "statut")
+    page = F.broadcast(listing.page(rows, listing.order("id", [], "id"), 1))
+    children = nest.members(board.applications(spark, d), page.select(F.col("id").alias("opportunite_id")), "opportunite_id")
+    out = nest.with_children(page, children, "opportunite_id", "documents", ["line", "statut"])
+    shown = F.transform("documents", lambda x: F.concat_ws(" ", x.line.cast("string"), x.statut))
+    return out.select("id", "statut", F.size("documents").cast("long").alias("n"), F.array_join(shown, ", ").alias("documents"))
 
 
 @query("select opportunite_id, candidat_id, statut, line, date_creation from candidature where candidat_id = 7")
