@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.llm.common import cut
 
@@ -160,10 +161,11 @@ def exact_duplicates(
         lead = members.groupBy(*group).agg(F.max(F.struct("doc_id", "sha")).alias("lead"), F.count(F.lit(1)).alias("size"))
         return members.join(lead.where("size > 1"), group)
 
-    # the texts of rows that share fingerprint and length with another row
-    wanted = led(rows.select("doc_id", "sha", *group)).select(
+    # the texts of rows that share fingerprint and length with another row; rows repeated with their id count once. The
+    # join comes last, so that it can be split where a group is large
+    wanted = led(rows.select("doc_id", "sha", *group).distinct()).select(
         F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), *group
-    ).distinct()
+    )
     texts = (
         data.withColumn("sha", F.sha2("data", 256))
         .join(wanted.hint("shuffle_hash"), F.col("sha").eqNullSafe(F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")))
@@ -205,7 +207,5 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_semi")
     # rows repeated with id and text are in one partition by now, next to each other
-    from pyspark.sql.window import Window
-
     nth = F.row_number().over(Window.partitionBy("doc_id", sha).orderBy("doc_id"))
     return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
