@@ -170,9 +170,9 @@ def exact_duplicates(
         data.withColumn("sha", F.sha2("data", 256))
         .join(wanted.hint("shuffle_hash"), F.col("sha").eqNullSafe(F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")))
         .drop("_id", "_sha")
+        .dropDuplicates(["doc_id", "sha"])
     )
-    texts, turn, split = cut(texts), 0, None
-    open_texts = texts
+    open_texts, turn, split = cut(texts), 0, None
     while True:
         verdict = cut(_compare(led(open_texts), chunk_bytes).where("not same").select("doc_id", "sha"))
         if verdict.isEmpty():

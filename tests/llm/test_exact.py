@@ -53,3 +53,9 @@ def test_empty_table_and_stage(spark):
     kept = exact.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     assert len({r.text or "" for r in kept.collect()}) == kept.count() == len({r.text or "" for r in docs.collect()})
+
+
+def test_rows_repeated_very_often(spark):
+    rows = [(7, "again and again", None, None, 0)] * 3000 + [(8, "again and again", None, None, 0), (None, "again and again", None, None, 0)]
+    docs = spark.createDataFrame(rows, fx.DOCS)
+    assert fx.rows(exact.exact_duplicates(docs)) == expected(docs.collect())
