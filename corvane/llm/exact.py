@@ -201,11 +201,15 @@ def exact_duplicates(
     )
 
 
+def _row_key(doc_id: Column, sha: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), sha)
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that exact dedup keeps, with their columns."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_semi")
-    # rows repeated with id and text are in one partition by now, next to each other
-    nth = F.row_number().over(Window.partitionBy("doc_id", sha).orderBy("doc_id"))
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    kept = exact_duplicates(docs).where("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
+    key = _row_key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    # rows repeated with id and text have one key; join and window use the same partitions, so the texts move once
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    rows = docs.withColumn("_key", key).join(kept, "_key", "left_semi").withColumn("_nth", nth)
+    return rows.where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
