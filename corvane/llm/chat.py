@@ -47,27 +47,24 @@ def linear_replies(turns: DataFrame) -> DataFrame:
 
 
 def _ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Jumps (tree, node, up) of 1, 2, 4 .. steps, and (tree, node, total, steps) summed from each node to its root."""
+    """Jumps (tree, node, up) of 1, 2, 4 .. steps, and (tree, node, total, steps) summed from each node to its root.
+
+    Nodes that have come to their root take no further part, so a few deep trees do not make all others go on.
+    """
     known = nodes.select("tree", F.col("node").alias("parent"))
-    reach = cut(
-        nodes.join(known, ["tree", "parent"], "left_semi")
-        .select("tree", "node", F.col("parent").alias("up"), "score")
-        .unionByName(nodes.join(known, ["tree", "parent"], "left_anti").select("tree", "node", F.lit(None).cast("long").alias("up"), "score"))
-        .select("tree", "node", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
-    )
+    columns = ["tree", "node", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")]
+    going = cut(nodes.join(known, ["tree", "parent"], "left_semi").withColumn("up", F.col("parent")).select(*columns))
+    done = cut(nodes.join(known, ["tree", "parent"], "left_anti").withColumn("up", F.lit(None).cast("long")).select(*columns))
     jumps = []
-    while len(jumps) <= MOST_JUMPS:
-        jump = reach.where("up is not null").select("tree", "node", "up")
-        if jump.isEmpty():
-            return jumps, reach
-        jumps.append(jump)
-        above = reach.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("steps").alias("s2"))
-        reach = cut(
-            reach.join(above, ["tree", "up"], "left").select(
-                "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps")
-            )
-        )
-    raise ValueError("the replies form a cycle")
+    while not going.isEmpty():
+        if len(jumps) == MOST_JUMPS:
+            raise ValueError("the replies form a cycle")
+        jumps.append(going.select("tree", "node", "up"))
+        above = going.unionByName(done).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("steps").alias("s2"))
+        total, steps = (F.col("total") + F.col("t2")).alias("total"), (F.col("steps") + F.col("s2")).alias("steps")
+        step = cut(going.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), total, steps))
+        going, done = step.where("up is not null"), done.unionByName(step.where("up is null"))
+    return jumps, done
 
 
 def paths(messages: DataFrame, best: int = 1) -> DataFrame:

@@ -68,3 +68,12 @@ def test_best_paths_of_trees(spark):
 def test_empty_table_and_cycle(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_paths(chat.paths(chat.linear_replies(none))).collect() == []
+
+
+def test_cycles_are_refused(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(chat, "MOST_JUMPS", 5)
+    ring = spark.createDataFrame([(1, 1, 2, "user", "a", 0.0), (1, 2, 1, "user", "b", 0.0)], "tree long, node long, parent long, role string, text string, score double")
+    with pytest.raises(ValueError, match="cycle"):
+        chat.paths(ring)
