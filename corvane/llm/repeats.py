@@ -37,7 +37,8 @@ COMMON_HERE, COMMON = 8, 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(11).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
-_FACTOR, _WORD_FACTOR = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so they have inverses modulo 2^64
+# odd, so they have inverses modulo 2^64
+_FACTOR, _WORD_FACTOR, _SECOND_FACTOR = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -77,6 +78,18 @@ def _sliding(f: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
     return f(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
 
 
+def _classes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with equal keys: the first row of each class, the class of each row, the size of each class."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which, np.bincount(which)
+
+
 class _Texts:
     """Words and hashes of some texts that lie one behind the other."""
 
@@ -104,6 +117,7 @@ class _Texts:
         sums, at = _sums(hashes, _WORD_FACTOR), np.arange(n)
         self.grams = _mix(_between(sums, at[: n - gram + 1], at[gram - 1 :] + 1, _WORD_FACTOR)) | np.uint64(1)
         self.windows = _mix(_between(sums, at[: n - window + 1], at[window - 1 :] + 1, _WORD_FACTOR) + np.uint64(1))
+        self._hashes = hashes
         whole = self.text[: n - window + 1] == self.text[window - 1 :]
         #: of the grams in the window from each word; 0 where a window would leave its text
         self.least = np.where(whole, _sliding(np.minimum, self.grams, window - gram + 1), np.uint64(0))
@@ -124,6 +138,10 @@ class _Texts:
         chosen[ends] = self.grams[ends]
         return _sliding(np.minimum, chosen, self.window - self.gram + 1) == self.least
 
+    def second(self, at: np.ndarray) -> np.ndarray:
+        """Another hash of the windows from the words `at`."""
+        return _mix(_between(_sums(self._hashes, _SECOND_FACTOR), at, at + self.window, _SECOND_FACTOR) + np.uint64(2))
+
     def place(self, at: np.ndarray) -> np.ndarray:
         """The number of each word in its text."""
         return at - self.first[self.text[at]]
@@ -208,7 +226,7 @@ def _ends(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 key, u1, u2 = t.grams[ends] if len(ends) else ends.astype(np.uint64), _column(b, "u1", at, to), _column(b, "u2", at, to)
                 text = t.text[ends]
                 own = (key.view(np.int64), u1[text], _at(u2[text], t.place(ends)))
-                _, one, which, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                one, which, count = _classes(key)
                 here = count[which]
                 few, many = here < COMMON_HERE, np.flatnonzero(here >= COMMON_HERE)
                 told = one[count >= COMMON_HERE]  # one row says for other batches that the end is common
@@ -286,17 +304,17 @@ def _suffixes(flagged: DataFrame, window: int, gram: int) -> DataFrame:
 
                 # by the window itself
                 single = np.flatnonzero(common)
-                _, one, which, count = np.unique(t.windows[single], return_index=True, return_inverse=True, return_counts=True)
+                key = t.second(single)
+                one, which, count = _classes(t.windows[single], key)
                 known[single[count[which] > 1]] = True
                 s = single[one]
                 if len(s):
-                    yield rows(t.windows[s], u1[text[s]], u2[text[s]], t.place(s), np.ones(len(s), np.int64), t.windows[s])
+                    yield rows(key[one], u1[text[s]], u2[text[s]], t.place(s), np.ones(len(s), np.int64), t.windows[s])
 
                 # by the end of the prefix; the first and last window say what a run of up to `window` windows holds
                 s, n = _stretches(rare, t.least, text)
                 if len(s):
-                    told = _mix(t.windows[s] + _mix(t.windows[s + n - 1] + n.astype(np.uint64)))
-                    _, one, which, count = np.unique(told, return_index=True, return_inverse=True, return_counts=True)
+                    one, which, count = _classes(t.windows[s], t.windows[s + n - 1], n)
                     again = (count[which] > 1) & (n <= window)
                     for i in np.flatnonzero(again):
                         known[s[i] : s[i] + n[i]] = True
@@ -322,8 +340,8 @@ def _meet(suffixes: DataFrame) -> DataFrame:
         known = col.is_null().to_numpy(zero_copy_only=False)
         own = np.where(known, 0, n)
         hashes = np.frombuffer(b"".join(x for x in col.to_pylist() if x), np.uint64)
-        _, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(n)), own)
+        _, which, count = _classes(hashes, table.column("key").to_numpy()[row])
         s, m = _stretches(count[which] > 1, row) if len(hashes) else (np.zeros(0, np.int64),) * 2
         inside = s - (np.cumsum(own) - own)[row[s]]
         take = np.concatenate([row[s], np.flatnonzero(known)]).astype(np.int64)
