@@ -64,6 +64,8 @@ def _ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         total, steps = (F.col("total") + F.col("t2")).alias("total"), (F.col("steps") + F.col("s2")).alias("steps")
         step = cut(going.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), total, steps))
         going, done = step.where("up is not null"), done.unionByName(step.where("up is null"))
+        if len(jumps) % 3 == 0:  # plans stay small on the driver
+            done = cut(done)
     return jumps, done
 
 
@@ -97,6 +99,8 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
             .withColumn("at", F.explode(F.filter(both, lambda x: x.node.isNotNull())))
             .select("tree", "leaf", "branch_rank", "branch_score", "at.node", "at.place")
         )
+        if k and k % 4 == 0:
+            on = cut(on)
     return on.join(trees.select("tree", "node", "tree_id", "role", "text"), ["tree", "node"]).select(
         F.col("tree").alias("_key"), F.col("tree_id").alias("tree"), "leaf", "branch_rank", "branch_score", "place", "role", "text"
     )
