@@ -7,6 +7,9 @@ itself, since short notices stand on lines of their own.
 """
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ _ISC_WARRANTY = (
     "IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
 #: Fixed values: (SPDX identifier, text), whole licences and the notices that stand for them.
-KNOWN = (
+_FIRST = (
     (
         "MIT",
         "MIT License\n\nCopyright (c) <year> <copyright holders>\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this "
@@ -56,6 +59,72 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+#: SPDX identifiers, files of whole texts, and names that notices use.
+_FOLDER = Path(__file__).with_name("licence_texts")
+_FILES = {
+    "Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2-only": "GFDL-1.2", "GFDL-1.3-only": "GFDL-1.3",
+    "GPL-1.0-only": "GPL-1", "GPL-2.0-only": "GPL-2", "GPL-3.0-only": "GPL-3", "LGPL-2.0-only": "LGPL-2", "LGPL-2.1-only": "LGPL-2.1",
+    "LGPL-3.0-only": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+_NAMES = {
+    "MIT": ("the MIT License", "the MIT license (MIT)", "MIT"),
+    "ISC": ("the ISC License", "ISC"),
+    "0BSD": ("the Zero-Clause BSD License", "0BSD"),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "the 2-Clause BSD License", "the Simplified BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "the 3-Clause BSD License", "the New BSD License", "the Modified BSD License", "BSD-3-Clause"),
+    "Apache-2.0": ("the Apache License, Version 2.0", 'the Apache License, Version 2.0 (the "License")', "the Apache License 2.0", "the Apache 2.0 License", "Apache-2.0"),
+    "MPL-2.0": ("the Mozilla Public License, Version 2.0", "the Mozilla Public License 2.0", "MPL-2.0"),
+    "GPL-2.0-only": ("the GNU General Public License, version 2", "the GNU General Public License v2.0", "the GNU GPL v2", "GPL-2.0-only"),
+    "GPL-3.0-only": ("the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GNU GPL v3", "GPL-3.0-only"),
+    "GPL-2.0-or-later": ("the GNU General Public License, version 2 or later", "GPL-2.0-or-later"),
+    "GPL-3.0-or-later": ("the GNU General Public License, version 3 or later", "GPL-3.0-or-later"),
+    "LGPL-2.1-only": ("the GNU Lesser General Public License, version 2.1", "LGPL-2.1-only"),
+    "LGPL-3.0-only": ("the GNU Lesser General Public License, version 3", "LGPL-3.0-only"),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0"),
+    **{
+        f"CC-{k.replace(' ', '-')}-4.0": (f"CC {k} 4.0", f"a Creative Commons {name} 4.0 International License", f"the Creative Commons {name} 4.0 International License")
+        for k, name in {
+            "BY": "Attribution", "BY SA": "Attribution-ShareAlike", "BY ND": "Attribution-NoDerivatives", "BY NC": "Attribution-NonCommercial",
+            "BY NC SA": "Attribution-NonCommercial-ShareAlike", "BY NC ND": "Attribution-NonCommercial-NoDerivatives",
+        }.items()
+    },
+}
+_LEADS = ("", "Released", "Distributed", *(f"This {x} is {y}" for x in ("work", "project", "software", "program", "library", "file", "code") for y in ("licensed", "released", "distributed")))
+
+
+def _bsd() -> list[tuple[str, str]]:
+    """The two BSD licences with numbers, bullets and titles, and the university's own."""
+    own = (_FOLDER / "BSD").read_text()
+    three = own.replace("the University", "the copyright holder").replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR")
+    two = re.sub(r"3\. Neither.*?permission\.\n", "", three, flags=re.S)
+    out = [("BSD-3-Clause", own)]
+    for name, text, titles in (("BSD-2-Clause", two, ("BSD 2-Clause License",)), ("BSD-3-Clause", three, ("BSD 3-Clause License",))):
+        for form in (text, re.sub(r"(?m)^\d\. ", "* ", text)):
+            out += [(name, form), *((name, f"{t}\n\n{form}") for t in titles)]
+    return out
+
+
+def _known() -> tuple:
+    """All known texts, each canonical form once."""
+    rows = list(_FIRST)
+    mit, isc, zero = (t for _, t in _FIRST[:3])
+    rows += [("MIT", mit.split("\n\n", 1)[1]), ("MIT", mit.replace("MIT License", "The MIT License (MIT)", 1)), ("MIT", mit.replace("MIT License", "The MIT License", 1))]
+    rows += [("ISC", isc.split("\n\n", 1)[1]), ("ISC", isc.replace("and/or", "and")), ("ISC", isc.split("\n\n", 1)[1].replace("and/or", "and"))]
+    rows += [("0BSD", zero.split("\n\n", 1)[1]), ("0BSD", zero.replace("Zero-Clause BSD", "BSD Zero Clause License"))]
+    rows += [(i, (_FOLDER / f).read_text()) for i, f in _FILES.items()] + _bsd()
+    for i, names in _NAMES.items():
+        rows.append((i, f"SPDX-License-Identifier: {i}"))
+        for name in names:
+            rows += [(i, (f"{lead} under {name}." if lead else f"Licensed under {name}.")) for lead in _LEADS]
+            rows += [(i, f"License: {name.removeprefix('the ')}")]
+    once = {}
+    for i, t in rows:
+        once.setdefault(" ".join(re.findall(r"[^\W_]+", t.lower())), (i, t))
+    return tuple(once.values())
+
+
+KNOWN = _known()
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; a null text has that of an empty one."""

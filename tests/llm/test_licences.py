@@ -52,3 +52,17 @@ def test_documents_table(spark):
 def test_known_texts_differ(spark):
     assert L.known_digests(spark).count() == len(L.KNOWN)
     assert spark.range(1).select(L.digest(F.lit(None).cast("string"))).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_whole_texts_and_wordings(spark):
+    folder = "/usr/share/common-licenses/"
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    texts = [(open(folder + f).read(), i) for f, i in files.items()]
+    lines = {
+        "This project is licensed under the MIT license.": "MIT", "# SPDX-License-Identifier: MPL-2.0": "MPL-2.0", "Released under the BSD 3-Clause License": "BSD-3-Clause",
+        '   Licensed under the Apache License, Version 2.0 (the "License");': "Apache-2.0", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+    }
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate([t for t, _ in texts] + ["x\n" + x for x in lines])], fx.DOCS)
+    got = {r.doc_id: r for r in L.scan(docs).collect()}
+    assert [got[k].licence for k in range(len(texts))] == [i for _, i in texts]
+    assert [got[len(texts) + k].notices for k in range(len(lines))] == [[i] for i in lines.values()]
