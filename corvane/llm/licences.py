@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lines that carry a copyright notice only, after lower case; and spellings that count as the same.
+#: Lines that text_digest drops, those that begin with a copyright notice, after lower case; and spellings that count as the same.
 COPYRIGHT_LINE = r"^[^a-z0-9©]*(copyright\b|copr\.|\(c\)|©|all rights reserved)"
 SPELLINGS = {
     "https": "http", "licence": "license", "licenced": "licensed", "licences": "licenses", "sublicence": "sublicense", "organisation": "organization",
@@ -22,6 +22,25 @@ SPELLINGS = {
     "noninfringement": "non infringement", "recognised": "recognized", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 
+#: A copyright notice by itself, after lower case: mark, then a holder up to the end of the line or the
+#: sentence, or to the words that licences and notices open with. It stands at the start of a line or behind a title.
+#: "copyright" that goes on as licence wording is no notice.
+_WORDING = (
+    r"(?:holders?|owners?)\b(?!\s*:)|(?:notices?|laws?|licen[sc]es?|licensed|licensing|interests?|statements?|protection|rights?|infringements?|disclaimers?|lines?|"
+    r"treat(?:y|ies)|status|act|acts|and|or|on|in|of|is|are|was|to|for|that|which|may|shall|can|will|as|with|under|permission|claims?|ownership|terms?|information|material)\b"
+)
+_MARK = rf"(?:(?:copyright|copr\.)(?=[\s:(©<\[{{])(?!\s+(?:{_WORDING}))|\(c\)(?=\s*[\d<\[{{])|©)"
+_OPENING = (
+    r"(?:permission (?:is hereby granted|to use)|redistribution and use|everyone is permitted|(?:licensed|released|distributed|available) under|"
+    r"this (?:work|project|software|program|library|file|code) is|licen[sc]e:|spdx-license-identifier)"
+)
+_STOP = rf"\b{_OPENING}|(?<=\.)(?<!(?:[\s.]\p{{L}}|\b(?:inc|ltd|corp|co|jr|sr|dr|st|llc|gmbh))\.)[ \t]+(?!all rights reserved|<|http)(?=[\p{{L}}\"“(])"
+NOTICE = (
+    rf"(?m)(?:^[^\p{{L}}\p{{N}}©(\n]*|(?<=\blicen[sc]e)[ \t:.-]+|(?<=\((?:mit|isc)\))[ \t:.-]+){_MARK}[^\n]*?(?=$|{_STOP})"
+    r"|^[^\p{L}\p{N}\n]*all rights reserved\b[.!]?"
+)
+MAY_HOLD_NOTICE = r"copyright|copr\.|\(c\)|©|all rights reserved"
+
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
     "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
@@ -129,8 +148,17 @@ KNOWN = _known()
 def canonical(text: Column) -> Column:
     """The canonical form of a text; a null text has that of an empty one."""
     lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n")
-    words = F.array_join(F.filter(lines, lambda line: ~line.rlike(COPYRIGHT_LINE)), " ")
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(words, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    return _words(F.array_join(F.filter(lines, lambda line: ~line.rlike(COPYRIGHT_LINE)), " "))
+
+
+def without_notices(text: Column) -> Column:
+    """The form by which licences are looked up: as canonical(), but only notices go, not what else is on their lines."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    return _words(F.when(lower.rlike(MAY_HOLD_NOTICE), F.regexp_replace(lower, NOTICE, " ")).otherwise(lower))
+
+
+def _words(lower: Column) -> Column:
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for old, new in SPELLINGS.items():
         words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
     return F.trim(words)
@@ -140,26 +168,31 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def lookup_digest(text: Column) -> Column:
+    return F.sha2(without_notices(text), 256)
+
+
 def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
     """(digest, licence), as many rows as `known` at most."""
     rows = spark.createDataFrame([(t, i) for i, t in known], "text string, licence string")
-    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"))
+    return rows.groupBy(lookup_digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
 def scan(docs: DataFrame, known: tuple = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, text_digest, licence, notices, n_notices.
 
     licence is that of the whole text, null if it is not a known one. notices are the licences that single lines name,
-    sorted, each once; n_notices counts the lines. Null texts count as empty. Texts whose canonical form is empty are no
+    sorted, each once; n_notices counts the lines. text_digest is of the canonical form, which loses lines that begin with a
+    copyright notice; look-ups keep what else stands on them. Null texts count as empty. Texts whose canonical form is empty are no
     licence. Columns other than the two named are not read.
     """
     digests = F.broadcast(known_digests(docs.sparkSession, known))  # bounded by `known`
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), digest(text).alias("text_digest"), F.split(text, "\n").alias("lines")
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), digest(text).alias("text_digest"), lookup_digest(text).alias("looked_up"), F.split(text, "\n").alias("lines")
     )
     # most lines are longer or shorter than any notice; the whole text is looked up with its lines
-    looked = rows.select("row", "doc_id", "text_digest", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text_digest").alias("digest"))), F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest"))))).alias("at"))
+    looked = rows.select("row", "doc_id", "text_digest", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("looked_up").alias("digest"))), F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), lookup_digest(x).alias("digest"))))).alias("at"))
     found = looked.select("row", "doc_id", "text_digest", "at.whole", "at.digest").join(digests, "digest", "left")
     notice = F.when(~F.col("whole"), F.col("licence"))
     return (

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -66,3 +67,17 @@ def test_whole_texts_and_wordings(spark):
     got = {r.doc_id: r for r in L.scan(docs).collect()}
     assert [got[k].licence for k in range(len(texts))] == [i for _, i in texts]
     assert [got[len(texts) + k].notices for k in range(len(lines))] == [[i] for i in lines.values()]
+
+
+def test_text_behind_a_notice(spark):
+    mit = L.KNOWN[0][1].replace("<year> <copyright holders>", "2020 A. N. Other, Inc.")
+    bare = mit.split("\n\n", 1)[1]
+    wrapped = lambda n: "\n".join(textwrap.wrap(bare.split("\n\n", 1)[1], n))
+    texts = [" ".join(mit.split()), " ".join(bare.split()), *("Copyright (c) 2020 X\n\n" + wrapped(n) for n in range(40, 100, 3)), bare.replace("Inc.", "Inc. All rights reserved.")]
+    texts += ["Copyright 2021 A. Licensed under CC BY-NC 4.0.", "x\n(c) 2019 Foo Ltd. Released under the MIT License."]
+    texts += ["Copyright 2020 Jane Doe. Selling is not allowed.\n" + bare, "Copyright licence terms forbid sale.\n" + bare]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], fx.DOCS)
+    got = [r for r in L.scan(docs).orderBy("doc_id").collect()]
+    assert [r.licence for r in got[:-4]] == ["MIT"] * (len(texts) - 4)
+    assert [r.notices for r in got[-4:-2]] == [["CC-BY-NC-4.0"], ["MIT"]]
+    assert [r.licence for r in got[-2:]] == [None, None]
