@@ -1,17 +1,26 @@
-"""What several operators share: the shared folder and connected components."""
+"""What several operators share: the shared folder, running sums, keys of rows and connected components."""
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+SUM_ROWS = 4096
 
 
 def use_shared_folder(spark: SparkSession) -> None:
-    """Point checkpoint() at spark.checkpoint.dir; only where that is unset (tests) at a folder of our own."""
+    """Point checkpoint() at spark.checkpoint.dir. Where that is unset, a local session (tests) gets a folder of its own.
+
+    A cluster without the setting is an error: executors would not see each other's files.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvane-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,6 +29,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def starts(sizes: DataFrame, keys: list[str], at: str, size: str, rows: int = SUM_ROWS) -> DataFrame:
+    """(keys, at, start): the sum of `size` before each `at`, by keys (never null).
+
+    Sums of blocks of `rows` numbers come first, so that a task orders `rows` rows, or one row for each of so many.
+    """
+    blocks = cut(sizes.select(*keys, at, size, F.expr(f"{at} div {rows}").alias("_block")))
+    before = lambda col, by, order: F.coalesce(
+        F.sum(col).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    whole = blocks.groupBy(*keys, "_block").agg(F.sum(size).alias("_sum"))
+    whole = whole.select(*keys, "_block", before("_sum", keys, "_block").alias("_before"))
+    inside = blocks.select(*keys, at, "_block", before(size, [*keys, "_block"], at).alias("_inside"))
+    return inside.join(whole, [*keys, "_block"]).select(*keys, at, (F.col("_before") + F.col("_inside")).alias("start"))
+
+
+def text_digest(text: Column) -> Column:
+    """The SHA-256 of a text in hex; a null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def one_row_of_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of `docs` for each pair (doc_id, text_digest of text) in `wanted`, which has each pair once; ids may be null.
+
+    Rows that repeat id and text are reduced to one in each task before they move, so they cannot gather in one.
+    """
+    key = lambda i, d: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), d)
+    names = docs.columns
+    keyed = docs.select(
+        key(F.col("doc_id"), text_digest(F.col("text"))).alias("_key"),
+        F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)]).alias("_row"),
+    )
+    once = keyed.groupBy("_key").agg(F.first("_row").alias("_row"))
+    kept = wanted.select(key(F.col("doc_id"), F.col("text_digest")).alias("_key"))
+    return once.join(kept, "_key", "left_semi").select(*[F.col(f"_row._{i}").alias(c) for i, c in enumerate(names)])
+
+
 def _state(edges: DataFrame) -> tuple:
     # wrapping sums of two independent hashes say whether the edge set has changed
     h = lambda seed: F.sum((F.xxhash64(F.lit(seed), "u", "v") / F.lit(2.0**20)).cast("long"))

@@ -14,9 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from corvane.llm.common import cut
+from corvane.llm.common import cut, one_row_of_each
 
 CHUNK_BYTES = 1 << 16
 HUGE_BYTES = 1 << 20
@@ -201,15 +200,7 @@ def exact_duplicates(
     )
 
 
-def _row_key(doc_id: Column, sha: Column) -> Column:
-    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), sha)
-
-
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that exact dedup keeps, with their columns."""
-    kept = exact_duplicates(docs).where("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
-    key = _row_key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    # rows repeated with id and text have one key; join and window use the same partitions, so the texts move once
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    rows = docs.withColumn("_key", key).join(kept, "_key", "left_semi").withColumn("_nth", nth)
-    return rows.where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = exact_duplicates(docs).where("kept")
+    return one_row_of_each(docs, kept.select("doc_id", F.col("text_sha256").alias("text_digest")))
