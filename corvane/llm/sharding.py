@@ -8,17 +8,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from corvane.llm.common import cut, starts
 
 BUCKET_BYTES = 16 << 20
+TASK_BYTES = 64 << 20
 LEAST_BUCKETS = 64
-
-
-def _mixed(id_col: Column, text: Column, seed: int) -> Column:
-    # only rows without an id are told apart by their text
-    return F.xxhash64(F.lit(seed), id_col, F.when(id_col.isNull(), text))
+REPEATS = 1000  # rows with one id and text that may share a bucket
+FEW = 100_000  # rows of 16 bytes that may be broadcast
 
 
 def shuffle_to_shards(
@@ -28,34 +27,41 @@ def shuffle_to_shards(
     id_col: str = "doc_id",
     text_col: str = "text",
     bucket_bytes: int = BUCKET_BYTES,
+    repeats: int = REPEATS,
 ) -> DataFrame:
     """(shard, slot, row) for each row of `docs`: shard from 0, slot gapless from 0 within it, row a struct of all columns.
 
     Shard sizes in rows differ by one at most. The order depends on ids, texts, the seed and the number of buckets, not
-    on partitions or retries. Null ids are scattered by text. Repeated rows are all kept. An empty table gives none. The
+    on partitions or retries. Rows that repeat id and text more than `repeats` times are scattered over buckets by their
+    place in the input, so that they do not gather in one. Null ids are scattered by text. An empty table gives none. The
     struct keeps extra columns apart, so that names such as shard or slot do not clash.
     """
-    text = F.col(text_col)
+    text, spark = F.col(text_col), docs.sparkSession
+    told = F.xxhash64(F.lit(seed), F.col(id_col), text)
     total = docs.agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64).alias("bytes")
     ).first()
-    n, buckets = total["rows"], max(LEAST_BUCKETS, -(-(total["bytes"] or 0) // bucket_bytes))
-    bucket = F.pmod(_mixed(F.col(id_col), text, seed), F.lit(buckets)).cast("int")
-    counts = docs.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    # one row a bucket: 1.6 million at 100 TB and 64 MB a bucket
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rows = docs.select(
-        bucket.alias("_bucket"),
-        F.xxhash64(F.lit(seed), F.col(id_col), text).alias("_order"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-    )
+    n, n_bytes = total["rows"], total["bytes"] or 0
+    buckets = max(LEAST_BUCKETS, -(-n_bytes // bucket_bytes))
+    often = cut(docs.groupBy(told.alias("_told")).agg(F.count(F.lit(1)).alias("_often")).where(F.col("_often") > repeats))
+    rows = docs.select(told.alias("_order"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    if hot := often.count():
+        # at most one row for each `repeats` rows; broadcast only while they are few
+        often = F.broadcast(often) if hot <= FEW else often
+        nth = F.when(F.col("_often").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_often") / repeats)))
+        # places are fixed in the shared folder, as counts and rows must agree on them
+        rows = cut(rows.join(often, F.col("_order") == F.col("_told"), "left").withColumn("_nth", nth))
+        bucket = F.pmod(F.xxhash64(F.lit(~seed), "_order", "_nth"), F.lit(buckets))
+    else:
+        bucket = F.pmod(F.xxhash64(F.lit(~seed), "_order"), F.lit(buckets))
+    rows = rows.select(bucket.alias("_bucket"), "_order", "row")
+    before = starts(rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")), [], "_bucket", "_n")
 
-    def fisher_yates(table: pa.Table) -> pa.Table:
+    def fisher_yates(table: pa.Table, place: pa.Table) -> pa.Table:
         order = np.argsort(table.column("_order").to_numpy(), kind="stable")
-        rng = np.random.Generator(np.random.PCG64([seed & 0xFFFFFFFF, table.column("_bucket")[0].as_py()]))
+        rng = np.random.Generator(np.random.PCG64([seed & 0xFFFFFFFF, place.column("_bucket")[0].as_py()]))
         rng.shuffle(order)  # numpy's shuffle is Fisher and Yates's
-        start = table.column("_start")[0].as_py()
+        start = place.column("start")[0].as_py()
         return pa.table(
             {
                 "place": pa.array(np.arange(start, start + table.num_rows), pa.int64()),
@@ -63,9 +69,10 @@ def shuffle_to_shards(
             }
         )
 
-    schema = docs.sparkSession.createDataFrame([], rows.schema).select(F.lit(0).cast("long").alias("place"), "row").schema
-    # the join and the grouping need the same partitions, so the texts move once
-    placed = rows.join(starts, "_bucket").groupBy("_bucket").applyInArrow(fisher_yates, schema)
+    schema = spark.createDataFrame([], rows.schema).select(F.lit(0).cast("long").alias("place"), "row").schema
+    # as many partitions as tasks of TASK_BYTES need, whatever the session's number; each takes several buckets
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
+    placed = rows.repartition(spread, "_bucket").groupBy("_bucket").cogroup(before.groupBy("_bucket")).applyInArrow(fisher_yates, schema)
     shard = F.expr(f"cast((place * {shards}) div {max(n, 1)} as int)")
     return placed.select(shard.alias("shard"), "place", "row").select(
         "shard", F.expr(f"place - (shard * {n}L + {shards - 1}) div {shards}").alias("slot"), "row"

@@ -1,6 +1,7 @@
+import zlib
 from collections import Counter
 
-from corvane.llm import sharding
+from corvane.llm import queries, sharding
 from tests.llm import fixtures as fx
 
 
@@ -26,6 +27,29 @@ def test_laws(spark):
     assert sharding.shuffle_to_shards(spark.createDataFrame([], fx.DOCS), 4).collect() == []
 
 
+def test_repeated_rows_are_spread(spark):
+    hot = spark.range(3000).selectExpr("7L as doc_id", "'same text' as text", "id as n").repartition(6)
+    more = spark.range(300).selectExpr("if(id % 3 = 0, null, id) as doc_id", "concat('t', id % 5) as text", "id as n")
+    docs = hot.unionByName(more)
+    got = check(docs, 10, repeats=50)
+    assert len(got) == 3300
+    shards = Counter(r.shard for r in sharding.shuffle_to_shards(docs, 10, repeats=50).where("row.doc_id = 7").select("shard").collect())
+    assert len(shards) == 10 and max(shards.values()) < 400
+
+
+def test_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = queries.QUERIES["op2_shuffled_shards"](spark, "/root/testdata/sf0.01").collect()
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    sizes = [len(slots[i]) for i in range(24)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_order_depends_on_the_seed_only(spark):
     docs = spark.read.parquet(f"{fx.SF}/documents.parquet")
     first = check(docs, 7, seed=1)
