@@ -141,7 +141,10 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees fitted on `sample` labelled rows at most, chosen by a hash of their ids among those that are not held out."""
+    """Trees fitted on `sample` labelled rows at most, chosen by a hash of their ids among those that are not held out.
+
+    Of rows that share a chosen id, one is taken, by a hash of its text.
+    """
     known = (
         labels.where("quality is not null and doc_id is not null")
         .groupBy(F.col("doc_id").cast("long").alias("_id"))
@@ -154,11 +157,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("y"), pa.FixedSizeListArray.from_arrays(x.ravel(), x.shape[1]).cast(pa.list_(pa.float64()))], ["_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("y"), b.column("h"), pa.FixedSizeListArray.from_arrays(x.ravel(), x.shape[1]).cast(pa.list_(pa.float64()))], ["_id", "y", "h", "x"])
 
     # at most `sample` ids are broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("text"))
-    got = rows.join(F.broadcast(known), "_id").select("_id", "y", "text").mapInArrow(run, "_id long, y double, x array<double>").toPandas()
+    found = rows.join(F.broadcast(known), "_id").select("_id", "y", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "_id long, y double, h long, x array<double>")
+    got = found.groupBy("_id", "y").agg(F.min_by("x", "h").alias("x")).toPandas()  # `sample` rows at most
     got = got.sort_values("_id", kind="stable")
     return fit(np.array(got["x"].tolist(), np.float64).reshape(-1, len(FEATURES)), got["y"].to_numpy(np.float64))
 
