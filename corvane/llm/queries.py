@@ -34,7 +34,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select(
+    return mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id", "source"]).select(
         F.col("row.doc_id").alias("doc_id"),
         F.col("row.source").alias("source"),
         F.round("share", 6).alias("share"),
@@ -62,7 +62,8 @@ TRICKY = "\\### Assistant: </turn> ok"  # a text that looks like the template an
 
 def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
+    quoted = TRICKY.replace("\\", "\\\\")
+    tricky = spark.sql(f"select * from values (-7L, 0, 'user', '{quoted}'), (-7L, 1, 'assistant', '{quoted}') as t(conv_id, turn, role, text)")
     formatted = chat.format_paths(chat.paths(chat.linear_replies(turns.unionByName(tricky))))
     said = chat.read_turns(F.col("formatted"))
     learnt = F.array_join(chat.read_loss(F.col("formatted"), F.col("loss_spans")), "")
@@ -168,10 +169,10 @@ SQL: dict[str, str] = {
             select t as slot, pick as i, row_number() over (partition by pick order by t) - 1 as turn from edf where t >= 0
         ), ended as (
             select min((n // {mixing.BLOCK_ROWS} // p) * period + slot) as stop
-            from parts join slots using (i) cross join one where pool <> '{mixing.REST}' and turn = n // {mixing.BLOCK_ROWS} % p
+            from parts join slots using (i) cross join one where turn = n // {mixing.BLOCK_ROWS} % p
         ), placed as (
             select doc_id, source, share, i, p, row_number() over (
-                partition by i order by md5('0 ' || coalesce(cast(doc_id as varchar), 'null ' || coalesce(text, ''))), text) - 1 as nth
+                partition by i order by md5('0 ' || coalesce(cast(doc_id as varchar), 'null ' || md5(coalesce(text, '')))), md5(coalesce(text, ''))) - 1 as nth
             from documents join pooled on key = case when source is null then '-' else '+' || source end join parts using (pool)
         )
         select doc_id, source, round(share, 6) as share, nth // {mixing.BLOCK_ROWS} as block,
