@@ -4,10 +4,11 @@ Texts become pieces of a given model: a space is the mark U+2581, a mark is put
 without a piece are written as the pieces of their UTF-8 bytes. A segmentation's score is the sum of its pieces' scores.
 
 The lattice of a text falls apart before each run of marks, as no piece reaches over such a place, so distinct words
-stand for the whole text. Forward Viterbi scores of all words of a batch are worked out side by side in numpy, and with
-backward scores also by how much each word's second segmentation is worse. The n best segmentations of a text differ
-from the best one in the n - 1 words with the least such loss only; there an A-star search runs from the end of the word
-to its start, with forward Viterbi scores as exact heuristics.
+stand for the whole text. Forward Viterbi scores of all words of a batch are worked out side by side in numpy; words of
+more than LONG_WORD characters, such as texts without spaces, go one by one, in blocks, in time and memory that grow with
+their length. A word's second segmentation leaves the best one at one edge, so the least loss of such an edge says how much
+worse it is. The n best segmentations of a text differ from the best one in the n - 1 words with the least such loss only;
+there an A-star search runs from the end of the word to its start, with forward Viterbi scores as exact heuristics.
 """
 from __future__ import annotations
 
@@ -15,8 +16,8 @@ import functools
 import heapq
 import os
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 MODEL = os.environ.get("CORVANE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 N_BEST = 3
 BATCH_CHARS = 1 << 20
-_LATTICE_CHARS = 200_000
+LONG_WORD = 256
+_LATTICE_CHARS, _BLOCK, _CACHED = 200_000, 1 << 15, 64
 _MARK, _PENALTY = "▁", 10.0  # U+2581; what an unknown character costs beyond the worst piece
 _WORDS = re.compile(" +[^ ]*|[^ ]+")
 _NEVER = -np.inf
@@ -128,6 +130,11 @@ class Words:
         order = sorted(range(len(words)), key=lambda i: -len(words[i]))
         self.loss, self.score = np.full(len(words), np.inf), np.zeros(len(words))
         ids, at = [], 0
+        while at < len(order) and len(words[order[at]]) > LONG_WORD:
+            part = np.array(order[at : at + 1])
+            self.score[part], self.loss[part], flat = _long_word(words[order[at]], model)
+            ids.append((part, (np.zeros(len(flat), np.int64), flat)))
+            at += 1
         while at < len(order):
             chars, to = 0, at
             while to < len(order) and (to == at or chars + len(words[order[to]]) <= _LATTICE_CHARS):
@@ -146,6 +153,9 @@ class Words:
             first = np.cumsum(counts[part]) - counts[part]
             self.ids[self.start[part][owner] + np.arange(len(owner)) - first[owner]] = flat
 
+    def of(self, word: int) -> np.ndarray:
+        return self.ids[self.start[word] : self.start[word + 1]]
+
 
 def _codes(word: str) -> np.ndarray:
     codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
@@ -168,7 +178,7 @@ def _lattice(words: list[str], model: Pieces):
 
     going = [int(np.searchsorted(-size, -j, "right")) for j in range(int(size[0]) + 1 if len(size) else 1)]  # words of j characters or more
     base = start + np.arange(len(words))  # positions 0 .. size of each word
-    fwd, back, come = np.full(n + len(words), _NEVER), np.full(n + len(words), _NEVER), np.zeros(n + len(words), np.int8)
+    fwd, come = np.full(n + len(words), _NEVER), np.zeros(n + len(words), np.int8)
     fwd[base] = 0
     for j in range(1, len(going)):
         k = going[j]
@@ -178,14 +188,6 @@ def _lattice(words: list[str], model: Pieces):
             better = value >= best
             best, how = np.where(better, value, best), np.where(better & (value > _NEVER), l, how)
         fwd[at], come[at] = best, how
-    back[base + size] = 0
-    for j in range(len(going) - 2, -1, -1):
-        k = going[j + 1]
-        best = np.full(k, _NEVER)
-        for l in range(1, min(most, len(going) - 1 - j) + 1):
-            m = going[j + l]
-            best[:m] = np.maximum(best[:m], score[l, start[:m] + j] + back[base[:m] + j + l])
-        back[base[:k] + j] = best
 
     # steps back along the best path
     owner, where, length = [], [], []
@@ -201,16 +203,14 @@ def _lattice(words: list[str], model: Pieces):
     order = np.argsort(where, kind="stable")
     owner, where, length = owner[order], where[order], length[order]
 
-    total = fwd[base + size]
-    second = np.full(len(words), _NEVER)
-    place = np.arange(n) + np.repeat(np.arange(len(words)), size)
-    for l in range(1, most + 1):  # the best path through any edge that the best path lacks
-        through = score[l].copy()
-        through[where[length == l]] = _NEVER
-        at = np.flatnonzero(through > _NEVER)
-        if len(at):
-            np.maximum.at(second, np.searchsorted(start, at, "right") - 1, fwd[place[at]] + through[at] + back[place[at] + l])
-    return total, total - second, _spelled(owner, where, length, piece, codes, model)
+    # what the other edges into each node of the best path lose; the rest of the path stays
+    second, end = np.full(len(where), np.inf), where + length
+    for l in range(1, most + 1):
+        at = np.flatnonzero((end - l >= start[owner]) & (length != l))
+        node = end[at] + owner[at]
+        second[at] = np.minimum(second[at], fwd[node] - (fwd[node - l] + score[l, end[at] - l]))
+    loss = np.minimum.reduceat(second, np.searchsorted(owner, np.arange(len(words)))) if len(words) else second
+    return fwd[base + size], loss, _spelled(owner, where, length, piece, codes, model)
 
 
 def _spelled(owner, where, length, piece, codes, model):
@@ -233,33 +233,124 @@ def _bytes(code: int) -> bytes:
     return (_MARK if code == _LITERAL else " " if code == 0x2581 else chr(code)).encode()
 
 
-@functools.lru_cache(50_000)
+def _name(word: str) -> str:
+    return word.replace(_MARK, "\0").replace(" ", _MARK)  # "\0" is no piece, so a mark in the text is spelled
+
+
+def _forward(word: str, name: str, model: Pieces) -> tuple[array, bytearray]:
+    """Viterbi scores of all positions of a word, and the lengths of the pieces that come to them on the best paths."""
+    size = len(word)
+    fwd, come = array("d", [_NEVER]) * (size + 1), bytearray(size + 1)
+    fwd[0] = 0.0
+    codes, block = (_codes(word), _BLOCK) if size > LONG_WORD else (None, size)
+    for a in range(0, size, block):
+        few = min(block, size - a)
+        edges = _edges_of_few(name, model) if codes is None else _edges(codes[a : a + few + model.longest], few, model)
+        for i, l, s in zip(*edges):  # by start, so the longest piece into a place comes first and stays on ties
+            value = fwd[a + i] + s
+            if value > fwd[a + i + l]:
+                fwd[a + i + l], come[a + i + l] = value, l
+    return fwd, come
+
+
+def _edges_of_few(name: str, model: Pieces) -> tuple[list, list, list]:
+    out = []
+    for i in range(len(name)):
+        for l in range(1, min(model.longest, len(name) - i) + 1):
+            found = model.ids.get(name[i : i + l])
+            if found is not None or l == 1:
+                out.append((i, l, model.unknown if found is None else float(model.score[found])))
+    return tuple(map(list, zip(*out)))
+
+
+def _edges(codes: np.ndarray, n: int, model: Pieces) -> tuple[list, list, list]:
+    """(start, length, score) of the edges that leave the first n of `codes`, by start."""
+    sums, powers, out = _prefix(codes), _powers(_INVERSE, len(codes) + 1), []
+    for l in range(1, min(model.longest, len(codes)) + 1):
+        at = np.arange(min(n, len(codes) - l + 1))
+        found = model.find(_mix((sums[at + l] - sums[at]) * powers[at] + np.uint64(l)))
+        score = np.where(found >= 0, model.score[found], model.unknown)
+        keep = (found >= 0) | (l == 1)
+        out.append((at[keep], np.full(keep.sum(), l), score[keep]))
+    start, length, score = map(np.concatenate, zip(*out))
+    order = np.argsort(start, kind="stable")
+    return start[order].tolist(), length[order].tolist(), score[order].tolist()
+
+
+def _long_word(word: str, model: Pieces) -> tuple[float, float, np.ndarray]:
+    """(score, loss of the second best, ids) of one word."""
+    name = _name(word)
+    fwd, come = _forward(word, name, model)
+    loss, j, lengths = np.inf, len(word), []
+    while j:
+        for l, s, _ in _into(name, j, model):
+            if l != come[j]:
+                loss = min(loss, fwd[j] - (fwd[j - l] + s))
+        lengths.append(come[j])
+        j -= come[j]
+    return fwd[len(word)], loss, np.array(_ids(word, name, lengths[::-1], model), np.int32)
+
+
+def _into(name: str, j: int, model: Pieces) -> list[tuple[int, float, int | None]]:
+    """(length, score, id) of the pieces that end at j, the longest first."""
+    out, ids, score = [], model.ids, model.score
+    for l in range(min(model.longest, j), 0, -1):
+        found = ids.get(name[j - l : j])
+        if found is not None:
+            out.append((l, float(score[found]), found))
+        elif l == 1:
+            out.append((1, model.unknown, None))
+    return out
+
+
+def _ids(word: str, name: str, lengths: list[int], model: Pieces) -> list[int]:
+    out, at = [], 0
+    for l in lengths:
+        found = model.ids.get(name[at : at + l])
+        if found is None:
+            out += model.byte_ids[list(word[at].encode())].tolist()
+        else:
+            out.append(found)
+        at += l
+    return out
+
+
 def best_of_word(word: str, n: int, path: str) -> tuple[tuple[float, tuple[int, ...]], ...]:
-    """The n best (score, ids) of a word, best first: A-star from the end, forward Viterbi scores as heuristics."""
-    model, size = pieces(path), len(word)
-    name = word.replace(_MARK, "\0").replace(" ", _MARK)  # "\0" is no piece, so a mark in the text is spelled
-    edges: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]  # by end: start, score, ids
-    fwd = [0.0] + [_NEVER] * size
-    for j in range(1, size + 1):
-        for i in range(max(0, j - model.longest), j):
-            found = model.ids.get(name[i:j])
-            if found is not None:
-                edges[j].append((i, float(model.score[found]), (found,)))
-            elif i == j - 1:
-                edges[j].append((i, model.unknown, tuple(model.byte_ids[list(word[i].encode())].tolist())))
-        fwd[j] = max(fwd[i] + s for i, s, _ in edges[j])
-    out, heap, count = [], [(-fwd[size], 0, size, 0.0, ())], 0
-    while heap and len(out) < n:
-        bound, _, j, tail, path_ids = heapq.heappop(heap)
+    """The n best (score, ids) of a word, best first."""
+    return _best_of_short(word, n, path) if len(word) <= _CACHED else _best(word, n, path)
+
+
+def _best(word: str, n: int, path: str) -> tuple[tuple[float, tuple[int, ...]], ...]:
+    """A-star from the end, forward Viterbi scores as heuristics.
+
+    As they are exact, a partial path's bound is the score of its best completion, and no two partial paths have a
+    completion in common: so no more of them than paths are still wanted need be kept. Bounds are losses against the best
+    score, summed edge by edge, so that equal ones stay equal; of these the one nearest to the start goes on first.
+    """
+    model, name, size = pieces(path), _name(word), len(word)
+    fwd, _ = _forward(word, name, model)
+    came, place = array("q"), array("q")  # of each partial path that was followed: the one it goes on from, its position
+    out, open_ = [], [(0.0, size, -1)]
+    while open_ and len(out) < n:
+        loss, j, before = open_.pop(0)
+        came.append(before)
+        place.append(j)
+        node = len(place) - 1
         if j == 0:
-            out.append((tail, sum(path_ids, ())))
+            lengths, at = [], node
+            while came[at] >= 0:
+                lengths.append(place[came[at]] - place[at])
+                at = came[at]
+            out.append((fwd[size] - loss, tuple(_ids(word, name, lengths, model))))
             continue
-        for i, s, ids in sorted(edges[j], key=lambda e: e[0]):  # the longer piece first on ties
-            count += 1
-            heapq.heappush(heap, (-(fwd[i] + s + tail), count, i, s + tail, (ids, *path_ids)))
+        open_ += [(loss + (fwd[j] - (fwd[j - l] + s)), j - l, node) for l, s, _ in _into(name, j, model)]
+        open_ = heapq.nsmallest(n - len(out), open_)
     return tuple(out)
 
 
+_best_of_short = functools.lru_cache(50_000)(_best)
+
+
 def others(seq: np.ndarray, words: list[str], table: Words, n: int, path: str) -> list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]:
     """What the second to n-th best segmentation change in the best: (loss, edits), an edit being (start, length, ids)."""
     loss = table.loss[seq]
@@ -272,18 +363,26 @@ def others(seq: np.ndarray, words: list[str], table: Words, n: int, path: str) -
     near = near[np.isfinite(loss[near])]
     lists = [best_of_word(words[seq[i]], n, path) for i in near]
     starts = np.cumsum(table.start[seq + 1] - table.start[seq]) - (table.start[seq + 1] - table.start[seq])
-    ways = []
-    for choice in product(*(range(len(x)) for x in lists)):
-        ways.append((sum(x[0][0] - x[c][0] for x, c in zip(lists, choice)), choice))
+    ways = [(0.0, ())]
+    for x in lists:  # the n best choices so far, with each of this word's
+        ways = heapq.nsmallest(n, [(cost + x[0][0] - x[c][0], (*choice, c)) for cost, choice in ways for c in range(len(x))])
     out = []
-    for cost, choice in sorted(ways)[1:n]:
-        edits = [
-            (int(starts[i]), int(table.start[seq[i] + 1] - table.start[seq[i]]), x[c][1]) for i, x, c in zip(near, lists, choice) if c
-        ]
+    for cost, choice in ways[1:]:
+        edits = [_edit(int(starts[i]), table.of(seq[i]), x[c][1]) for i, x, c in zip(near, lists, choice) if c]
         out.append((float(cost), edits))
     return out
 
 
+def _edit(start: int, old: np.ndarray, new: tuple[int, ...]) -> tuple[int, int, tuple[int, ...]]:
+    """(start, length, ids): the part of `old` that differs from `new`, and what stands there instead."""
+    ids, m = np.array(new, np.int32), min(len(old), len(new))
+    differ = np.flatnonzero(old[:m] != ids[:m])
+    head = int(differ[0]) if len(differ) else m
+    differ = np.flatnonzero(old[len(old) - m + head :][::-1] != ids[len(ids) - m + head :][::-1])
+    tail = int(differ[0]) if len(differ) else m - head
+    return start + head, len(old) - head - tail, tuple(ids[head : len(ids) - tail].tolist())
+
+
 def decode_ids(ids: list[int], model: Pieces) -> str:
     """The text of `ids`, without the mark that encoding puts in front."""
     return b"".join(map(model.text.__getitem__, ids)).decode(errors="replace")[1:]

@@ -1,5 +1,7 @@
 import itertools
 import random
+import resource
+import time
 
 import numpy as np
 from sentencepiece import SentencePieceProcessor
@@ -74,6 +76,42 @@ def test_long_and_odd_words():
             assert (len(best) == 1 and np.isinf(one.loss[0])) or np.isclose(one.loss[0], best[0][0] - best[1][0])
 
 
+def test_long_words_as_short_ones(monkeypatch):
+    """The way of long words, in small blocks, against all segmentations and against the way of short ones."""
+    model, rng = P.pieces(P.MODEL), random.Random(2)
+    texts = ["x" * 300, "ab" * 200, "".join(rng.choice("aeinst日☃\t") for _ in range(700)), "=" * 257]
+    plain = list(encoded(texts, 4))
+    monkeypatch.setattr(P, "_BLOCK", 50)
+    for limit in (1, 10_000):
+        monkeypatch.setattr(P, "LONG_WORD", limit)
+        for (ids, score, more), (ids2, score2, more2) in zip(plain, encoded(texts, 4)):
+            assert ids == ids2 and score == score2 and np.allclose([x for x, _ in more], [x for x, _ in more2])
+    monkeypatch.setattr(P, "LONG_WORD", 1)
+    for t in ("the cat", "日本antion", "aaaaaaaa"):
+        for ids, score, more in encoded([t], 5):
+            want = segmentations(t, model)[:5]
+            assert score == want[0][0] and np.allclose([score - x for x, _ in more], [x for x, _ in want[1:]])
+            ways = [apply(ids, e) for _, e in more]
+            assert len(set(ways)) == len(ways) and all(P.decode_ids(list(w), model) == t for w in ways)
+
+
+def test_a_megabyte_without_a_space():
+    model, rng = P.pieces(P.MODEL), random.Random(3)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1 << 20))
+    began, before = time.monotonic(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ((ids, _, more),) = encoded([text], P.N_BEST)
+    assert P.decode_ids(ids, model) == text and len(more) == P.N_BEST - 1
+    assert all(P.decode_ids(list(apply(ids, e)), model) == text and len(e[0][2]) < 100 for _, e in more)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 << 10 and time.monotonic() - began < 300
+
+
+def test_many_best_of_many_words():
+    words = [fx.words(1, k) for k in range(40)]
+    for _, _, more in encoded([" ".join(words)], 30):
+        losses = [x for x, _ in more]
+        assert len(losses) == 29 and losses == sorted(losses)
+
+
 def test_decoding_agrees_with_the_library():
     sp, model = SentencePieceProcessor(model_file=P.MODEL), P.pieces(P.MODEL)
     for text in ("hello there", " two  spaces", "naïve ☃\tx", fx.words(200, 8)):
