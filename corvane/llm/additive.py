@@ -6,26 +6,36 @@ A row stores its codes and the ratio of its norm to that of its code. A query's
 a lookup table; sums of looked-up values, times the stored ratio, order the candidates, and the best are scored again
 with the vectors themselves.
 
-Blocks of queries meet blocks of candidates, every pair of blocks in a task of its own, so nothing grows with the table
-but the number of pairs.
+Vectors are kept in inverted lists by their nearest coarse centroid, each row in exactly one. A query goes to as many
+lists as hold COVERED of the true neighbours in the sample, measured by brute force when the index is fitted: few where
+vectors form clusters, most where they are spread evenly. A long list is cut into blocks by row, so copies of one vector
+do not gather in a task; a list that very many queries ask is sent once for each block of them.
 """
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.llm.common import cut
+
 BOOKS = 8
 WORDS = 256
 BEAM = 8
 SAMPLE = 16_384
-CANDIDATES = 4096  # rows in a block
-QUERIES = 1024
+LIST_ROWS, MOST_LISTS = 4096, 1024  # rows for each list until there are so many lists
+CANDIDATES = 32_768  # rows of a list that meet in one task with
+QUERIES = 32_768  # so many queries
 SHORTLIST = 100  # distinct vectors of a block that are scored again
+COVERED, MEASURED = 0.98, 512  # share of the neighbours of so many sampled vectors that the lists asked must hold
+ODD_LISTS = 64  # for vectors of other lengths than most
 
 
 def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -68,38 +78,125 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 
 def clean(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v) of the rows that take part: all components finite, not all zero, and of the most common length."""
-    v = F.col(vector_col).cast("array<double>")
+    """(vec_id, v) of the rows that take part: an id, components all finite and not all zero."""
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    v = F.col(vector_col).cast(kind)
     ok = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null").where(ok)
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (lengths["d"] if lengths else 0))
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null").where(ok)
+
+
+@dataclass(frozen=True)
+class Model:
+    """What is fitted on the sample: vectors are divided by `scale`, which keeps squares of large components finite."""
+
+    scale: float
+    books: np.ndarray  # (books, words, dimension)
+    coarse: np.ndarray  # (lists, dimension)
+    probes: int  # lists that a query asks
+
+    @property
+    def dimension(self) -> int:
+        return self.coarse.shape[1]
+
+
+def _near(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.argmin((centroids**2).sum(1) - 2 * vectors.astype(np.float32) @ centroids.T, axis=1)
 
 
-def index(rows: DataFrame, sample: int = SAMPLE, beam: int = BEAM) -> tuple[DataFrame, np.ndarray] | None:
-    """(rows with codes and ratio, codebooks); None for an empty table. The books are fitted on `sample` rows at most."""
+def train(rows: DataFrame, sample: int = SAMPLE, k: int = 20) -> Model | None:
+    """The model for `rows` (vec_id, v), fitted on `sample` of them at most; None for an empty table."""
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
     if not len(chosen):
         return None
-    data = np.array(chosen.tolist(), np.float64)
-    scale = np.abs(data).max()  # keeps squares of large components finite
-    books = rows.sparkSession.sparkContext.broadcast(fit(data / scale, words=min(WORDS, len(data))))
+    lengths = Counter(map(len, chosen))
+    most = min(lengths, key=lambda d: (-lengths[d], d))
+    data = np.array([x for x in chosen if len(x) == most], np.float64)
+    scale = np.abs(data).max()
+    data = (data / scale).astype(np.float32)
+    lists = min(MOST_LISTS, max(1, rows.count() // LIST_ROWS), len(data))
+    coarse = fit(data, books=1, words=lists)[0]
+    # of the k best of some sampled vectors, how far down the order of lists theirs is
+    queries, own = data[:MEASURED], np.arange(min(MEASURED, len(data)))
+    scores = queries @ data.T
+    scores[own, own] = -np.inf
+    best = np.argpartition(-scores, min(k, len(data)) - 1, axis=1)[:, : min(k, len(data) - 1)]
+    order = np.argsort(-(queries @ coarse.T), axis=1)
+    rank = np.argsort(order, axis=1)[own[:, None], _near(data, coarse)[best]]
+    probes = int(np.quantile(rank, COVERED, method="higher")) + 1 if rank.size else lists
+    return Model(scale, fit(data, words=min(WORDS, len(data))), coarse, probes)
+
+
+def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
+
+
+def index(rows: DataFrame, model: Model, beam: int = BEAM) -> DataFrame:
+    """(row, vec_id, v, list, codes, ratio) in the shared folder; row tells rows apart. Every row is in one list.
+
+    Vectors of another length than the model's are in lists of their own, without codes.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                v = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1) / scale
-                codes = encode(v, books.value, beam)
-                length = np.linalg.norm(decode(codes, books.value), axis=1)
-                ratio = np.divide(np.linalg.norm(v, axis=1), length, out=np.ones(len(v)), where=length > 0)
-                blob = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, blob, pa.array(ratio)], ["vec_id", "v", "codes", "ratio"])
+                length = pc.list_value_length(part.column("v")).to_numpy()
+                usual = np.flatnonzero(length == m.dimension)
+                lists, ratio = (len(m.coarse) + length % ODD_LISTS).astype(np.int32), np.ones(len(length))
+                blobs: list[bytes] = [b""] * len(length)
+                if len(usual):
+                    v = _matrix(part.column("v").take(pa.array(usual)), m.dimension) / m.scale
+                    codes = encode(v, m.books, beam)
+                    size = np.linalg.norm(decode(codes, m.books), axis=1)
+                    ratio[usual] = np.divide(np.linalg.norm(v, axis=1), size, out=np.ones(len(v)), where=size > 0)
+                    lists[usual] = _near(v, m.coarse)
+                    for i, c in zip(usual, codes):
+                        blobs[i] = c.tobytes()
+                cols = [*part.columns, pa.array(lists), pa.array(blobs, pa.binary()), pa.array(ratio)]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "vec_id", "v", "list", "codes", "ratio"])
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
+    kind = dict(rows.dtypes)["v"]
+    return cut(numbered.mapInArrow(run, f"row long, vec_id long, v {kind}, list int, codes binary, ratio double"))
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, codes binary, ratio double"), books
 
+def _asked(queries: DataFrame, model: Model) -> DataFrame:
+    """(list, row, vec_id, v): each query once for every list that it asks, the most promising ones."""
+    sent = queries.sparkSession.sparkContext.broadcast(model)
 
-_FOUND = "query_id long, vec_id long, score double"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in batches:
+            own = b.column("list").to_numpy()
+            usual = np.flatnonzero(own < len(m.coarse))
+            at, lists = [np.flatnonzero(own >= len(m.coarse))], [own[own >= len(m.coarse)]]
+            if len(usual):
+                v = _matrix(b.column("v").take(pa.array(usual)), m.dimension)
+                scores = (v / np.abs(v).max(axis=1, keepdims=True)).astype(np.float32) @ m.coarse.T
+                few = min(m.probes, len(m.coarse))
+                lists.append(np.argpartition(-scores, few - 1, axis=1)[:, :few].ravel())
+                at.append(np.repeat(usual, few))
+            cols = b.select(["row", "vec_id", "v"]).take(pa.array(np.concatenate(at))).columns
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), *cols], ["list", "row", "vec_id", "v"])
+
+    kind = dict(queries.dtypes)["v"]
+    return queries.select("row", "vec_id", "v", "list").mapInArrow(run, f"list int, row long, vec_id long, v {kind}")
+
+
+def _best_of_equals(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows by vector and id, begin, count): equal vectors are one entry, of which the k + 1 least ids can matter."""
+    order = np.lexsort((ids, *x.T[::-1]))
+    new = np.concatenate([[True], (x[order[1:]] != x[order[:-1]]).any(axis=1)])
+    entry = np.cumsum(new) - 1
+    few = np.arange(len(ids)) - np.flatnonzero(new)[entry] <= k
+    order, entry = order[few], entry[few]
+    count = np.bincount(entry)
+    return order, np.cumsum(count) - count, count
+
+
+_FOUND = "query_row long, query_id long, row long, vec_id long, score double"
 
 
 def search(
@@ -113,68 +210,76 @@ def search(
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every` its k best other rows.
 
     score is the inner product in double precision; ties go to smaller ids. Rows without an id and vectors that are
-    null, zero, not finite or of another length than most take no part. A repeated id is one row: vectors that share
-    an id never find each other. Other columns are not read.
+    null, zero or not finite take no part. Vectors of another length than most meet those of their own length, and all
+    of them. Rows that share an id are rows of their own: each is a query, and they find each other. Other columns are
+    not read. An empty table gives none.
     """
-    rows = clean(vectors, id_col, vector_col)
-    indexed = index(rows)
-    spark = vectors.sparkSession
-    if indexed is None:
+    rows, spark = clean(vectors, id_col, vector_col), vectors.sparkSession
+    model = train(rows, k=k)
+    if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    coded, books = indexed
-    is_query = F.pmod("vec_id", F.lit(every)) == 0
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
-    cells, query_cells = max(1, -(-n["n"] // CANDIDATES)), max(1, -(-n["q"] // QUERIES))
-    cell = lambda of, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id", "v"), F.lit(of)).cast("int")
-    candidates = coded.withColumn("cell", cell(cells, 1)).withColumn("qcell", F.explode(F.sequence(F.lit(0), F.lit(query_cells - 1))))
-    queries = rows.where(is_query).withColumn("qcell", cell(query_cells, 2)).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    coded = index(rows, model)
+    asked = _asked(coded.where(F.pmod("vec_id", F.lit(every)) == 0), model)
+    # one row for each list, MOST_LISTS and ODD_LISTS at most
+    blocks = lambda df, name, size: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    cells = F.broadcast(cut(blocks(coded, "blocks", CANDIDATES).join(blocks(asked, "askers", QUERIES), "list"), 1))
+    of = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "row"), F.col(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    found = coded.join(cells, "list").withColumn("block", of("blocks", 1)).withColumn("asker", copies("askers")).drop("blocks", "askers")
+    asked = asked.join(cells, "list").withColumn("asker", of("askers", 2)).withColumn("block", copies("blocks")).drop("blocks", "askers")
+    sent = spark.sparkContext.broadcast(model)
 
     def meet(queries: pa.Table, found: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not queries.num_rows or not found.num_rows:
-            return empty
-        matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-        qid, q, ids, x = queries.column("vec_id").to_numpy(), matrix(queries), found.column("vec_id").to_numpy(), matrix(found)
-        codes = np.frombuffer(b"".join(found.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-        ratio, book = found.column("ratio").to_numpy(), books.value
-        # equal vectors are one entry; only the k + 1 least ids of an entry can be among the k best
-        order = np.lexsort((ids, *x.T[::-1]))
-        new = np.concatenate([[True], (x[order[1:]] != x[order[:-1]]).any(axis=1)])
-        first = np.flatnonzero(new)
-        entry = np.cumsum(new) - 1
-        nth = np.arange(len(ids)) - first[entry]
-        order, entry = order[nth <= k], entry[nth <= k]
-        begin, count = np.searchsorted(entry, np.arange(len(first))), np.bincount(entry)
-        lead = order[begin]
-        codes, ratio = codes[lead], ratio[lead].astype(np.float32)
-        out = []
-        for at in range(0, len(qid), 128):
-            part = q[at : at + 128]
-            scale = np.abs(part).max(axis=1, keepdims=True)
-            scores = np.zeros((len(part), len(lead)), np.float32)
-            for m in range(len(book)):
-                scores += ((part / scale).astype(np.float32) @ book[m].T)[:, codes[:, m]]
-            scores *= ratio
-            keep = min(shortlist, len(lead))
-            best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-            for i, b in enumerate(best):
-                exact = x[lead[b]] @ part[i]
-                top = b[np.argsort(-exact, kind="stable")[: k + 1]]
-                take = order[np.concatenate([np.arange(begin[j], begin[j] + count[j]) for j in top])]
-                take = take[ids[take] != qid[at + i]]
-                score = (x[take] * part[i]).sum(axis=1)
-                last = np.lexsort((ids[take], -score))[:k]
-                out.append((np.full(len(last), qid[at + i]), ids[take][last], score[last]))
-        cols = [np.concatenate(c) for c in zip(*out)]
-        return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
-
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        m, out = sent.value, []
+        if queries.num_rows and found.num_rows:
+            lengths = pc.list_value_length(found.column("v"))
+            for d in pc.unique(lengths).to_pylist():
+                own = found.filter(pc.equal(lengths, d))
+                asking = queries.filter(pc.equal(pc.list_value_length(queries.column("v")), d))
+                if asking.num_rows:
+                    out += _meet(asking, own, m if d == m.dimension else None, d, k, shortlist)
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+        return pa.table(dict(zip(("query_row", "query_id", "row", "vec_id", "score"), cols)))
+
+    key, by = ["list", "block", "asker"], Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return (
-        queries.groupBy("cell", "qcell")
-        .cogroup(candidates.groupBy("cell", "qcell"))
+        asked.groupBy(*key)
+        .cogroup(found.groupBy(*key))
         .applyInArrow(meet, _FOUND)
-        .dropDuplicates(["query_id", "vec_id", "score"])
         .withColumn("rank", F.row_number().over(by))
         .where(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )
+
+
+def _meet(queries: pa.Table, found: pa.Table, model: Model | None, dimension: int, k: int, shortlist: int) -> list[tuple]:
+    """For each query (query rows, query ids, rows, ids, scores) of its k best in `found`; without a model all are scored."""
+    number = lambda t, c: t.column(c).to_numpy()
+    matrix = lambda t: _matrix(t.column("v").combine_chunks(), dimension)
+    qrow, qid, q = number(queries, "row"), number(queries, "vec_id"), matrix(queries)
+    rows, ids, x = number(found, "row"), number(found, "vec_id"), matrix(found)
+    order, begin, count = _best_of_equals(ids, x, k)
+    lead, out = order[begin], []
+    few = min(shortlist, len(lead))
+    if model is not None:
+        codes = np.frombuffer(b"".join(found.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[lead]
+        ratio = number(found, "ratio")[lead].astype(np.float32)
+    for at in range(0, len(q), 128):
+        part = q[at : at + 128]
+        if model is None or few == len(lead):
+            best = np.broadcast_to(np.arange(len(lead)), (len(part), len(lead)))
+        else:
+            small = (part / np.abs(part).max(axis=1, keepdims=True)).astype(np.float32)
+            scores = np.zeros((len(part), len(lead)), np.float32)
+            for n, book in enumerate(model.books):
+                scores += (small @ book.T)[:, codes[:, n]]
+            scores *= ratio
+            best = np.argpartition(-scores, few - 1, axis=1)[:, :few]
+        for i, b in enumerate(best):
+            top = b[np.argsort(-(x[lead[b]] @ part[i]), kind="stable")[: k + 1]]
+            take = order[np.concatenate([np.arange(begin[j], begin[j] + count[j]) for j in top])]
+            take = take[rows[take] != qrow[at + i]]
+            score = (x[take] * part[i]).sum(axis=1)
+            last = np.lexsort((rows[take], ids[take], -score))[:k]
+            out.append((np.full(len(last), qrow[at + i]), np.full(len(last), qid[at + i]), rows[take][last], ids[take][last], score[last]))
+    return out

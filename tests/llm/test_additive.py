@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from corvane.llm import additive
 from tests.llm import fixtures as fx
@@ -42,12 +44,44 @@ def test_embeddings_table(spark):
 
 
 def test_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(additive, "CANDIDATES", 100)
-    monkeypatch.setattr(additive, "QUERIES", 10)
+    monkeypatch.setattr(additive, "CANDIDATES", 30)
+    monkeypatch.setattr(additive, "QUERIES", 5)
+    monkeypatch.setattr(additive, "LIST_ROWS", 100)
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     assert recall(found(additive.search(fx.clashing(rows))), brute(rows.collect())) > 0.95
 
 
+def test_recall_on_many_vectors(spark, tmp_path):
+    """40,000 vectors, every list much longer than what is scored again: 2,000 of the table, each with 19 near ones."""
+    table = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], np.float32)
+    rng = np.random.default_rng(5)
+    x = np.repeat(table, 20, axis=0) + rng.normal(scale=0.05, size=(20 * len(table), table.shape[1])).astype(np.float32)
+    ids = rng.permutation(len(x))
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array(ids), "embedding": flat}), str(tmp_path / "vectors.parquet"), row_group_size=5000)
+    df = spark.read.parquet(str(tmp_path / "vectors.parquet"))
+    got, chosen = found(additive.search(df, every=100)), np.flatnonzero(ids % 100 == 0)
+    scores = x[chosen].astype(np.float64) @ x.T.astype(np.float64)
+    scores[np.arange(len(chosen)), chosen] = -np.inf
+    best = {int(ids[i]): set(ids[np.argsort(-s)[:20]].tolist()) for i, s in zip(chosen, scores)}
+    assert got.keys() == best.keys() and len(x) == 40_000
+    assert np.mean([len({i for i, _ in got[q]} & best[q]) / 20 for q in best]) > 0.93
+
+
+def test_repeated_ids_and_other_lengths(spark):
+    rng = np.random.default_rng(4)
+    vec = lambda n: [float(x) for x in rng.normal(size=n).astype(np.float32)]
+    rows = [(i, vec(8)) for i in range(60)] + [(20, vec(8)), (20, rng.normal(size=8).tolist()), (40, vec(3)), (41, vec(3)), (60, vec(3)), (80, vec(67)), (81, vec(67)), (100, vec(5))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = []
+    for i, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            near = sorted((-float((np.array(v) * np.array(w)).sum()), j) for n, (j, w) in enumerate(rows) if n != i and len(w) == len(v))[:20]
+            want += [(q, r + 1, j, round(-s, 9)) for r, (s, j) in enumerate(near)]
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in additive.search(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_ties_and_vectors_that_take_no_part(spark):
     rng = np.random.default_rng(3)
     vec = lambda: [float(x) for x in rng.normal(size=64).astype(np.float32)]
