@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SUM_ROWS = 4096
+FILE_ROWS = 50_000
 
 
 def use_shared_folder(spark: SparkSession) -> None:
@@ -23,10 +24,13 @@ def use_shared_folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvane-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so that lost executors cost no recomputation beyond it."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df` written to the shared checkpoint folder, so that lost executors cost no recomputation beyond it.
+
+    rows: about how many there are, if known; a file for each FILE_ROWS of them is written then.
+    """
     use_shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint()
 
 
 def starts(sizes: DataFrame, keys: list[str], at: str, size: str, rows: int = SUM_ROWS) -> DataFrame:
@@ -90,7 +94,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), state[0])
         before, state = state, _state(edges)
         if state == before:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
