@@ -2,20 +2,22 @@
 
 A window is `window` words of one text. Every suffix of a text that is long enough starts with a window; in a suffix
 tree of all texts the windows that occur more than once are the internal nodes at that depth, and runs of them along a
-text are its maximal repeats. One tree of all suffixes fits nowhere, so suffixes are dealt out by a prefix and each
-group grows its own subtree down to the depth of a window:
+text are its maximal repeats. One tree of all suffixes fits nowhere, so suffixes are dealt out by prefixes of variable
+length, and each group grows its own subtree down to the depth of a window:
 
-1. The prefix of a suffix ends with the least gram (by hash) of `gram` words in its window. The prefix thus has a
-   length between `gram` and `window` that follows from the window's words alone, and neighbouring suffixes share its
-   end. The first pass sends the ends only, about two in every window - gram + 2 words.
+1. The prefix of a suffix ends with the least gram (by hash) of `gram` words in its window, so its length, between `gram`
+   and `window`, follows from the window's words alone. Prefixes with one end are dealt to one group, as neighbouring
+   suffixes mostly share it. The first pass sends the ends only, about two in every window - gram + 2 words.
 2. Ends that occur once lead to leaves: nothing that starts there repeats. The others go back to their texts, with
    a note of whether they are common.
-3. Suffixes behind a repeated end are sent to its group as runs, with a hash for each suffix's window. Where an end is
-   common its group would not fit, so there the prefix is lengthened to the whole window.
-4. Each group sorts its windows; those at which two suffixes meet are deep internal nodes.
-
-Copies of a whole text are set aside first. Within a batch, what is seen to repeat is not sent more than once, so a key
-has a few rows for each batch at most, however many rows share a passage.
+3. Suffixes behind a repeated end are sent to its group as runs, with their words. A group of a common end would be
+   large, so there each prefix is lengthened to the whole window, which is then a node by itself.
+4. Each group sorts its suffixes by their words: the names of all prefixes of 1, 3, 9 .. words are worked out from
+   those of the shorter ones, up to the depth of a window. Suffixes with one name there meet in a deep internal node.
+
+Words are compared, not hashes of them; hashes only deal them out. Copies of a whole text are set aside first, by 95
+bits of hashes. Within a batch, what is seen to repeat is not sent more than once, so a group has a few rows for each
+batch at most, however many rows share a passage. Very long texts are taken in parts that overlap by a window.
 """
 from __future__ import annotations
 
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,14 +34,15 @@ from pyspark.sql.window import Window
 WINDOW = 35
 GRAM = 12
 BATCH_BYTES = 4 << 20
-#: An end is common if it occurs so often in one batch, or in so many rows altogether.
-COMMON_HERE, COMMON = 8, 256
+#: An end is common if it occurs so often in one batch, or in so many rows altogether; a group has fewer suffix runs.
+COMMON_HERE, COMMON = 64, 1024
+_SENT_WORDS = 1 << 18  # words in a batch of suffixes
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(11).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 # odd, so they have inverses modulo 2^64
-_FACTOR, _WORD_FACTOR, _SECOND_FACTOR = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+_FACTOR, _WORD_FACTOR = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -90,15 +94,43 @@ def _classes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[new], which, np.bincount(which)
 
 
+def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of texts that lie one behind the other."""
+    word, first = ~_SPACE[data], np.zeros(len(data) + 1, bool)
+    first[offsets] = True  # no word goes on into the next text
+    starts = np.flatnonzero(word & (first[:-1] | ~np.concatenate([[False], word[:-1]])))
+    return starts, np.flatnonzero(word & (first[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+
+
+def _word_numbers(column: pa.Array) -> np.ndarray:
+    """The same number for the same word."""
+    return column.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def _names(words: np.ndarray, depth: int) -> np.ndarray:
+    """For each place the name of the `depth` words from there on, names in the order of the words' numbers.
+
+    A level of the tree at a time: a name at depth d is a node there, and the name of a longer stretch follows from
+    those of the two or more stretches that it is made of, the last of which may overlap the one before.
+    """
+    names, d = words, 1
+    while d < depth:
+        bits = max(1, int(names.max(initial=0)).bit_length())
+        at = sorted({min(k * d, depth - d) for k in range(max(2, 63 // bits))})
+        n = max(0, len(names) - at[-1])
+        key = np.zeros(n, np.int64)
+        for k in at:
+            key = key << bits | names[k : k + n]
+        names, d = np.unique(key, return_inverse=True)[1], at[-1] + d
+    return names
+
+
 class _Texts:
     """Words and hashes of some texts that lie one behind the other."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
-        self.window, self.gram = window, gram
-        word, first = ~_SPACE[data], np.zeros(len(data) + 1, bool)
-        first[offsets] = True  # no word goes on into the next text
-        starts = np.flatnonzero(word & (first[:-1] | ~np.concatenate([[False], word[:-1]])))
-        ends = np.flatnonzero(word & (first[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+        self.window, self.gram, self.data = window, gram, data
+        starts, ends = self.starts, self.ends_of_words = _bounds(data, offsets)
         self.first = np.searchsorted(starts, offsets)  # of each text, and an end
         hashes = np.empty(len(starts), np.uint64)
         at = 0
@@ -117,7 +149,6 @@ class _Texts:
         sums, at = _sums(hashes, _WORD_FACTOR), np.arange(n)
         self.grams = _mix(_between(sums, at[: n - gram + 1], at[gram - 1 :] + 1, _WORD_FACTOR)) | np.uint64(1)
         self.windows = _mix(_between(sums, at[: n - window + 1], at[window - 1 :] + 1, _WORD_FACTOR) + np.uint64(1))
-        self._hashes = hashes
         whole = self.text[: n - window + 1] == self.text[window - 1 :]
         #: of the grams in the window from each word; 0 where a window would leave its text
         self.least = np.where(whole, _sliding(np.minimum, self.grams, window - gram + 1), np.uint64(0))
@@ -138,17 +169,26 @@ class _Texts:
         chosen[ends] = self.grams[ends]
         return _sliding(np.minimum, chosen, self.window - self.gram + 1) == self.least
 
-    def second(self, at: np.ndarray) -> np.ndarray:
-        """Another hash of the windows from the words `at`."""
-        return _mix(_between(_sums(self._hashes, _SECOND_FACTOR), at, at + self.window, _SECOND_FACTOR) + np.uint64(2))
+    def spelled(self, words: np.ndarray) -> pa.Array:
+        """The words with these numbers, each with a space behind it."""
+        size = self.ends_of_words[words] - self.starts[words] + 1
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        out = np.full(offsets[-1], 0x20, np.uint8)
+        own = np.repeat(self.starts[words] - offsets[:-1], size - 1)
+        to = np.delete(np.arange(offsets[-1]), offsets[1:] - 1)
+        out[to] = self.data[own + to]
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
 
     def place(self, at: np.ndarray) -> np.ndarray:
         """The number of each word in its text."""
         return at - self.first[self.text[at]]
 
 
-def _batches(b: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, bytes, offsets) of runs of rows with about `most` bytes or one row each."""
+def _batches(b: pa.RecordBatch, column: str, most: int, window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """(from row, to row, bytes, offsets, number of the first word) of runs of rows with about `most` bytes.
+
+    A row with more comes in parts; each window of it is in one of them.
+    """
     col = b.column(column)
     if not len(col):
         return
@@ -158,7 +198,19 @@ def _batches(b: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[int, i
     at = 0
     while at < len(col):
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
-        yield at, to, data[offs[at] : offs[to]], (offs[at : to + 1] - offs[at]).astype(np.int64)
+        part, offsets = data[offs[at] : offs[to]], (offs[at : to + 1] - offs[at]).astype(np.int64)
+        if len(part) <= most:
+            yield at, to, part, offsets, 0
+        else:
+            starts, ends = _bounds(part, offsets)
+            first = 0
+            while first < len(starts):
+                last = max(first + window, int(np.searchsorted(ends, starts[first] + most)))
+                whole = part[starts[first] : ends[min(last, len(ends)) - 1]]
+                yield at, to, whole, np.array([0, len(whole)]), first
+                if last >= len(starts):
+                    break
+                first = last - window + 1
         at = to
 
 
@@ -220,12 +272,12 @@ def _ends(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, to, data, offsets in _batches(b, "data", BATCH_BYTES):
+            for at, to, data, offsets, base in _batches(b, "data", BATCH_BYTES, window):
                 t = _Texts(data, offsets, window, gram)
                 ends = t.ends()
                 key, u1, u2 = t.grams[ends] if len(ends) else ends.astype(np.uint64), _column(b, "u1", at, to), _column(b, "u2", at, to)
                 text = t.text[ends]
-                own = (key.view(np.int64), u1[text], _at(u2[text], t.place(ends)))
+                own = (key.view(np.int64), u1[text], _at(u2[text], base + t.place(ends)))
                 one, which, count = _classes(key)
                 here = count[which]
                 few, many = here < COMMON_HERE, np.flatnonzero(here >= COMMON_HERE)
@@ -271,99 +323,178 @@ def _stretches(mask: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends - starts
 
 
-_SUFFIXES = "key long, u1 long, at long, n int, hashes binary"
+_SUFFIXES = "key long, u1 long, at long, n int, words binary"
+_NODE = 0  # n of a row whose prefix is its whole window
 
 
 def _suffixes(flagged: DataFrame, window: int, gram: int) -> DataFrame:
-    """Runs of suffixes by prefix: n windows from `at`, with their hashes; without hashes where all are known to repeat."""
-
-    def rows(key, u1, u2, place, n, hashes):
-        # hashes: None, or all the runs' hashes in a row
-        if hashes is None:
-            blob = pa.nulls(len(key), pa.binary())
-        else:
-            offsets = np.concatenate([[0], np.cumsum(n) * 8]).astype(np.int32)
-            blob = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(hashes))])
-        cols = [pa.array(np.asarray(key).view(np.int64)), pa.array(u1), pa.array(_at(u2, place)), pa.array(n.astype(np.int32)), blob]
-        return pa.RecordBatch.from_arrays(cols, ["key", "u1", "at", "n", "hashes"])
+    """Runs of suffixes by prefix: n windows from `at` on, with the words of these; without words where all repeat."""
+
+    def rows(t, key, u1, u2, place, n, first=None):
+        # first: the number of the first word of each run, or None
+        for at, to in _parts(np.maximum(n, 1) + window - 1 if first is not None else np.ones(len(key), np.int64)):
+            if first is None:
+                words = pa.nulls(to - at, pa.binary())
+            else:
+                size = np.maximum(n[at:to], 1) + window - 1
+                begin = np.cumsum(size) - size
+                spelled = t.spelled(np.repeat(first[at:to] - begin, size) + np.arange(size.sum()))
+                offsets = np.frombuffer(spelled.buffers()[1], np.int32)
+                ends = np.ascontiguousarray(offsets[np.concatenate([[0], begin + size])])
+                words = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(ends), spelled.buffers()[2]])
+            cols = [pa.array(np.asarray(key[at:to]).view(np.int64)), pa.array(u1[at:to]), pa.array(_at(u2[at:to], place[at:to])), pa.array(n[at:to].astype(np.int32)), words]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "u1", "at", "n", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, to, data, offsets in _batches(b, "data", BATCH_BYTES):
+            for at, to, data, offsets, base in _batches(b, "data", BATCH_BYTES, window):
                 t = _Texts(data, offsets, window, gram)
                 if t.n < window:
                     continue
                 u1, u2 = _column(b, "u1", at, to), _column(b, "u2", at, to)
                 col = b.column("ends").slice(at, to - at)
                 ends, owner = col.flatten().to_numpy(), np.repeat(np.arange(to - at), col.value_lengths().to_numpy())
-                word = (ends >> 1) + t.first[owner]
-                common = t.behind(word[(ends & 1) == 1])
-                rare = t.behind(word[(ends & 1) == 0])
+                word = (ends >> 1) - base + t.first[owner]
+                own = (word >= t.first[owner]) & (word + gram <= t.first[owner + 1])  # of this part of a long text
+                common = t.behind(word[own & ((ends & 1) == 1)])
+                rare = t.behind(word[own & ((ends & 1) == 0)])
                 text = t.text[: len(t.least)]
                 known = np.zeros(len(t.least), bool)
 
+                # names of the windows that are looked at, from the words that they cover
+                edge = np.zeros(t.n + 1, np.int32)
+                edge[: len(known)] += common | rare
+                edge[window:] -= common | rare
+                covered = np.cumsum(edge[:-1]) > 0
+                names = _names(_word_numbers(t.spelled(np.flatnonzero(covered))), window)
+                number = np.cumsum(covered) - 1  # of each covered word among them
+
                 # by the window itself
                 single = np.flatnonzero(common)
-                key = t.second(single)
-                one, which, count = _classes(t.windows[single], key)
+                one, which, count = _classes(names[number[single]])
                 known[single[count[which] > 1]] = True
                 s = single[one]
-                if len(s):
-                    yield rows(key[one], u1[text[s]], u2[text[s]], t.place(s), np.ones(len(s), np.int64), t.windows[s])
+                yield from rows(t, t.windows[s], u1[text[s]], u2[text[s]], base + t.place(s), np.full(len(s), _NODE), s)
 
                 # by the end of the prefix; the first and last window say what a run of up to `window` windows holds
                 s, n = _stretches(rare, t.least, text)
                 if len(s):
-                    one, which, count = _classes(t.windows[s], t.windows[s + n - 1], n)
+                    one, which, count = _classes(names[number[s]], names[number[s + n - 1]], n)
                     again = (count[which] > 1) & (n <= window)
                     for i in np.flatnonzero(again):
                         known[s[i] : s[i] + n[i]] = True
                     send = ~again
                     send[one] = True
                     s, n = s[send], n[send]
-                    flat = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    yield rows(t.least[s], u1[text[s]], u2[text[s]], t.place(s), n, t.windows[flat])
+                    yield from rows(t, t.least[s], u1[text[s]], u2[text[s]], base + t.place(s), n, s)
 
                 s, n = _stretches(known, text)
-                if len(s):
-                    yield rows(u1[text[s]], u1[text[s]], u2[text[s]], t.place(s), n, None)
+                yield from rows(t, u1[text[s]], u1[text[s]], u2[text[s]], base + t.place(s), n)
 
     return flagged.mapInArrow(run, _SUFFIXES)
 
 
-def _meet(suffixes: DataFrame) -> DataFrame:
+def _parts(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of stretches of rows of about _SENT_WORDS in all."""
+    total, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _SENT_WORDS, "right")))
+        yield at, to
+        at = to
+
+
+def _deep_nodes(words: pa.Array, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start in the run, length) of the stretches of suffixes that lie below an internal node at depth `window`.
+
+    words: of each row, n + window - 1 of them, each with a space behind it. A whole group at least.
+    """
+    if not len(n):
+        return (np.zeros(0, np.int64),) * 3
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    ends = np.concatenate([[0], np.flatnonzero(data == 0x20) + 1]).astype(np.int32)
+    single = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    size = n + window - 1
+    row = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    names = _names(_word_numbers(single), window)[(np.cumsum(size) - size)[row] + inside]
+    order = np.argsort(names, kind="stable")  # suffixes in the order of their words
+    meets = names[order[1:]] == names[order[:-1]]  # neighbours that share a window
+    deep = np.zeros(len(names), bool)
+    deep[order[1:][meets]] = deep[order[:-1][meets]] = True
+    s, m = _stretches(deep, row)
+    return row[s], inside[s], m
+
+
+class _Nodes:
+    """Rows whose prefix is a whole window, by key: those that meet another row with the same words.
+
+    Of the last key only distinct words are kept from batch to batch, however many rows it has.
+    """
+
+    def __init__(self):
+        self.key, self.seen = None, {}  # words: the number of the row that waits for another, or None
+
+    def meet(self, t: pa.Table) -> list[tuple[int, int]]:
+        """(u1, at) of the rows of `t`, and of waiting ones, that are known to meet another by now."""
+        words = t.column("words").combine_chunks()
+        which = _word_numbers(words)
+        count = np.bincount(which)
+        u1, at, key = (t.column(c).to_numpy() for c in ("u1", "at", "key"))
+        deep, out = count[which] > 1, []
+        _, first = np.unique(which, return_index=True)
+        for k in dict.fromkeys((key[0], key[-1])):
+            mine = self.seen if k == self.key else {}
+            for i in first[key[first] == k]:
+                w = words[i].as_py()
+                if w not in mine:
+                    mine[w] = None if count[which[i]] > 1 else (u1[i], at[i])
+                else:
+                    deep[which == which[i]] = True
+                    if mine[w] is not None:
+                        out.append(mine[w])
+                        mine[w] = None
+            self.key, self.seen = k, mine
+        return out + list(zip(u1[deep], at[deep]))
+
+
+def _meet(suffixes: DataFrame, window: int) -> DataFrame:
     """(u1, u2, start, n): runs of windows of a text that repeat. Each key's rows are in one partition, in a row."""
 
-    def of(table: pa.Table) -> pa.RecordBatch:
-        n, col = table.column("n").to_numpy().astype(np.int64), table.column("hashes").combine_chunks()
-        col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
-        known = col.is_null().to_numpy(zero_copy_only=False)
-        own = np.where(known, 0, n)
-        hashes = np.frombuffer(b"".join(x for x in col.to_pylist() if x), np.uint64)
-        row = np.repeat(np.arange(len(n)), own)
-        _, which, count = _classes(hashes, table.column("key").to_numpy()[row])
-        s, m = _stretches(count[which] > 1, row) if len(hashes) else (np.zeros(0, np.int64),) * 2
-        inside = s - (np.cumsum(own) - own)[row[s]]
-        take = np.concatenate([row[s], np.flatnonzero(known)]).astype(np.int64)
-        at = table.column("at").to_numpy()[take]
-        start = (at & (2**31 - 1)) + np.concatenate([inside, np.zeros(known.sum(), np.int64)])
-        cols = [table.column("u1").to_numpy()[take], (at >> 32).astype(np.int32), start.astype(np.int32), np.concatenate([m, n[known]]).astype(np.int32)]
+    def told(u1, at, start, n) -> pa.RecordBatch:
+        at = np.asarray(at, np.int64)
+        cols = [np.asarray(u1, np.int64), (at >> 32).astype(np.int32), ((at & (2**31 - 1)) + start).astype(np.int32), np.asarray(n, np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["u1", "u2", "start", "n"])
 
+    def group(t: pa.Table) -> pa.RecordBatch:
+        words = t.column("words").combine_chunks()
+        row, start, n = _deep_nodes(words.chunk(0) if isinstance(words, pa.ChunkedArray) else words, t.column("n").to_numpy().astype(np.int64), window)
+        return told(t.column("u1").to_numpy()[row], t.column("at").to_numpy()[row], start, n)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the last key may go on in the next batch
+        held: pa.Table | None = None  # the last group, fewer than COMMON runs, may go on in the next batch
+        nodes = _Nodes()
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b])
-            t = t if held is None else pa.concat_tables([held, t])
-            key = t.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield of(t.slice(0, cut))
-            held = t.slice(cut)
+            t, n = pa.Table.from_batches([b]), b.column("n").to_numpy()
+            known = b.column("words").is_null().to_numpy(zero_copy_only=False)
+            own = t.filter(pa.array(known))
+            yield told(own.column("u1").to_numpy(), own.column("at").to_numpy(), 0, own.column("n").to_numpy())
+            own = t.filter(pa.array(~known & (n == _NODE)))
+            if own.num_rows and (met := nodes.meet(own)):
+                yield told(*zip(*met), 0, np.ones(len(met)))
+            own = t.filter(pa.array(~known & (n != _NODE)))
+            if own.num_rows:
+                own = own if held is None else pa.concat_tables([held, own])
+                key = own.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut:
+                    yield group(own.slice(0, cut).combine_chunks())
+                held = own.slice(cut)
         if held is not None:
-            yield of(held)
+            yield group(held.combine_chunks())
 
     return suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u1 long, u2 int, start int, n int")
 
@@ -376,12 +507,56 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     """
     flagged = texts.join(_ends(texts, window, gram), ["u1", "u2"])
     return (
-        _meet(_suffixes(flagged, window, gram))
+        _meet(_suffixes(flagged, window, gram), window)
         .groupBy("u1", "u2")
         .agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     )
 
 
+def _without(data: pa.Buffer, begin: np.ndarray, end: np.ndarray, least: int | None, keep_text: bool) -> tuple:
+    """(words, words removed, digest of the kept ones, their text) of a text without the words in begin .. end.
+
+    least: all words go if there are so many. Long texts are taken in parts.
+    """
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order]) if len(end) else end
+    if least is not None:
+        if (n := sum(len(part.split()) for part in _text_parts(data))) >= least:
+            return n, n, hashlib.sha256(b"").hexdigest(), "" if keep_text else None
+        begin = end = begin[:0]
+    total, kept, sha, texts = 0, 0, hashlib.sha256(), []
+    for part in _text_parts(data):
+        words = part.split()
+        if len(begin):  # a word stays if the intervals that begin at it or before have ended
+            at = np.arange(total, total + len(words))
+            k = np.searchsorted(begin, at, "right") - 1
+            words = [words[i] for i in np.flatnonzero((k < 0) | (end[k] <= at))]
+            total += len(at)
+        else:
+            total += len(words)
+        text = (b" " if kept and words else b"") + b" ".join(words)
+        kept += len(words)
+        sha.update(text)
+        if keep_text:
+            texts.append(text)
+    return total, total - kept, sha.hexdigest(), b"".join(texts).decode() if keep_text else None
+
+
+def _text_parts(data: pa.Buffer) -> Iterator[bytes]:
+    """The text in parts of about BATCH_BYTES, cut in front of white space."""
+    at, size = 0, data.size
+    while at < size:
+        to = min(size, at + BATCH_BYTES)
+        while to < size:
+            white = np.flatnonzero(_SPACE[np.frombuffer(data.slice(to, min(1 << 16, size - to)), np.uint8)])
+            if len(white):
+                to += int(white[0])
+                break
+            to = min(size, to + (1 << 16))
+        yield data.slice(at, to - at).to_pybytes()
+        at = to
+
+
 def remove_repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -402,19 +577,12 @@ def remove_repeats(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for data, copies, runs in zip(b.column("data"), b.column("copies").to_pylist(), b.column("runs").to_pylist()):
-                words = data.as_py().split()
-                total = len(words)
-                if copies > 1 and total >= window:
-                    words = []
-                elif runs:
-                    edge = np.zeros(total + 1, np.int32)
-                    np.add.at(edge, [r["start"] for r in runs], 1)
-                    np.add.at(edge, [r["start"] + r["n"] - 1 + window for r in runs], -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-                kept = b" ".join(words)
-                out.append((total, total - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None))
+            runs, out = b.column("runs"), []
+            first, last = (runs.flatten().field(c).to_numpy() for c in ("start", "n"))
+            size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(runs), 0).to_numpy())])
+            for i, (data, copies) in enumerate(zip(b.column("data"), b.column("copies"))):
+                begin, n = first[size[i] : size[i + 1]], last[size[i] : size[i + 1]]
+                out.append(_without(data.as_buffer(), begin, begin + n - 1 + window, window if copies.as_py() > 1 else None, keep_text))
             cols = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))] if out else []
             if cols:
                 names = ["u1", "u2", "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 + keep_text]

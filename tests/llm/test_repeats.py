@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from corvane.llm import repeats
@@ -53,6 +54,44 @@ def test_common_ends_and_small_batches(spark, monkeypatch, few):
     assert fx.rows(repeats.remove_repeats(fx.clashing(docs))) == expected(docs.collect(), 35)
 
 
+@pytest.mark.parametrize("depth", [1, 2, 5, 12, 35])
+def test_names_are_the_words(depth):
+    words = np.random.default_rng(depth).integers(0, 3, 4000)
+    names = repeats._names(words, depth)
+    assert len(names) == len(words) - depth + 1
+    told = {}
+    for i, k in enumerate(names.tolist()):
+        assert told.setdefault(k, tuple(words[i : i + depth])) == tuple(words[i : i + depth])
+    assert len(set(told.values())) == len(told)
+    assert [told[k] for k in sorted(told)] == sorted(told.values())  # the order of the tree
+
+
+def test_colliding_hashes(spark, monkeypatch):
+    """All words have one of two hashes: groups mix, yet words are compared."""
+    monkeypatch.setattr(repeats, "_mix", lambda x: x & np.uint64(1))
+    docs = fx.awkward_docs(spark, passages(spark)[:60]).repartition(3)
+    assert fx.rows(repeats.remove_repeats(docs)) == expected(docs.collect(), 35)
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 1500)
+    long = fx.words(6000, 50).split()
+    rows = [(1, " ".join(long)), (2, "\n\t".join(long[300:900]) + " \n"), (3, " ".join(long[2990:3024])), (4, " ".join(long[2990:3025])), (5, " ".join(long[5965:]) + " " + "z" * 4000), (6, "z" * 5000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], fx.DOCS)
+    assert fx.rows(repeats.remove_repeats(docs)) == expected(docs.collect(), 35)
+
+
+def test_one_window_in_many_batches(spark, monkeypatch):
+    """A common window comes once in most batches, so only the last step sees that it repeats."""
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 400)
+    monkeypatch.setattr(repeats, "COMMON", 5)
+    shared = fx.words(35, 77)
+    docs = spark.createDataFrame([(i, f"{fx.words(20, i)} {shared} {fx.words(20, 900 + i)}", "en", "s", 0) for i in range(200)], fx.DOCS)
+    monkeypatch.setattr(repeats, "_SENT_WORDS", 40)
+    got = repeats.remove_repeats(docs)
+    assert fx.rows(got) == expected(docs.collect(), 35) and min(r.n_removed for r in got.collect()) == 35
+
+
 def test_documents_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = [r[:4] for r in expected(docs.collect(), 35)]
