@@ -93,6 +93,23 @@ def may_enter(role: Column, *allowed: str) -> Column:
     return _true(role.isNotNull() & ((role == "ADMIN") | (role.isin(*allowed) if allowed else F.lit(True))))
 
 
+def is_candidate(role: Column) -> Column:
+    return one_of(role, "CANDIDAT")
+
+
+def is_admin(role: Column) -> Column:
+    return one_of(role, "ADMIN")
+
+
+def owns_profile(profile_user: Column, user: Column) -> Column:
+    return _true(profile_user == user)
+
+
+def is_anonymous() -> Column:
+    """Lets nobody in."""
+    return F.lit(False)
+
+
 def is_organisation(role: Column) -> Column:
     return one_of(role, *WRITERS)
 

@@ -17,22 +17,48 @@ class NotUnique(LookupError):
     """More than one row where one was asked for."""
 
 
-def order(spec: str | None, allowed: list[str], default: str, key: str = "id") -> list[Column]:
-    """Sort columns for a comma list of names, - for descending; unknown names are dropped, none left means the default.
+def terms(spec: str | None, allowed: list[str], default: str, key: str = "id") -> list[tuple[str, bool]]:
+    """(name, descending) of a comma list of names, - for descending; unknown names are dropped, none left means the default.
 
-    Nulls come last ascending and first descending, and the key breaks ties.
+    The key comes last, to break ties.
     """
     names = [t.strip() for t in (spec or "").split(",")]
-    terms = [t for t in names if t.removeprefix("-") in allowed] or [default]
-    cols = [F.col(t[1:]).desc_nulls_first() if t[0] == "-" else F.col(t).asc_nulls_last() for t in terms]
-    return cols if any(t.removeprefix("-") == key for t in terms) else [*cols, F.col(key).asc()]
+    kept = [t for t in names if t.removeprefix("-") in allowed] or [default]
+    out = [(t.removeprefix("-"), t.startswith("-")) for t in kept]
+    return out if any(n == key for n, _ in out) else [*out, (key, False)]
+
+
+def sorting(by: list[tuple[str, bool]], backwards: bool = False) -> list[Column]:
+    """Sort columns; nulls come last ascending and first descending, as if they were larger than all else."""
+    return [F.col(n).desc_nulls_first() if down != backwards else F.col(n).asc_nulls_last() for n, down in by]
+
+
+def order(spec: str | None, allowed: list[str], default: str, key: str = "id") -> list[Column]:
+    return sorting(terms(spec, allowed, default, key))
 
 
 def page(df: DataFrame, by: list[Column], number: int, size: int = PAGE_SIZE) -> DataFrame:
-    """Page `number` (from 1) without a look at the bounds; the plan takes the top rows of each task."""
+    """Page `number` (from 1) without a look at the bounds; the plan takes the top rows of each task.
+
+    Each task's queue holds all rows up to the page's end; for pages far from both ends see `following`.
+    """
     return df.orderBy(*by).offset((number - 1) * size).limit(size)
 
 
+def following(df: DataFrame, by: list[tuple[str, bool]], last: dict, size: int = PAGE_SIZE) -> DataFrame:
+    """The page behind a row whose values are `last`: a filter and a top-k of one page, however deep it lies."""
+    later, same = F.lit(False), F.lit(True)
+    for name, down in by:
+        c, v = F.col(name), last[name]
+        if v is None:
+            here = c.isNotNull() if down else F.lit(False)
+        else:
+            here = c < F.lit(v) if down else (c > F.lit(v)) | c.isNull()
+        later = later | (same & F.coalesce(here, F.lit(False)))
+        same = same & (c.isNull() if v is None else F.coalesce(c == F.lit(v), F.lit(False)))
+    return df.where(later).orderBy(*sorting(by)).limit(size)
+
+
 @dataclass(frozen=True)
 class Page:
     """A page with its envelope."""
@@ -51,8 +77,11 @@ class Page:
         return self.number - 1 if self.number > 1 else None
 
 
-def paginate(df: DataFrame, by: list[Column], number: int | str = 1, size: int = PAGE_SIZE) -> Page:
-    """The page asked for, or NotFound. "last" is the last page; an empty listing has one page."""
+def paginate(df: DataFrame, by: list[tuple[str, bool]] | list[Column], number: int | str = 1, size: int = PAGE_SIZE) -> Page:
+    """The page asked for, or NotFound. "last" is the last page; an empty listing has one page.
+
+    A page nearer to the end is taken from there, where `by` is from `terms`: the first rows of the reversed order, turned.
+    """
     count = df.count()
     pages = max(1, -(-count // size))
     if number == "last":
@@ -63,7 +92,14 @@ def paginate(df: DataFrame, by: list[Column], number: int | str = 1, size: int =
         raise NotFound(f"no page {number}") from None
     if not 1 <= number <= pages:
         raise NotFound(f"no page {number}")
-    return Page(count, number, pages, page(df, by, number, size))
+    if not isinstance(by[0], tuple):
+        rows = page(df, by, number, size)
+    elif 2 * number <= pages:
+        rows = page(df, sorting(by), number, size)
+    else:
+        behind = max(0, count - number * size)
+        rows = df.orderBy(*sorting(by, True)).offset(behind).limit(count - behind - (number - 1) * size).orderBy(*sorting(by))
+    return Page(count, number, pages, rows)
 
 
 def envelope(df: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:

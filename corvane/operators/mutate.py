@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,8 +51,11 @@ def delete_cascade(tables: dict[str, DataFrame], links: list[tuple[str, str, str
     out = dict(tables)
     gone = {name: keys.select(F.col(keys.columns[0]).alias("id"))}
     out[name] = delete(tables[name], gone[name])
+    parents = {parent for _, _, parent in links}
     for child, column, parent in links:
-        if parent in gone:
+        if parent in gone and child not in parents:  # nothing hangs on it, so its own keys are not needed
+            out[child] = delete(out[child], gone[parent], column)
+        elif parent in gone:
             mark = gone[parent].withColumnRenamed("id", "_gone")
             more = tables[child].join(mark, F.col(column) == F.col("_gone"), "left_semi").select("id")
             gone[child] = gone[child].unionByName(more).distinct() if child in gone else more
@@ -78,15 +81,25 @@ def attach(bridge: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def profiles_for_all(users: DataFrame, profiles: DataFrame) -> DataFrame:
-    """profiles with an empty one for each user without; ids go on from the largest."""
+    """profiles with an empty one for each user without; ids come after the largest there is."""
     new = users.join(profiles.select(F.col("utilisateur_id").alias("_user")), F.col("id") == F.col("_user"), "left_anti")
     text = {c: F.lit("") for c, kind in profiles.dtypes if kind == "string"}
     return insert(profiles, new.select(F.col("id").alias("utilisateur_id")), {"id": _next_id(profiles, "utilisateur_id"), **text})
 
 
 def _next_id(table: DataFrame, key: str) -> Column:
-    # a profile is known by its user, so an id derived from the user's needs no global numbering
-    return F.xxhash64(F.lit(table.columns[0]), F.col(key)).bitwiseAND(F.lit(2**63 - 1))
+    # a user has one profile and a positive id, so the largest id plus the user's is new and needs no global numbering
+    return F.lit(table.agg(F.max("id")).first()[0] or 0) + F.col(key)
+
+
+def save(df: DataFrame, root: str, version: int) -> None:
+    """Writes a snapshot as root/version=N; an error where there is one already, so that none is overwritten while read."""
+    df.write.parquet(f"{root}/version={version}")
+
+
+def load(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """The snapshot that was saved as `version`."""
+    return spark.read.parquet(f"{root}/version={version}")
 
 
 @dataclass(frozen=True)

@@ -77,6 +77,16 @@ def users(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """id, username, prenom, nom, niveau_experience: suppliers, who are candidates with a profile."""
+    s = table(spark, d, "supplier")
+    band = F.floor(F.col("s_acctbal") / 3000)
+    level = F.when(band <= 0, "DEBUTANT").when(band == 1, "JUNIOR").when(band == 2, "CONFIRME").otherwise("SENIOR")
+    return s.select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("username"), F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("prenom"), F.col("s_name").alias("nom"), level.alias("niveau_experience")
+    )
+
+
 def notifications(spark: SparkSession, d: str) -> DataFrame:
     """id, utilisateur_id, type_notification, lu (even k in the properties), date_creation, props."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -113,6 +123,10 @@ VIEWS = """
                case when c_custkey % 3 = 0 then 'CANDIDAT' when c_custkey % 3 = 1 then 'ORGANISATION' when c_custkey % 10 = 2 then 'ADMIN' end as role,
                c_acctbal as balance, c_nationkey as nation
         from customer
+    ), candidat as (
+        select s_suppkey as id, s_name as username, 'P' || s_suppkey as prenom, s_name as nom,
+               case when floor(s_acctbal / 3000) <= 0 then 'DEBUTANT' when floor(s_acctbal / 3000) = 1 then 'JUNIOR' when floor(s_acctbal / 3000) = 2 then 'CONFIRME' else 'SENIOR' end as niveau_experience
+        from supplier
     ), notification as (
         select event_id as id, user_id as utilisateur_id, event_type as type_notification,
                cast(json_extract_string(props, '$.k') as integer) % 2 = 0 as lu, ts as date_creation, props

@@ -81,9 +81,20 @@ def ordered_page(spark: SparkSession, d: str) -> DataFrame:
     limit 20 offset (select (greatest(1, cast(ceil(count(*) / 20.0) as bigint)) - 1) * 20 from opportunite where statut = 'ACTIVE')
 """)
 def last_page(spark: SparkSession, d: str) -> DataFrame:
-    """L2: the page named last, with its bounds checked."""
+    """L2: the page named last, with its bounds checked, taken from the end."""
     rows = board.active(spark, d).select("id", "date_publication")
-    return listing.paginate(rows, listing.order("", ORDERABLE, "-date_publication"), "last").results
+    return listing.paginate(rows, listing.terms("", ORDERABLE, "-date_publication"), "last").results
+
+
+@query("""
+    select id, date_limite, date_publication from opportunite where statut = 'ACTIVE'
+    order by date_limite desc nulls first, date_publication asc nulls last, id limit 20 offset 40
+""")
+def next_page(spark: SparkSession, d: str) -> DataFrame:
+    """L2 L3 O2 O3: the page behind another by the values of that page's last row, as deep pages are best reached."""
+    rows, by = board.active(spark, d).select("id", "date_limite", "date_publication"), listing.terms("-date_limite,date_publication", ORDERABLE, "-date_publication")
+    seen = listing.page(rows, listing.sorting(by), 2).collect()  # one page
+    return listing.following(rows, by, seen[-1].asDict()) if seen else rows.limit(0)
 
 
 @query("select doc_id, lang, quality from documents left join labels using (doc_id) order by quality desc nulls first, doc_id limit 20")
@@ -158,6 +169,72 @@ def admin_list(spark: SparkSession, d: str) -> DataFrame:
     return listing.page(board.users(spark, d).select("id", "username", "email", "role"), [F.desc("id")], 1, listing.ADMIN_PAGE_SIZE)
 
 
+@query("select nom, type_source, id from source order by id desc limit 100")
+def admin_sources(spark: SparkSession, d: str) -> DataFrame:
+    """O6 P11"""
+    return listing.page(board.sources(spark, d).select("nom", "type_source", "id"), [F.desc("id")], 1, listing.ADMIN_PAGE_SIZE)
+
+
+@query("select titre, type_opportunite, statut, date_publication, id from opportunite order by date_publication desc, id limit 100")
+def admin_opportunities(spark: SparkSession, d: str) -> DataFrame:
+    """The model's own order goes before newest first."""
+    rows = board.opportunities(spark, d).select("titre", "type_opportunite", "statut", "date_publication", "id")
+    return listing.page(rows, listing.order(None, [], "-date_publication"), 1, listing.ADMIN_PAGE_SIZE)
+
+
+@query("select prenom, nom, niveau_experience, id from candidat order by id desc limit 100")
+def admin_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """O6 P11"""
+    return listing.page(board.candidates(spark, d).select("prenom", "nom", "niveau_experience", "id"), [F.desc("id")], 1, listing.ADMIN_PAGE_SIZE)
+
+
+@query("""
+    select u.username as candidat, o.titre as opportunite, c.statut, c.date_creation, c.opportunite_id, c.line
+    from (select * from candidature order by opportunite_id desc, line desc, candidat_id, quantity, date_creation limit 100) c
+    join candidat u on u.id = c.candidat_id join opportunite o on o.id = c.opportunite_id
+""")
+def admin_applications(spark: SparkSession, d: str) -> DataFrame:
+    """Application to user and to opportunity; the page is cut before the joins."""
+    page = F.broadcast(_newest_applications(spark, d))
+    users = board.candidates(spark, d).select(F.col("id").alias("candidat_id"), F.col("username").alias("candidat"))
+    titles = board.opportunities(spark, d).select(F.col("id").alias("opportunite_id"), F.col("titre").alias("opportunite"))
+    rows = titles.join(F.broadcast(users.join(page, "candidat_id")), "opportunite_id")
+    return rows.select("candidat", "opportunite", "statut", "date_creation", "opportunite_id", "line")
+
+
+def _newest_applications(spark: SparkSession, d: str) -> DataFrame:
+    by = [F.desc("opportunite_id"), F.desc("line"), "candidat_id", "quantity", "date_creation"]
+    return listing.page(board.applications(spark, d), by, 1, listing.ADMIN_PAGE_SIZE)
+
+
+@query("""
+    select c.statut as type_document, u.username || ' - ' || o.titre as candidature, c.date_creation as date_upload, c.opportunite_id, c.line
+    from (select * from candidature order by opportunite_id desc, line desc, candidat_id, quantity, date_creation limit 100) c
+    join opportunite o on o.id = c.opportunite_id join utilisateur u on u.id = o.organisation_id
+""")
+def admin_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Document to application, and from there to user and opportunity for its display string."""
+    page = F.broadcast(_newest_applications(spark, d))
+    titles = board.opportunities(spark, d).select(F.col("id").alias("opportunite_id"), "titre", F.col("organisation_id").alias("user"))
+    names = board.users(spark, d).select(F.col("id").alias("user"), "username")
+    rows = names.join(F.broadcast(titles.join(page, "opportunite_id")), "user")
+    shown = F.concat_ws(" - ", "username", "titre").alias("candidature")
+    return rows.select(F.col("statut").alias("type_document"), shown, F.col("date_creation").alias("date_upload"), "opportunite_id", "line")
+
+
+@query("""
+    select username as utilisateur, type_notification, lu, cast(date_creation as date) as date_creation, n.id
+    from (select * from notification order by id desc limit 100) n left join utilisateur u on u.id = n.utilisateur_id
+""")
+def admin_notifications(spark: SparkSession, d: str) -> DataFrame:
+    """Notification to user; 100 rows meet the users."""
+    page = listing.page(board.notifications(spark, d).drop("props"), [F.desc("id")], 1, listing.ADMIN_PAGE_SIZE)
+    asked = F.broadcast(page.select(F.col("utilisateur_id").alias("id")))
+    names = nest.members(board.users(spark, d).select("id", "username"), asked, "id")
+    rows = page.join(F.broadcast(names.withColumnRenamed("id", "utilisateur_id")), "utilisateur_id", "left")
+    return rows.select(F.col("username").alias("utilisateur"), "type_notification", "lu", F.to_date("date_creation").alias("date_creation"), "id")
+
+
 @query("select id, username, email from utilisateur where contains(lower(username), '1') and (contains(lower(username), '5@ex') or contains(lower(email), '5@ex'))")
 def admin_search(spark: SparkSession, d: str) -> DataFrame:
     """every word in some field."""
@@ -241,6 +318,25 @@ def optional_profile(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "profil.quality", "profil.toxic", F.col("profil").isNotNull().alias("has_profile"))
 
 
+@query("""
+    select u.id, u.username, u.email, u.role, p.prenom as profil_prenom, p.niveau_experience as profil_niveau, p.id is not null as has_profile, coalesce(g.account_type, 'utilisateur') as account_type
+    from utilisateur u left join candidat p on p.id = u.id
+    left join (select organisation_id, arg_min(s.nom, s.id) as account_type from sourced join source s on s.id = source_id where type_opportunite = '5-LOW' group by organisation_id) g on g.organisation_id = u.id
+""")
+def user_projection(spark: SparkSession, d: str) -> DataFrame:
+    """A user with the nested profile and the account type of the first group; no password column."""
+    low = board.with_source_id(spark, d).where("type_opportunite = '5-LOW'")
+    bridge = low.select(F.col("organisation_id").alias("utilisateur_id"), F.col("source_id").alias("groupe_id")).distinct()
+    groups = board.sources(spark, d).select("id", F.col("nom").alias("name"))
+    rows = nest.first_group(board.users(spark, d).select("id", "username", "email", "role"), bridge, groups, "utilisateur")
+    profiles = board.candidates(spark, d).select(F.col("id").alias("utilisateur_id"), "prenom", "niveau_experience")
+    rows = nest.with_parent(rows, profiles, "id", "profil", "utilisateur_id", "left")
+    return rows.select(
+        "id", "username", "email", "role", F.col("profil.prenom").alias("profil_prenom"), F.col("profil.niveau_experience").alias("profil_niveau"),
+        F.col("profil").isNotNull().alias("has_profile"), "account_type",
+    )
+
+
 @query("select id, username from utilisateur where exists (select 1 from opportunite where organisation_id = utilisateur.id and type_opportunite = '1-URGENT')")
 def semi_member(spark: SparkSession, d: str) -> DataFrame:
     """J4 F10 F11 A13"""
@@ -324,11 +420,40 @@ def display(spark: SparkSession, d: str) -> DataFrame:
     ) o on o.organisation_id = u.id group by u.id
 """)
 def org_kpi(spark: SparkSession, d: str) -> DataFrame:
-    """One pass for each organisation."""
+    """One pass for each organisation."""
     rows = nest.child_counts(board.opportunities(spark, d), board.applications(spark, d), "opportunite_id", "n")
     return kpi.posted_kpis(rows, F.col("statut") == "ACTIVE", F.col("n"), F.length("titre"), ["organisation_id"]).withColumnRenamed("organisation_id", "id")
 
 
+@query("""
+    select candidat_id as id, count(distinct opportunite_id) filter (statut = 'NO') as saved, count(distinct opportunite_id) filter (statut <> 'NO') as applied, 1 as interviews, 24 as profile_views
+    from candidature group by candidat_id
+""")
+def dashboard_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How long each candidate's lists of saved and of applied opportunities are; two figures are constants."""
+    pairs = board.applications(spark, d).groupBy("candidat_id", "opportunite_id").agg(F.max(F.col("statut") == "NO").alias("saved"), F.max(F.col("statut") != "NO").alias("applied"))
+    return pairs.groupBy(F.col("candidat_id").alias("id")).agg(F.count_if("saved").alias("saved"), F.count_if("applied").alias("applied"), F.lit(1).alias("interviews"), F.lit(24).alias("profile_views"))
+
+
+@query("""
+    select '/opportunities/' || o.id as link, titre as title, type_opportunite as type, case when statut = 'ACTIVE' then 'Active' else 'Closed' end as status,
+           case when statut = 'ACTIVE' then 'default' else 'outline' end as variant, strftime(date_publication, '%Y-%m-%d') as posted, strftime(date_limite, '%Y-%m-%d') as deadline,
+           (select count(*) from candidature where opportunite_id = o.id) as applicants, length(titre) * 3 as views
+    from opportunite o where organisation_id = 7
+""")
+def posted_table(spark: SparkSession, d: str) -> DataFrame:
+    """What an organisation's table shows of each of its opportunities."""
+    rows = board.opportunities(spark, d).where("organisation_id = 7")
+    asked = nest.members(board.applications(spark, d), rows.select(F.col("id").alias("opportunite_id")), "opportunite_id")
+    active = F.col("statut") == "ACTIVE"
+    return nest.child_counts(rows, asked, "opportunite_id", "applicants").select(
+        F.concat(F.lit("/opportunities/"), F.col("id").cast("string")).alias("link"), F.col("titre").alias("title"), F.col("type_opportunite").alias("type"),
+        F.when(active, "Active").otherwise("Closed").alias("status"), F.when(active, "default").otherwise("outline").alias("variant"),
+        F.date_format("date_publication", "yyyy-MM-dd").alias("posted"), F.date_format("date_limite", "yyyy-MM-dd").alias("deadline"),
+        "applicants", (F.length("titre") * 3).cast("long").alias("views"),
+    )
+
+
 @query("select type_opportunite, count(*) as n from opportunite where statut = 'ACTIVE' group by type_opportunite")
 def active_by_type(spark: SparkSession, d: str) -> DataFrame:
     """An extension where the client shows constants."""
@@ -362,6 +487,26 @@ def fk_violation(spark: SparkSession, d: str) -> DataFrame:
     return validate.orphans(board.notifications(spark, d).select("id", "utilisateur_id"), "utilisateur_id", board.users(spark, d).where("nation <> 3"))
 
 
+@query("""
+    select doc_id, array_to_string(list_filter([case when d.lang is null then 'lang' end, case when quality is null then 'quality' end, case when toxic is null then 'toxic' end], lambda x: x is not null), ',') as missing
+    from documents d left join labels using (doc_id) where d.lang is null or quality is null or toxic is null
+""")
+def null_violation(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that a NOT NULL would reject, and their columns."""
+    rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    return validate.missing_values(rows, ["lang", "quality", "toxic"]).select("doc_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("""
+    select id, array_to_string(list_filter([case when length(title) > 10 then 'title' end, case when length(type) > 7 then 'type' end], lambda x: x is not null), ',') as too_long
+    from browse where length(title) > 10 or length(type) > 7
+""")
+def length_violation(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose texts do not fit, which must be none before a column is narrowed."""
+    rows = validate.too_long(board.browse(spark, d), {"title": 10, "type": 7})
+    return rows.select("id", F.array_join("too_long", ",").alias("too_long"))
+
+
 @query("""
     select id, array_to_string(list_filter([
         case when not regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') then 'email' end, case when not contains(email, '@') then 'at' end,
@@ -399,7 +544,7 @@ def url_check(spark: SparkSession, d: str) -> DataFrame:
     join utilisateur u on u.id = o.caller
 """)
 def permissions(spark: SparkSession, d: str) -> DataFrame:
-    """Who may write, change and enter; a row without an owner belongs to nobody."""
+    """Who may write, change and enter; a row without an owner belongs to nobody."""
     rows = board.opportunities(spark, d).select("id", F.when(F.col("id") % 6 != 0, F.col("organisation_id")).alias("owner"), F.col("organisation_id").alias("caller"))
     rows = rows.join(board.users(spark, d).select(F.col("id").alias("caller"), "role"), "caller")
     role = F.col("role")
@@ -413,6 +558,19 @@ def permissions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""
+    select id, coalesce(role = 'CANDIDAT', false) as is_candidate, coalesce(role = 'ADMIN', false) as is_admin, case when id % 4 = 0 then false else id % 9 = 5 end as owns_profile, false as is_anonymous
+    from utilisateur
+""")
+def role_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """the role rules that no route uses."""
+    owner = F.when(F.col("id") % 4 != 0, F.col("id") % 9)
+    return board.users(spark, d).select(
+        "id", P.is_candidate(F.col("role")).alias("is_candidate"), P.is_admin(F.col("role")).alias("is_admin"),
+        P.owns_profile(owner, F.lit(5)).alias("owns_profile"), P.is_anonymous().alias("is_anonymous"),
+    )
+
+
 @query("""
     select id, case when id % 5 = 0 then null else 1000 + id end as exp, coalesce(2000000 >= (case when id % 5 = 0 then null else 1000 + id end) * 1000, true) as expired,
            not coalesce(2000000 >= (case when id % 5 = 0 then null else 1000 + id end) * 1000, true) or id % 3 = 0 as valid,
@@ -485,7 +643,7 @@ def labels_and_casts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select id, cast(date_creation at time zone 'UTC' at time zone 'Africa/Tunis' as varchar) as shown from notification")
 def local_time(spark: SparkSession, d: str) -> DataFrame:
-    """C17 P16"""
+    """C17"""
     at = X.in_tunis(F.col("date_creation").cast("timestamp"))
     return board.notifications(spark, d).select("id", at.cast("string").alias("shown"))
 
@@ -525,7 +683,7 @@ def mail_and_links(spark: SparkSession, d: str) -> DataFrame:
 def get_or_create(spark: SparkSession, d: str) -> DataFrame:
     """U6 M9"""
     groups = board.notifications(spark, d).select(F.col("type_notification").alias("name")).distinct()
-    wanted = spark.createDataFrame([(n,) for n in ("CANDIDAT", "ORGANISATION", "ADMIN", "click")], "name string")
+    wanted = spark.sql("select * from values ('CANDIDAT'), ('ORGANISATION'), ('ADMIN'), ('click') as t(name)")
     return mutate.get_or_create(groups, wanted, ["name"])
 
 
@@ -604,7 +762,7 @@ def register(spark: SparkSession, d: str) -> DataFrame:
     role = F.when(F.col("s_suppkey") % 3 == 0, "ORGANISATION").when(F.col("s_suppkey") % 3 == 1, "CANDIDAT").otherwise("ADMIN")
     forms = s.select((F.col("s_suppkey") + 1_000_000).alias("id"), F.concat(F.lower("s_name"), F.lit("@example.org")).alias("email"), none.alias("first_name"), F.col("s_name").alias("last_name"), role.alias("account_type"))
     users = board.users(spark, d).select("id", "username", "email", none.alias("first_name"), none.alias("last_name"))
-    groups = spark.createDataFrame([(1, "CANDIDAT"), (2, "ORGANISATION"), (3, "ADMIN")], "id int, name string")
+    groups = spark.sql("select * from values (1, 'CANDIDAT'), (2, 'ORGANISATION'), (3, 'ADMIN') as t(id, name)")
     bridge = board.users(spark, d).select(F.col("id").alias("utilisateur_id"), F.lit(1).alias("groupe_id")).limit(0)
     profiles = board.users(spark, d).select("id", F.col("id").alias("utilisateur_id"), none.alias("nom"), none.alias("prenom"), none.alias("competences"))
     done = mutate.register(users, groups, bridge, profiles, forms, "Bienvenue")

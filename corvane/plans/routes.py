@@ -37,11 +37,11 @@ def list_opportunities(opportunities: DataFrame, sources: DataFrame, params: Map
     if source is not None and sources.where(F.col("id") == source).isEmpty():
         raise Invalid(f"there is no source {source}")
     conditions = [F.col("statut") == "ACTIVE", P.equals_or_any(F.col("type_opportunite"), kind), P.equals_or_any(F.col("statut"), status), P.equals_or_any(F.col("source_id"), source)]
-    by = listing.order(params.get("ordering"), ["date_publication", "date_limite", "date_creation"], "-date_publication")
+    by = listing.terms(params.get("ordering"), ["date_publication", "date_limite", "date_creation"], "-date_publication")
     found = listing.paginate(opportunities.where(P.every(*conditions)), by, params.get("page") or 1)
     # a page of 20 rows meets the sources
     rows = nest.with_parent(found.results, sources, "source_id", "source").drop("source_id")
-    return listing.Page(found.count, found.number, found.pages, rows.orderBy(*by))
+    return listing.Page(found.count, found.number, found.pages, rows.orderBy(*listing.sorting(by)))
 
 
 def opportunity(opportunities: DataFrame, key: int):
@@ -50,17 +50,17 @@ def opportunity(opportunities: DataFrame, key: int):
 
 
 def list_sources(sources: DataFrame, params: Mapping) -> listing.Page:
-    by = listing.order(params.get("ordering"), ["id", "nom", "url", "type_source"], "id")
+    by = listing.terms(params.get("ordering"), ["id", "nom", "url", "type_source"], "id")
     return listing.paginate(sources, by, params.get("page") or 1)
 
 
 def list_applications(applications: DataFrame, documents: DataFrame, user: int, params: Mapping) -> listing.Page:
     """The caller's applications, each with its documents; the page is cut before the documents join it."""
     columns = ["id", "opportunite_id", "statut", "url_source", "date_creation", "derniere_mise_a_jour"]
-    by = listing.order(params.get("ordering"), columns, "id")
+    by = listing.terms(params.get("ordering"), columns, "id")
     found = listing.paginate(applications.where(F.col("candidat_id") == user), by, params.get("page") or 1)
     rows = nest.with_children(found.results, documents, "candidature_id", "documents", ["id", "type_document", "fichier", "date_upload"])
-    return listing.Page(found.count, found.number, found.pages, rows.orderBy(*by))
+    return listing.Page(found.count, found.number, found.pages, rows.orderBy(*listing.sorting(by)))
 
 
 def profile(users: DataFrame, profiles: DataFrame, bridge: DataFrame, groups: DataFrame, user: int):

@@ -15,6 +15,44 @@ BROWSE = (
 SAVED = (("2", "Active"), ("5", "Active"), ("8", "Active"))
 APPLIED = (("1", "Under Review"), ("7", "Interview Scheduled"))
 POSTED = (("1", "Job Offer", "Active", 42, 328), ("3", "Project", "Active", 18, 156), ("9", "Job Offer", "Closed", 87, 542))
+#: The detail page's only row, but for its id, which comes from the address, and its prose.
+DETAIL = {
+    "title": "Senior Software Engineer",
+    "organization": "TechCorp Inc.",
+    "type": "Job Offer",
+    "location": "Remote",
+    "locationType": "Fully Remote",
+    "salary": "$120,000 - $160,000",
+    "postedDate": "February 8, 2026",
+    "deadline": "March 15, 2026",
+    "employmentType": "Full-time",
+    "experience": "5+ years",
+    "tags": ["React", "Node.js", "TypeScript", "PostgreSQL", "AWS"],
+    "responsibilities": [
+        "Design and implement new features for our platform",
+        "Lead technical discussions and architectural decisions",
+        "Mentor junior engineers and conduct code reviews",
+        "Collaborate with product and design teams",
+        "Optimize application performance and scalability",
+    ],
+    "requirements": [
+        "5+ years of professional software development experience",
+        "Strong expertise in React, Node.js, and TypeScript",
+        "Experience with PostgreSQL and database design",
+        "Familiarity with AWS services and cloud architecture",
+        "Excellent problem-solving and communication skills",
+    ],
+    "benefits": [
+        "Competitive salary and equity package",
+        "Health, dental, and vision insurance",
+        "401(k) matching",
+        "Unlimited PTO",
+        "Remote work flexibility",
+        "Professional development budget",
+    ],
+    "applicationUrl": "https://example.com/apply",
+}
+TYPE_COUNTS = (("Job Offers", "1,234"), ("Projects", "567"), ("Funding", "189"), ("Research", "342"))
 EXPERIENCE = {"DEBUTANT": "0-1", "JUNIOR": "1-3", "CONFIRME": "3-5", "SENIOR": "5+"}  # bands of years
 
 #: The codes of the enumerations.
@@ -56,3 +94,14 @@ def applied(spark: SparkSession) -> DataFrame:
 
 def posted(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POSTED, "id string, type string, status string, applicants int, views int")
+
+
+def detail(spark: SparkSession, id: str | None) -> DataFrame:
+    """One wide row with nested lists; only its id varies, "1" where there is none."""
+    fields = ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'string'}" for k, v in DETAIL.items())
+    return spark.createDataFrame([(id or "1", *DETAIL.values())], f"id string, {fields}")
+
+
+def type_counts(spark: SparkSession) -> DataFrame:
+    """What the home page shows as constants; plans.queries counts real rows as active_by_type."""
+    return spark.createDataFrame(TYPE_COUNTS, "title string, count string")

@@ -219,3 +219,58 @@ def test_entities_can_be_read(spark):
     rows = spark.createDataFrame([("EMPLOI",), ("OFFRE_EMPLOI",), (None,)], "t string")
     bad = validate.broken(rows, P.one_of(F.col("t"), *literals.ENUMS["type_opportunite"]))
     assert sorted((r.t for r in bad.collect()), key=str) == [None, "OFFRE_EMPLOI"]
+
+
+def test_pages_from_both_ends(spark):
+    rows = [(i, None if i % 7 == 0 else i % 5) for i in range(95)]
+    df = spark.createDataFrame(rows, "id long, d int").repartition(4)
+    for spec in ("d", "-d"):
+        by = listing.terms(spec, ["d"], "d")
+        assert [str(c) for c in listing.sorting(by)] == [str(c) for c in listing.order(spec, ["d"], "d")]
+        whole = [r.id for r in df.orderBy(*listing.sorting(by)).collect()]
+        for n in range(1, 6):
+            got = listing.paginate(df, by, n)
+            assert [r.id for r in got.results.collect()] == whole[(n - 1) * 20 : n * 20] and got.pages == 5
+        last, seen = None, []
+        while True:
+            page = (df.orderBy(*listing.sorting(by)).limit(20) if last is None else listing.following(df, by, last)).collect()
+            if not page:
+                break
+            seen += [r.id for r in page]
+            last = page[-1].asDict()
+        assert seen == whole
+    assert listing.paginate(df.limit(0), by, "last").results.collect() == []
+
+
+def test_snapshots_are_written_once(spark, tmp_path):
+    root = str(tmp_path / "snapshots")
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    mutate.save(first, root, 1)
+    mutate.save(mutate.delete(mutate.load(spark, root, 1), spark.createDataFrame([(1,)], "id long")), root, 2)
+    assert mutate.load(spark, root, 1).count() == 2 and [tuple(r) for r in mutate.load(spark, root, 2).collect()] == [(2, "b")]
+    with pytest.raises(Exception, match="already exists"):
+        mutate.save(first, root, 2)
+
+
+def test_cascade_to_leaves_and_further(spark):
+    make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    tables = {
+        "user": make([(1,), (2,)], "id long"), "opp": make([(10, 1), (11, 2), (12, None)], "id long, u long"),
+        "app": make([(100, 10, 2), (101, 11, 1), (102, 11, 2), (103, None, 2)], "id long, o long, u long"), "doc": make([(7, 100), (8, 101), (9, 102)], "id long, a long"),
+    }
+    links = [("opp", "u", "user"), ("app", "o", "opp"), ("app", "u", "user"), ("doc", "a", "app")]
+    out = mutate.delete_cascade(tables, links, "user", make([(1,)], "id long"))
+    assert {k: sorted(r.id for r in v.collect()) for k, v in out.items()} == {"user": [2], "opp": [11, 12], "app": [102, 103], "doc": [9]}
+
+
+def test_literal_detail(spark):
+    row = literals.detail(spark, "42").first()
+    assert row.id == "42" and len(row.tags) == 5 and len(row.benefits) == 6 and literals.detail(spark, None).first().id == "1"
+    assert literals.type_counts(spark).count() == 4
+
+
+def test_new_profile_ids_are_new(spark):
+    profiles = spark.createDataFrame([(50, 1, "a"), (7, 2, "b")], "id long, utilisateur_id long, nom string")
+    users = spark.createDataFrame([(i,) for i in range(1, 60)], "id long")
+    out = mutate.profiles_for_all(users, profiles)
+    assert out.count() == 59 and validate.not_unique(out, ["id"]).count() == 0
