@@ -13,10 +13,12 @@ SHARDS = 24
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprint and the least doc_id that links of two bits or fewer reach."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards whose row counts differ by one at most, with size and CRC of each text."""
     text = F.col("row.text")
     return sharding.shuffle_to_shards(table(spark, sf_dir, "documents"), SHARDS).select(
         F.col("row.doc_id").alias("doc_id"),
@@ -30,10 +32,12 @@ def op2_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the largest doc_id among equal texts, the size of that group and a digest."""
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the slot that the mix gives them; shares are of sources, or of the pool of tiny ones."""
     return mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id", "source"]).select(
         F.col("row.doc_id").alias("doc_id"),
         F.col("row.source").alias("source"),
@@ -46,14 +50,17 @@ def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as piece ids, with what the second and third best segmentation would change."""
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
 def op6_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other vectors of each row whose vec_id is divisible by 20."""
     return additive.search(table(spark, sf_dir, "embeddings"))
 
 
 def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a score that trees fitted on labelled rows outside the held-out fold give."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -61,6 +68,7 @@ TRICKY = "\\### Assistant: </turn> ok"  # a text that looks like the template an
 
 
 def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that looks like the template, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     quoted = TRICKY.replace("\\", "\\\\")
     tricky = spark.sql(f"select * from values (-7L, 0, 'user', '{quoted}'), (-7L, 1, 'assistant', '{quoted}') as t(conv_id, turn, role, text)")
@@ -79,11 +87,13 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the licence of the whole text and those that single lines name."""
     found = licences.scan(table(spark, sf_dir, "documents"))
     return found.withColumn("notices", F.array_join("notices", " "))
 
 
 def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of windows that also start elsewhere."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
