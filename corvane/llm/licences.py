@@ -1,6 +1,6 @@
 """License scans by canonical digests.
 
-A text is brought to a canonical form: lower case, copyright lines dropped, equivalent spellings replaced, punctuation
+A text is brought to a canonical form: lower case, copyright notices dropped, equivalent spellings replaced, punctuation
 and white space reduced to single spaces. Texts are equal to a known licence if the SHA-256 digests of their forms are;
 a hash join against the digests of known texts finds them. Whole documents are looked up, and each of their lines by
 itself, since short notices stand on lines of their own.
@@ -13,8 +13,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lines that text_digest drops, those that begin with a copyright notice, after lower case; and spellings that count as the same.
-COPYRIGHT_LINE = r"^[^a-z0-9©]*(copyright\b|copr\.|\(c\)|©|all rights reserved)"
+#: Spellings that count as the same.
 SPELLINGS = {
     "https": "http", "licence": "license", "licenced": "licensed", "licences": "licenses", "sublicence": "sublicense", "organisation": "organization",
     "organisations": "organizations", "acknowledgement": "acknowledgment", "analogue": "analog", "artefact": "artifact", "authorisation": "authorization",
@@ -146,13 +145,12 @@ KNOWN = _known()
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of a text; a null text has that of an empty one."""
-    lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n")
-    return _words(F.array_join(F.filter(lines, lambda line: ~line.rlike(COPYRIGHT_LINE)), " "))
+    """The canonical form of a text, whole; a null text has that of an empty one."""
+    return _words(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def without_notices(text: Column) -> Column:
-    """The form by which licences are looked up: as canonical(), but only notices go, not what else is on their lines."""
+    """The form by which licences are looked up: as canonical(), but copyright notices go, not what else is on their lines."""
     lower = F.lower(F.coalesce(text, F.lit("")))
     return _words(F.when(lower.rlike(MAY_HOLD_NOTICE), F.regexp_replace(lower, NOTICE, " ")).otherwise(lower))
 
@@ -182,9 +180,9 @@ def scan(docs: DataFrame, known: tuple = KNOWN, id_col: str = "doc_id", text_col
     """One row for each row of `docs`: doc_id, text_digest, licence, notices, n_notices.
 
     licence is that of the whole text, null if it is not a known one. notices are the licences that single lines name,
-    sorted, each once; n_notices counts the lines. text_digest is of the canonical form, which loses lines that begin with a
-    copyright notice; look-ups keep what else stands on them. Null texts count as empty. Texts whose canonical form is empty are no
-    licence. Columns other than the two named are not read.
+    sorted, each once; n_notices counts the lines. text_digest is of the whole text's canonical form; look-ups leave out
+    copyright notices, but nothing else that stands on their lines, so line breaks make no difference. Null texts count as
+    empty. Texts whose canonical form is empty are no licence. Columns other than the two named are not read.
     """
     digests = F.broadcast(known_digests(docs.sparkSession, known))  # bounded by `known`
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -114,11 +114,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+#: Lines that begin with a notice: all that the SQL drops, as its patterns cannot look ahead. Where text follows a notice
+#: on its line, or a licence's own words begin a line with "copyright", only the operator is right.
+_COPYRIGHT_LINE = r"^[^a-z0-9©]*(copyright\b|copr\.|\(c\)|©|all rights reserved)"
+
+
 def _canonical(text: str) -> str:
     """SQL for licences.canonical."""
+    return _words(f"lower(coalesce({text}, ''))")
+
+
+def _looked_up(text: str) -> str:
+    """SQL for licences.without_notices, where notices have their lines to themselves."""
     lines = f"string_split(lower(coalesce({text}, '')), chr(10))"
-    kept = f"array_to_string(list_filter({lines}, lambda x: not regexp_matches(x, '{licences.COPYRIGHT_LINE}')), ' ')"
-    words = f"' ' || trim(regexp_replace({kept}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    return _words(f"array_to_string(list_filter({lines}, lambda x: not regexp_matches(x, '{_COPYRIGHT_LINE}')), ' ')")
+
+
+def _words(text: str) -> str:
+    words = f"' ' || trim(regexp_replace({text}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
     for old, new in licences.SPELLINGS.items():
         words = f"replace({words}, ' {old} ', ' {new} ')"
     return f"trim({words})"
@@ -192,16 +205,16 @@ SQL: dict[str, str] = {
     """,
     "op9_licence_digests": f"""
         with known as (
-            select sha256({_canonical("text")}) as digest, min(licence) as licence from (values {_KNOWN}) v(licence, text) group by 1
+            select sha256({_looked_up("text")}) as digest, min(licence) as licence from (values {_KNOWN}) v(licence, text) group by 1
         ), lines as (
             select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents
         ), notices as (
             select doc_id, string_agg(distinct licence, ' ' order by licence) as notices, count(*) as n
-            from lines join known on digest = sha256({_canonical("line")}) group by doc_id
+            from lines join known on digest = sha256({_looked_up("line")}) group by doc_id
         ), texts as (
-            select doc_id, sha256({_canonical("text")}) as text_digest from documents
+            select doc_id, sha256({_canonical("text")}) as text_digest, sha256({_looked_up("text")}) as looked_up from documents
         )
         select doc_id, text_digest, licence, coalesce(notices, '') as notices, coalesce(n, 0) as n_notices
-        from texts left join known on digest = text_digest left join notices using (doc_id)
+        from texts left join known on digest = looked_up left join notices using (doc_id)
     """,
 }

@@ -5,11 +5,12 @@ import textwrap
 from pyspark.sql import functions as F
 
 from corvane.llm import licences as L
+from corvane.llm import queries
 from tests.llm import fixtures as fx
 
 
-def form(text):
-    lines = [x for x in (text or "").lower().split("\n") if not re.search(L.COPYRIGHT_LINE, x)]
+def form(text, whole=False):
+    lines = [x for x in (text or "").lower().split("\n") if whole or not re.search(queries._COPYRIGHT_LINE, x)]
     words = re.sub(r"[\W_]+", " ", " ".join(lines)).strip()
     words = f" {words} "
     for old, new in L.SPELLINGS.items():
@@ -23,7 +24,7 @@ def expected(docs):
     out = []
     for r in docs:
         lines = [known[d] for d in map(sha, (r.text or "").split("\n")) if d in known]
-        out.append((r.doc_id, sha(r.text), known.get(sha(r.text)), sorted(set(lines)), len(lines)))
+        out.append((r.doc_id, hashlib.sha256(form(r.text, True).encode()).hexdigest(), known.get(sha(r.text)), sorted(set(lines)), len(lines)))
     return sorted(out, key=repr)
 
 
@@ -73,7 +74,7 @@ def test_text_behind_a_notice(spark):
     mit = L.KNOWN[0][1].replace("<year> <copyright holders>", "2020 A. N. Other, Inc.")
     bare = mit.split("\n\n", 1)[1]
     wrapped = lambda n: "\n".join(textwrap.wrap(bare.split("\n\n", 1)[1], n))
-    texts = [" ".join(mit.split()), " ".join(bare.split()), *("Copyright (c) 2020 X\n\n" + wrapped(n) for n in range(40, 100, 3)), bare.replace("Inc.", "Inc. All rights reserved.")]
+    texts = [" ".join(mit.split()), " ".join(bare.split()), *("Copyright (c) 2020 X\n\n" + wrapped(n) for n in range(40, 121)), bare.replace("Inc.", "Inc. All rights reserved.")]
     texts += ["Copyright 2021 A. Licensed under CC BY-NC 4.0.", "x\n(c) 2019 Foo Ltd. Released under the MIT License."]
     texts += ["Copyright 2020 Jane Doe. Selling is not allowed.\n" + bare, "Copyright licence terms forbid sale.\n" + bare]
     docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], fx.DOCS)
