@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import cut, starts
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 TASK_BYTES = 64 << 20
 LEAST_BUCKETS = 64
 REPEATS = 1000  # rows with one id and text that may share a bucket
