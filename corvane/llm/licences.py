@@ -8,6 +8,7 @@ itself, since short notices stand on lines of their own.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -176,6 +177,26 @@ def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
     return rows.groupBy(lookup_digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
+def marks(known: tuple) -> str:
+    """A pattern that every text with the form of a known one matches in lower case: few words, one of which each has.
+
+    Words are taken from lines that no notice can be on. Where a text has none, the pattern matches all.
+    """
+    left = []
+    for _, t in known:
+        words = {w for x in t.lower().split("\n") if not re.search(MAY_HOLD_NOTICE, x) for w in re.findall("[a-z]{3,}", x)}
+        words = {new for w in words for new in re.findall("[a-z]{3,}", SPELLINGS.get(w, w))}
+        left.append({w for w in words if len(w) > 5} or words)  # long words are in fewer other texts
+    chosen: list[str] = []
+    while left:
+        if not all(left):
+            return ""
+        often = Counter(w for words in left for w in words)
+        chosen.append(min(often, key=lambda w: (-often[w], w)))
+        left = [words for words in left if not any(chosen[-1] in w for w in words)]
+    return "|".join(chosen + [old for old, new in SPELLINGS.items() if any(w in new for w in chosen)])
+
+
 def scan(docs: DataFrame, known: tuple = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, text_digest, licence, notices, n_notices.
 
@@ -185,12 +206,16 @@ def scan(docs: DataFrame, known: tuple = KNOWN, id_col: str = "doc_id", text_col
     empty. Texts whose canonical form is empty are no licence. Columns other than the two named are not read.
     """
     digests = F.broadcast(known_digests(docs.sparkSession, known))  # bounded by `known`
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text, pattern = F.coalesce(F.col(text_col), F.lit("")), marks(known)
+    marked = lambda x: F.lower(x).rlike(pattern)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), digest(text).alias("text_digest"), lookup_digest(text).alias("looked_up"), F.split(text, "\n").alias("lines")
-    )
-    # most lines are longer or shorter than any notice; the whole text is looked up with its lines
-    looked = rows.select("row", "doc_id", "text_digest", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("looked_up").alias("digest"))), F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), lookup_digest(x).alias("digest"))))).alias("at"))
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), digest(text).alias("text_digest"),
+        # lines without any of the words are no notice, and a text without them has no such line
+        F.when(marked(text), F.struct(lookup_digest(text).alias("digest"), F.filter(F.split(text, "\n"), marked).alias("lines"))).alias("looked_up"),
+    )
+    at = lambda whole, d: F.struct(F.lit(whole).alias("whole"), d.alias("digest"))
+    lines = F.transform(F.coalesce("looked_up.lines", F.array().cast("array<string>")), lambda x: at(False, lookup_digest(x)))
+    looked = rows.select("row", "doc_id", "text_digest", F.explode(F.concat(F.array(at(True, F.col("looked_up.digest"))), lines)).alias("at"))
     found = looked.select("row", "doc_id", "text_digest", "at.whole", "at.digest").join(digests, "digest", "left")
     notice = F.when(~F.col("whole"), F.col("licence"))
     return (

@@ -82,3 +82,12 @@ def test_text_behind_a_notice(spark):
     assert [r.licence for r in got[:-4]] == ["MIT"] * (len(texts) - 4)
     assert [r.notices for r in got[-4:-2]] == [["CC-BY-NC-4.0"], ["MIT"]]
     assert [r.licence for r in got[-2:]] == [None, None]
+
+
+def test_marks(spark):
+    pattern = L.marks(L.KNOWN)
+    assert pattern.count("|") < 20 and all(re.search(pattern, t.lower()) for _, t in L.KNOWN)
+    assert L.marks((("X", "Copyright only"),)) == "" and re.search(L.marks((("X", "Organization law"),)), "organisation law")
+    docs = spark.createDataFrame([(1, "Copyright only", "en", "s", 0), (2, "x\nthe organisation's law", "en", "s", 0)], fx.DOCS)
+    got = {r.doc_id: r for r in L.scan(docs, (("A", "the organization s law"), ("B", "copyright only"))).collect()}
+    assert got[2].notices == ["A"] and got[1].notices == ["B"]
