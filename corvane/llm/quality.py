@@ -6,7 +6,6 @@ trees are complete binary trees in flat arrays, so scoring walks all rows down a
 """
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,6 +31,10 @@ _KIND[ord("a") : ord("z") + 1], _KIND[ord("A") : ord("Z") + 1], _KIND[ord("0") :
 _KIND[[0x20, *range(0x09, 0x0E)]] = 3
 _KIND[[ord(c) for c in ".,;:!?'\""]] = 4
 _KIND[128:] = 6
+_WORD, _ENDS_SENTENCE = _KIND != 3, np.zeros(256, bool)
+_ENDS_SENTENCE[[ord(c) for c in ".!?"]] = True
+_ODD_END = ~np.isin(_KIND, (0, 1, 2, 6))  # of the last byte of a word
+_ODD_END[[ord(c) for c in ",.;:"]] = False
 
 
 def statistics(text: bytes | None) -> list[float]:
@@ -39,12 +42,16 @@ def statistics(text: bytes | None) -> list[float]:
     words = (text or b"").split()
     if not words:
         return [0.0] * len(FEATURES)
-    n, count = len(words), np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    size = len(text)
+    n, data = len(words), np.frombuffer(text, np.uint8)
+    count, size = np.bincount(data, minlength=256), len(text)
     kinds = np.bincount(_KIND, weights=count, minlength=7) / size
     p = count[count > 0] / size
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    _, ids = np.unique(np.fromiter(map(hash_word, words), np.int64, n), return_inverse=True)
+    # words are split by the white space of _KIND, so their bounds follow from the bytes
+    edge = np.flatnonzero(np.diff(_WORD[data], prepend=False, append=False))
+    begin, end = edge[::2], edge[1::2]
+    lengths, first, last = end - begin, data[begin], data[end - 1]
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, n)
     often = np.bincount(ids)
     top = np.sort(often)[::-1]
     if n > 1:
@@ -54,11 +61,8 @@ def statistics(text: bytes | None) -> list[float]:
     else:
         repeated, distinct = 0.0, 1.0
     lines = [x for x in text.split(b"\n") if x.strip()]
-    first = np.fromiter((w[0] for w in words), np.uint8, n)
-    last = np.fromiter((w[-1] for w in words), np.uint8, n)
     capital = (first >= 65) & (first <= 90)
-    ended = np.isin(last, (46, 33, 63))
-    odd = (last < 128) & ~np.isin(_KIND[last], (0, 1, 2)) & ~np.isin(last, (44, 46, 59, 58))
+    ended, odd = _ENDS_SENTENCE[last], _ODD_END[last]
     starts = np.concatenate([[True], ended[:-1]])
     return [
         np.log1p(size), np.log1p(n), np.log1p(len(lines)), lengths.mean(), lengths.std(), np.log1p(lengths.max()), kinds[0], kinds[1], kinds[2],
@@ -68,11 +72,6 @@ def statistics(text: bytes | None) -> list[float]:
     ]
 
 
-def hash_word(word: bytes) -> int:
-    """The same in every process, as hash() is not."""
-    return zlib.crc32(word) << 16 ^ zlib.adler32(word)
-
-
 @dataclass(frozen=True)
 class Trees:
     """Complete trees of one depth in level order: feature and cut of inner nodes, values of leaves."""
