@@ -18,6 +18,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 #: Of a public tokenizer; a path that all executors have, or a file that the cluster was given with addFile.
 MODEL = os.environ.get("CORVANE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 N_BEST = 3
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 21
 LONG_WORD = 256
 _LATTICE_CHARS, _BLOCK, _CACHED = 200_000, 1 << 15, 64
 _MARK, _PENALTY = "▁", 10.0  # U+2581; what an unknown character costs beyond the worst piece
@@ -127,7 +128,7 @@ class Words:
 
     def __init__(self, words: list[str], model: Pieces):
         # words of one length side by side, so that the words still going on are always the first ones
-        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        order = np.argsort(-np.fromiter(map(len, words), np.int64, len(words)), kind="stable").tolist()
         self.loss, self.score = np.full(len(words), np.inf), np.zeros(len(words))
         ids, at = [], 0
         while at < len(order) and len(words[order[at]]) > LONG_WORD:
@@ -388,6 +389,13 @@ def decode_ids(ids: list[int], model: Pieces) -> str:
     return b"".join(map(model.text.__getitem__, ids)).decode(errors="replace")[1:]
 
 
+def _numbered(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+    """The words of each text by number, and the words."""
+    split = [_WORDS.findall(" " + t) if t else [] for t in texts]
+    number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+    return [np.fromiter(map(number.__getitem__, s), np.int64, len(s)) for s in split], list(number)
+
+
 SCHEMA = "n_pieces int, score double, ids array<int>, others array<struct<loss: double, edits: array<struct<start: int, length: int, ids: array<int>>>>>, round_trip boolean"
 _EDIT = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])
 _OTHERS = pa.list_(pa.struct([("loss", pa.float64()), ("edits", pa.list_(_EDIT))]))
@@ -410,9 +418,7 @@ def encode(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST, id_col: str
                 while to < len(texts) and (to == at or size + len(texts[to]) <= BATCH_CHARS):
                     size += len(texts[to])
                     to += 1
-                number: dict[str, int] = {}
-                seqs = [np.fromiter((number.setdefault(w, len(number)) for w in _WORDS.findall(" " + t)), np.int64) if t else np.zeros(0, np.int64) for t in texts[at:to]]
-                words = list(number)
+                seqs, words = _numbered(texts[at:to])
                 table = Words(words, model)
                 counts = np.diff(table.start)
                 ids, offsets, score, more, same = [], [0], [], [], []

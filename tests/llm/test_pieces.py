@@ -39,9 +39,7 @@ def apply(ids, edits):
 
 def encoded(texts, n):
     model = P.pieces(P.MODEL)
-    number = {}
-    seqs = [np.fromiter((number.setdefault(w, len(number)) for w in P._WORDS.findall(" " + t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
-    words = list(number)
+    seqs, words = P._numbered(texts)
     table = P.Words(words, model)
     for t, seq in zip(texts, seqs):
         ids = [int(i) for w in seq for i in table.ids[table.start[w] : table.start[w + 1]]]
