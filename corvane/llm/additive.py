@@ -30,9 +30,9 @@ BOOKS = 8
 WORDS = 256
 BEAM = 8
 SAMPLE = 16_384
-LIST_ROWS, MOST_LISTS = 4096, 1024  # rows for each list until there are so many lists
-CANDIDATES = 32_768  # rows of a list that meet in one task with
-QUERIES = 32_768  # so many queries
+LIST_ROWS, MOST_LISTS = 2048, 1024  # rows for each list until there are so many lists
+CANDIDATES, SPREAD = 32_768, 64  # rows of a list that meet in one task, fewer where the table would make few such blocks,
+QUERIES = 32_768  # with so many queries
 SHORTLIST = 100  # distinct vectors of a block that are scored again
 COVERED, MEASURED = 0.98, 512  # share of the neighbours of so many sampled vectors that the lists asked must hold
 ODD_LISTS = 64  # for vectors of other lengths than most
@@ -93,6 +93,7 @@ class Model:
     books: np.ndarray  # (books, words, dimension)
     coarse: np.ndarray  # (lists, dimension)
     probes: int  # lists that a query asks
+    block: int  # rows of a list that meet queries in one task
 
     @property
     def dimension(self) -> int:
@@ -113,7 +114,8 @@ def train(rows: DataFrame, sample: int = SAMPLE, k: int = 20) -> Model | None:
     data = np.array([x for x in chosen if len(x) == most], np.float64)
     scale = np.abs(data).max()
     data = (data / scale).astype(np.float32)
-    lists = min(MOST_LISTS, max(1, rows.count() // LIST_ROWS), len(data))
+    n = rows.count()
+    lists = min(MOST_LISTS, max(1, n // LIST_ROWS), len(data))
     coarse = fit(data, books=1, words=lists)[0]
     # of the k best of some sampled vectors, how far down the order of lists theirs is
     queries, own = data[:MEASURED], np.arange(min(MEASURED, len(data)))
@@ -123,7 +125,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, k: int = 20) -> Model | None:
     order = np.argsort(-(queries @ coarse.T), axis=1)
     rank = np.argsort(order, axis=1)[own[:, None], _near(data, coarse)[best]]
     probes = int(np.quantile(rank, COVERED, method="higher")) + 1 if rank.size else lists
-    return Model(scale, fit(data, words=min(WORDS, len(data))), coarse, probes)
+    return Model(scale, fit(data, words=min(WORDS, len(data))), coarse, probes, min(CANDIDATES, max(LIST_ROWS, n // SPREAD)))
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -222,7 +224,7 @@ def search(
     asked = _asked(coded.where(F.pmod("vec_id", F.lit(every)) == 0), model)
     # one row for each list, MOST_LISTS and ODD_LISTS at most
     blocks = lambda df, name, size: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    cells = F.broadcast(cut(blocks(coded, "blocks", CANDIDATES).join(blocks(asked, "askers", QUERIES), "list"), 1))
+    cells = F.broadcast(cut(blocks(coded, "blocks", model.block).join(blocks(asked, "askers", QUERIES), "list"), 1))
     of = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "row"), F.col(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     found = coded.join(cells, "list").withColumn("block", of("blocks", 1)).withColumn("asker", copies("askers")).drop("blocks", "askers")
