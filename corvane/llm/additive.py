@@ -30,7 +30,7 @@ BOOKS = 8
 WORDS = 256
 BEAM = 8
 SAMPLE = 16_384
-LIST_ROWS, MOST_LISTS = 2048, 1024  # rows for each list until there are so many lists
+LIST_ROWS, MOST_LISTS = 4096, 1024  # rows for each list until there are so many lists
 CANDIDATES, SPREAD = 32_768, 64  # rows of a list that meet in one task, fewer where the table would make few such blocks,
 QUERIES = 32_768  # with so many queries
 SHORTLIST = 100  # distinct vectors of a block that are scored again
@@ -125,7 +125,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, k: int = 20) -> Model | None:
     order = np.argsort(-(queries @ coarse.T), axis=1)
     rank = np.argsort(order, axis=1)[own[:, None], _near(data, coarse)[best]]
     probes = int(np.quantile(rank, COVERED, method="higher")) + 1 if rank.size else lists
-    return Model(scale, fit(data, words=min(WORDS, len(data))), coarse, probes, min(CANDIDATES, max(LIST_ROWS, n // SPREAD)))
+    return Model(scale, fit(data, words=min(WORDS, len(data))), coarse, probes, min(CANDIDATES, max(2 * LIST_ROWS, n // SPREAD)))
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
