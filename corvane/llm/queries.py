@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import additive, chat, exact, licences, mixing, pieces, quality, repeats, sharding, simhash
+from corvane.llm import additive, chat, exact, infill, licences, mixing, pieces, quality, repeats, sharding, simhash
 from corvane.sources import table
 
 SHARDS = 24
@@ -97,6 +97,14 @@ def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut for filling in the middle, with digests of the outputs and of what is read back from them."""
+    made = infill.restore(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -110,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_reply_trees,
         op9_licence_digests,
         op10_suffix_trees,
+        op12_fill_in_middle,
     )
 }
 
@@ -217,4 +226,26 @@ SQL: dict[str, str] = {
         select doc_id, text_digest, licence, coalesce(notices, '') as notices, coalesce(n, 0) as n_notices
         from texts left join known on digest = looked_up left join notices using (doc_id)
     """,
+    "op12_fill_in_middle": r"""
+        with units as (
+            select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u
+            from documents
+        ), numbers as (
+            select *, len(u) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+                   cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4
+            from units
+        ), cuts as (
+            select *, least(h1 % (n + 1), h2 % (n + 1)) as i, greatest(h1 % (n + 1), h2 % (n + 1)) as j,
+                   case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain'
+                        when h4 % 100 < 80 then 'spm' else 'psm' end as form
+            from numbers
+        ), parts as (
+            select *, array_to_string(u[1:i], '') as p, array_to_string(u[i + 1:j], '') as m, array_to_string(u[j + 1:], '') as s from cuts
+        )
+        select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+               sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+               sha256(text) as restored_sha256
+        from parts
+    """,
 }
