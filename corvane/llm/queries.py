@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import additive, chat, exact, infill, licences, mixing, pieces, quality, repeats, sharding, simhash
+from corvane.llm import additive, chat, exact, infill, licences, mixing, pieces, quality, repeats, runs, sharding, simhash
 from corvane.sources import table
 
 SHARDS = 24
@@ -97,6 +97,25 @@ def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, one in ten with a planted period, with the number of runs, the longest, and digests of all and of what is left."""
+    found = runs.collapse_runs(table(spark, sf_dir, "documents"), plant=True)
+    lines = F.transform("runs", lambda x: F.concat(x.start.cast("string"), F.lit(","), x.length.cast("string"), F.lit(","), x.period.cast("string"), F.lit("\n")))
+    order = F.transform("runs", lambda x: F.struct((-x.length).alias("short"), x.start.alias("start"), x.period.alias("period"), x.length.alias("length")))
+    best = F.array_min(order)
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.array_join(lines, "").alias("lines"), "collapsed")
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut for filling in the middle, with digests of the outputs and of what is read back from them."""
     made = infill.restore(infill.fill_in_middle(table(spark, sf_dir, "documents")))
@@ -118,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_reply_trees,
         op9_licence_digests,
         op10_suffix_trees,
+        op11_periodic_runs,
         op12_fill_in_middle,
     )
 }
