@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import additive, chat, exact, infill, licences, mixing, pieces, quality, repeats, runs, sharding, simhash
+from corvane.llm import additive, chat, exact, infill, licences, mixing, pieces, quality, repeats, runs, sharding, simhash, substrings
 from corvane.sources import table
 
 SHARDS = 24
@@ -124,6 +124,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 50-byte strings that also start in a document with a smaller id."""
+    return substrings.remove_copies(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -139,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_suffix_trees,
         op11_periodic_runs,
         op12_fill_in_middle,
+        op13_suffix_arrays,
     )
 }
 
