@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SHALLOW = 16
+SHALLOW = 40
 STEP = 8
 
 
@@ -20,11 +20,11 @@ class BlindTrie:
         self.root: list | tuple | None = None
 
     def insert(self, s: bytes, member: int) -> None:
-        if self.root is None:
+        node = self.root
+        if node is None:
             self.root = (s, [member])
             return
-        node = self.root
-        while isinstance(node, list):  # blindly: where no branch fits, any leaf below tells how far the prefix goes
+        while node.__class__ is list:  # blindly: where no branch fits, any leaf below tells how far the prefix goes
             node = node[1].get(s[node[0]]) or next(iter(node[1].values()))
         if node[0] == s:
             node[1].append(member)
@@ -64,17 +64,20 @@ def _keys(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, depth: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """(order, new): suffixes by their first `depth` bytes, and which of them, in that order, differ from the one before."""
+def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, depth: int, shallow: int = SHALLOW, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): suffixes by their first `depth` bytes, and which of them, in that order, differ from the one before.
+
+    sizes: of stretches of `starts` that are to be sorted each by itself, where suffixes are dealt out beforehand.
+    """
     n = len(starts)
     order, new = np.arange(n), np.zeros(n, bool)
-    new[:1] = True
-    if n < 2:
-        return order, new
+    size = np.array([n]) if sizes is None else sizes[sizes > 0]
+    begin = np.cumsum(size) - size
+    new[begin[:n]] = True
     shallow = min(shallow, depth)
     # a group is a stretch of `order`; each pass splits every open group around its middle suffix
-    begin, size, level = np.array([0]), np.array([n]), np.array([0])
-    deep: list[tuple[int, int]] = []
+    begin, size = begin[size > 1], size[size > 1]
+    level, deep = np.zeros(len(begin), np.int64), []
     while len(begin):
         group = np.repeat(np.arange(len(begin)), size)
         at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
@@ -98,13 +101,31 @@ def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, depth: int, shallow:
             deep += zip(at[first[done]].tolist(), count[done].tolist())
         go = many & ~done
         begin, size, level = at[first[go]], count[go], down[go]
-    for b, m in deep:
+    if deep:
+        _sort_deep(data, starts, shallow, depth, order, new, *(np.array(x) for x in zip(*deep)))
+    return order, new
+
+
+def _sort_deep(data: np.ndarray, starts: np.ndarray, shallow: int, depth: int, order: np.ndarray, new: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+    """Orders stretches of suffixes that are equal down to `shallow`. Those that equal the first of their group are told
+    apart from the others for all groups at once; a trie gets them as one leaf, and the others one by one."""
+    group = np.repeat(np.arange(len(begin)), size)
+    at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+    mine, first = starts[order[at]], starts[order[begin]][group]
+    same = np.ones(len(at), bool)
+    for d in range(shallow, depth, STEP):
+        left = np.flatnonzero(same)
+        step = min(STEP, depth - d)
+        same[left] = _keys(data, mine[left] + d, step) == _keys(data, first[left] + d, step)
+    some = np.unique(group[~same])
+    for g, b, m in zip(some.tolist(), begin[some].tolist(), size[some].tolist()):
+        at = int(np.searchsorted(group, g))
+        here, equal = order[b : b + m], same[at : at + m]
         trie = BlindTrie()
-        for i in order[b : b + m].tolist():
-            s = starts[i]
-            trie.insert(data[s + shallow : s + depth].tobytes(), i)
+        trie.root = (data[starts[here[0]] + shallow : starts[here[0]] + depth].tobytes(), here[equal].tolist())
+        for i in here[~equal].tolist():
+            trie.insert(data[starts[i] + shallow : starts[i] + depth].tobytes(), i)
         for members in trie.leaves():
             order[b : b + len(members)] = members
             new[b] = True
             b += len(members)
-    return order, new

@@ -109,21 +109,20 @@ def _parts(texts: pa.Table, window: int) -> Iterator[tuple[int, np.ndarray, np.n
                 yield at, part, np.array([0, len(part)]), base
 
 
-def _block_keys(texts: pa.Table, ranges: blocks.Ranges, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _scan(texts: pa.Table, window: int, gram: int) -> list[tuple]:
+    """(number of the first text, bytes, offsets, place of the first byte in its text, runs by anchor) of a block's parts."""
+    return [(*part, _anchors(part[1], part[2], window, gram)) for part in _parts(texts, window)]
+
+
+def _block_keys(parts: list[tuple], ranges: blocks.Ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct anchors of a block, cut and sorted, which of them two of its texts have, and which are crowded."""
-    keys, texts_of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for first, data, offsets, _ in _parts(texts, window):
-        _, _, anchor, text = _anchors(data, offsets, window, gram)
-        keys.append(ranges.cut(anchor))
-        texts_of.append(first + text)
-    keys, texts_of = np.concatenate(keys), np.concatenate(texts_of)
-    order = np.lexsort((texts_of, keys))
-    keys, texts_of = keys[order], texts_of[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    begin = np.flatnonzero(new)
+    keys = np.concatenate([np.zeros(0, np.uint64), *(ranges.cut(found[2]) for *_, found in parts)])
+    texts = np.concatenate([np.zeros(0, np.int64), *(first + found[3] for first, *_, found in parts)])
+    order = np.argsort(keys, kind="stable")  # texts ascend
+    keys, texts = keys[order], texts[order]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     end = np.append(begin[1:], len(keys))[: len(begin)]
-    return keys[begin], texts_of[begin] != texts_of[end - 1], end - begin >= HERE
+    return keys[begin], texts[begin] != texts[end - 1], end - begin >= HERE
 
 
 _RUNS = "key long, least long, block int, text int, at int, n int, bytes binary"
@@ -141,7 +140,8 @@ def _runs(texts: pa.Table, answers: pa.Table, ranges: blocks.Ranges, window: int
     Of windows behind common anchors only runs without bytes are given; or with `common` only those with bytes, one by one.
     """
     texts = blocks.in_order(texts)
-    keys, here, _ = _block_keys(texts, ranges, window, gram)
+    parts = _scan(texts, window, gram)
+    keys, here, _ = _block_keys(parts, ranges)
     elsewhere, many = ranges.flags(keys, answers)
     rare = (elsewhere | here) & ~many
     own, block, out = texts.column("least").to_numpy(), texts.column("block")[0].as_py(), []
@@ -151,8 +151,7 @@ def _runs(texts: pa.Table, answers: pa.Table, ranges: blocks.Ranges, window: int
         spelled = pa.nulls(len(n), pa.binary()) if spelled is None else spelled
         return pa.table([*map(pa.array, cols), spelled], ["key", "least", "block", "text", "at", "n", "bytes"])
 
-    for first, data, offsets, base in _parts(texts, window) if (rare | many).any() else ():
-        found = _anchors(data, offsets, window, gram)
+    for first, data, offsets, base, found in parts if (rare | many).any() else ():
         at = np.searchsorted(keys, ranges.cut(found[2]))
         for single in (True,) if common else (False, True):
             keep = (many if single else rare)[at]
@@ -177,9 +176,9 @@ def _runs(texts: pa.Table, answers: pa.Table, ranges: blocks.Ranges, window: int
 _FOUND = "block int, text int, at int, n int"
 
 
-def _least_of_windows(data: np.ndarray, starts: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
-    """For each window the least id among the windows with the same bytes."""
-    order, new = deep_shallow_sort(data, starts, window)
+def _least_of_windows(data: np.ndarray, starts: np.ndarray, least: np.ndarray, window: int, sizes: np.ndarray) -> np.ndarray:
+    """For each window the least id among the windows of its group with the same bytes; sizes: of the groups, in a row."""
+    order, new = deep_shallow_sort(data, starts, window, sizes=sizes)
     out = np.empty(len(starts), np.int64)
     group = np.cumsum(new) - 1
     out[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[group] if len(starts) else 0
@@ -200,11 +199,14 @@ def _meet_groups(t: pa.Table, window: int) -> pa.Table:
     key_of[same], size[same] = key, n
     _, group, members = np.unique(key_of, return_inverse=True, return_counts=True)
     mixed = members[group] > 1
-    begin = np.cumsum(np.where(mixed, size, 0)) - np.where(mixed, size, 0)
+    met = np.flatnonzero(mixed)[np.argsort(group[mixed], kind="stable")]
+    m = size[met]
+    begin = np.zeros(len(runs), np.int64)
+    begin[met] = np.cumsum(m) - m
     offsets, data = np.frombuffer(runs.buffers()[1], np.int32)[runs.offset :], np.frombuffer(runs.buffers()[2], np.uint8)
-    m = size[mixed]
-    inside = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-    lows = _least_of_windows(data, np.repeat(offsets[:-1][mixed], m) + inside, np.repeat(low[mixed], m), window)
+    inside = np.arange(m.sum()) - np.repeat(begin[met], m)
+    sizes = np.bincount(group[met], weights=m).astype(np.int64) if len(met) else m
+    lows = _least_of_windows(data, np.repeat(offsets[:-1][met], m) + inside, np.repeat(low[met], m), window, sizes)
     # rows whose run is alone in its group: all windows or none
     alone = ~mixed[same]
     rows = [np.flatnonzero(alone & (least > low[same]))]
@@ -264,7 +266,7 @@ def repeated_windows(texts: DataFrame, size: int, window: int = WINDOW, gram: in
 
     def send(t: pa.Table) -> pa.Table:
         t = blocks.in_order(t)
-        keys, _, crowded = _block_keys(t, ranges, window, gram)
+        keys, _, crowded = _block_keys(_scan(t, window, gram), ranges)
         return ranges.rows(t.column("block")[0].as_py(), keys, crowded)
 
     told = cut(blocks.answers(texts.groupBy("block").applyInArrow(send, blocks.SENT), common or COMMON))

@@ -78,6 +78,22 @@ def test_deep_shallow_sort(shallow, letters):
     assert new.tolist() == [True] + [a != b for a, b in zip(ordered, ordered[1:])]
 
 
+def test_deep_shallow_sort_in_groups():
+    rng = np.random.default_rng(7)
+    data, sizes = rng.integers(0, 2, 3000).astype(np.uint8), np.array([1, 0, 500, 2, 1, 496])
+    starts = rng.integers(0, 2900, 1000)
+    order, new = deep_shallow_sort(data, starts, 20, 8, sizes)
+    at = 0
+    for m in sizes:
+        part = order[at : at + m]
+        strings = [bytes(data[starts[i] : starts[i] + 20]) for i in part]
+        assert sorted(part.tolist()) == list(range(at, at + m)) and strings == sorted(strings)
+        assert new[at : at + m].tolist() == [True][:m] + [a != b for a, b in zip(strings, strings[1:])]
+        at += m
+    for none in (None, np.zeros(0, np.int64)):
+        assert [len(x) for x in deep_shallow_sort(data, starts[:0], 20, sizes=none)] == [0, 0]
+
+
 def test_gram_hashes():
     data = np.random.default_rng(2).integers(0, 3, 200_000).astype(np.uint8)
     for gram in (1, 2, 5, 12, 24, 31):
@@ -121,7 +137,7 @@ def test_a_passage_in_every_text(spark, texts):
 
     def send(t):
         t = blocks.in_order(t)
-        keys, _, crowded = substrings._block_keys(t, ranges, 50, 24)
+        keys, _, crowded = substrings._block_keys(substrings._scan(t, 50, 24), ranges)
         return ranges.rows(t.column("block")[0].as_py(), keys, crowded)
 
     told = blocks.answers(frame.groupBy("block").applyInArrow(send, blocks.SENT), 20)
