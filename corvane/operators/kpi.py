@@ -25,3 +25,16 @@ def active_by_type(df: DataFrame, active: Column, kind: str) -> DataFrame:
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Key values on more than one row, with the number of rows."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def rollups(df: DataFrame, keys: list[str], sets: list[list[str]], distinct: str, name: str, having: Column | None = None) -> DataFrame:
+    """(keys, level, n, `name`): rows and distinct values of `distinct` for each group of each of the grouping sets.
+
+    Keys that a set lacks are null, as are null keys that it has; level, the grouping id, tells them apart. One scan: each
+    row is expanded to one for each set, and counts and distinct values are reduced before they move. An empty table has no
+    groups, not even for an empty set. having: a condition on these columns.
+    """
+    out = df.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(
+        F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("n"), F.count_distinct(distinct).alias(name)
+    )
+    return out if having is None else out.where(having)

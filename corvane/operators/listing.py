@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE_SIZE, ADMIN_PAGE_SIZE = 20, 100
+QUEUE = 10_000  # rows that a task may queue to find a page; deeper pages are looked for by ranges
+RANGES, SAMPLED = 32, 2048  # ranges counted at a time, and about as many rows are sampled to choose them
 
 
 class NotFound(LookupError):
@@ -40,13 +42,13 @@ def order(spec: str | None, allowed: list[str], default: str, key: str = "id") -
 def page(df: DataFrame, by: list[Column], number: int, size: int = PAGE_SIZE) -> DataFrame:
     """Page `number` (from 1) without a look at the bounds; the plan takes the top rows of each task.
 
-    Each task's queue holds all rows up to the page's end; for pages far from both ends see `following`.
+    Each task's queue holds all rows up to the page's end; for pages far from both ends see `page_at` and `following`.
     """
     return df.orderBy(*by).offset((number - 1) * size).limit(size)
 
 
-def following(df: DataFrame, by: list[tuple[str, bool]], last: dict, size: int = PAGE_SIZE) -> DataFrame:
-    """The page behind a row whose values are `last`: a filter and a top-k of one page, however deep it lies."""
+def _behind(by: list[tuple[str, bool]], last: dict) -> Column:
+    """Whether a row comes behind the one whose values are `last`."""
     later, same = F.lit(False), F.lit(True)
     for name, down in by:
         c, v = F.col(name), last[name]
@@ -56,7 +58,67 @@ def following(df: DataFrame, by: list[tuple[str, bool]], last: dict, size: int =
             here = c < F.lit(v) if down else (c > F.lit(v)) | c.isNull()
         later = later | (same & F.coalesce(here, F.lit(False)))
         same = same & (c.isNull() if v is None else F.coalesce(c == F.lit(v), F.lit(False)))
-    return df.where(later).orderBy(*sorting(by)).limit(size)
+    return later
+
+
+def page_at(df: DataFrame, by: list[tuple[str, bool]], offset: int, count: int, size: int = PAGE_SIZE, queue: int = QUEUE) -> DataFrame:
+    """`size` rows from `offset` on of the `count` rows of `df` in the order `by`, which is of `terms`.
+
+    While more than `queue` rows may lie before the page, the order is cut into ranges at sampled rows, one pass counts the
+    rows behind each cut, and only the range that holds the page's first row is looked at further, with what the page
+    needs of the next. Then the rest is a top-k. A pass moves one row of counts for each task; samples are bounded, and
+    as counts are exact, so is the page, whatever was sampled. Rows that share all of `by` cannot be told apart by cuts.
+    """
+    names, low, high = [n for n, _ in by], None, None  # cuts before and behind what is looked at
+    skipped, rows = 0, count
+    while min(offset - skipped, rows) > queue:
+        part = df if low is None else df.where(_behind(by, low))
+        part = part if high is None else part.where(~_behind(by, high))
+        seen = part.select(*names).sample(min(1.0, SAMPLED / rows), seed=skipped + rows).limit(4 * SAMPLED).distinct().collect()
+        cuts = [r.asDict() for r in sorted(seen, key=lambda r: [_place(r[n], down) for n, down in by])]
+        cuts = cuts[:: max(1, len(cuts) // RANGES)]
+        if not cuts:
+            break
+        behind = part.agg(*[F.count_if(_behind(by, c)).alias(f"n{i}") for i, c in enumerate(cuts)]).first()
+        upto = [skipped + rows - n for n in behind]  # rows of the listing up to each cut
+        before = [i for i, n in enumerate(upto) if n <= offset]
+        enough = [i for i, n in enumerate(upto) if n >= offset + size]
+        was = skipped, rows
+        if before:
+            low, skipped = cuts[before[-1]], upto[before[-1]]
+        rows = was[0] + was[1] - skipped
+        if enough:
+            high, rows = cuts[enough[0]], upto[enough[0]] - skipped
+        if (skipped, rows) == was:
+            break
+    part = df if low is None else df.where(_behind(by, low))
+    part = part if high is None else part.where(~_behind(by, high))
+    return part.orderBy(*sorting(by)).offset(offset - skipped).limit(size)
+
+
+class _Downwards:
+    """A value that sorts the other way round."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def __lt__(self, other) -> bool:
+        return other.value < self.value
+
+    def __eq__(self, other) -> bool:
+        return self.value == other.value
+
+
+def _place(value, down: bool) -> tuple:
+    """A sort key with nulls where `sorting` puts them."""
+    if value is None:
+        return (0 if down else 2,)
+    return 1, _Downwards(value) if down else value
+
+
+def following(df: DataFrame, by: list[tuple[str, bool]], last: dict, size: int = PAGE_SIZE) -> DataFrame:
+    """The page behind a row whose values are `last`: a filter and a top-k of one page, however deep it lies."""
+    return df.where(_behind(by, last)).orderBy(*sorting(by)).limit(size)
 
 
 @dataclass(frozen=True)
@@ -80,7 +142,8 @@ class Page:
 def paginate(df: DataFrame, by: list[tuple[str, bool]] | list[Column], number: int | str = 1, size: int = PAGE_SIZE) -> Page:
     """The page asked for, or NotFound. "last" is the last page; an empty listing has one page.
 
-    A page nearer to the end is taken from there, where `by` is from `terms`: the first rows of the reversed order, turned.
+    Where `by` is from `terms`, a page nearer to the end is taken from there: the first rows of the reversed order, turned;
+    and a page with more than QUEUE rows on both sides is looked for by ranges.
     """
     count = df.count()
     pages = max(1, -(-count // size))
@@ -94,6 +157,8 @@ def paginate(df: DataFrame, by: list[tuple[str, bool]] | list[Column], number: i
         raise NotFound(f"no page {number}")
     if not isinstance(by[0], tuple):
         rows = page(df, by, number, size)
+    elif min(number - 1, pages - number) * size > QUEUE:
+        rows = page_at(df, by, (number - 1) * size, count, size)
     elif 2 * number <= pages:
         rows = page(df, sorting(by), number, size)
     else:

@@ -1,32 +1,16 @@
 """The board's queries over the supplied tables, each with the SQL that gives the same rows in DuckDB."""
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import predicates as P
 from corvane.functions import text as X
 from corvane.operators import kpi, listing, mutate, nest, validate
-from corvane.plans import board
+from corvane.plans import board, changes, matching, rollups, timeline  # noqa: F401  these register queries of their own
+from corvane.plans.registry import QUERIES, SQL, query  # noqa: F401
 from corvane.sources import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable:
-    """Registers a query under its name, with its SQL, which may use the views of board.VIEWS."""
-
-    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        SQL[f.__name__] = f"with {board.VIEWS.strip()} {sql.strip()}"
-        return f
-
-    return keep
-
-
 ORDERABLE = ["date_publication", "date_limite", "date_creation"]
 
 
@@ -43,7 +27,7 @@ def browse_page(spark: SparkSession, d: str) -> DataFrame:
     rows = board.active(spark, d).where(P.every(P.equals_or_any(F.col("type_opportunite"), "2-HIGH")))
     # the page is cut before organisations and sources are joined, so that 20 rows meet them
     page = F.broadcast(listing.page(rows, listing.order(None, ORDERABLE, "-date_publication"), 1))
-    out = nest.with_parent(board.with_source_id(spark, d, page), F.broadcast(board.sources(spark, d)), "source_id", "source")
+    out = nest.with_parent(board.with_source_id(spark, d, page), board.sources(spark, d), "source_id", "source")
     return out.select(
         "id", "titre", "type_opportunite", "statut", "date_publication", "date_limite", "organisation_id", "source_id",
         F.col("source.nom").alias("source_nom"), F.col("source.type_source").alias("type_source"),
@@ -86,6 +70,17 @@ def last_page(spark: SparkSession, d: str) -> DataFrame:
     return listing.paginate(rows, listing.terms("", ORDERABLE, "-date_publication"), "last").results
 
 
+@query("""
+    select id, date_limite, date_publication from opportunite order by date_limite desc nulls first, date_publication asc nulls last, id
+    limit 20 offset (select (count(*) // 40) * 20 from opportunite)
+""")
+def middle_page(spark: SparkSession, d: str) -> DataFrame:
+    """L2: a page in the middle by its number, found by counting ranges of the order; no queue of what lies before it."""
+    rows, by = board.opportunities(spark, d).select("id", "date_limite", "date_publication"), listing.terms("-date_limite,date_publication", ORDERABLE, "-date_publication")
+    count = rows.count()
+    return listing.page_at(rows, by, count // 40 * 20, count, queue=500)
+
+
 @query("""
     select id, date_limite, date_publication from opportunite where statut = 'ACTIVE'
     order by date_limite desc nulls first, date_publication asc nulls last, id limit 20 offset 40

@@ -59,7 +59,8 @@ def list_applications(applications: DataFrame, documents: DataFrame, user: int,
     columns = ["id", "opportunite_id", "statut", "url_source", "date_creation", "derniere_mise_a_jour"]
     by = listing.terms(params.get("ordering"), columns, "id")
     found = listing.paginate(applications.where(F.col("candidat_id") == user), by, params.get("page") or 1)
-    rows = nest.with_children(found.results, documents, "candidature_id", "documents", ["id", "type_document", "fichier", "date_upload"])
+    own = nest.members(documents, found.results.select(F.col("id").alias("candidature_id")), "candidature_id")  # of a page of 20 rows
+    rows = nest.with_children(found.results, own, "candidature_id", "documents", ["id", "type_document", "fichier", "date_upload"])
     return listing.Page(found.count, found.number, found.pages, rows.orderBy(*listing.sorting(by)))
 
 

@@ -5,20 +5,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The rows that the client shows.
 BROWSE = (
-    ("1", "Senior Software Engineer", "TechCorp Inc.", "Job Offer", ["React", "Node.js", "TypeScript"], False),
-    ("2", "AI Research Grant", "National Science Foundation", "Funding", ["AI/ML", "Research", "Healthcare"], True),
-    ("3", "Mobile App Development Project", "HealthTech Solutions", "Project", ["React Native", "Mobile", "Healthcare"], False),
-    ("4", "Climate Change Research Position", "University of California", "Research", ["Climate", "Research", "PhD Required"], False),
-    ("5", "UX Designer", "DesignHub", "Job Offer", ["UI/UX", "Figma", "Design Systems"], True),
-    ("6", "Blockchain Development Grant", "Ethereum Foundation", "Funding", ["Blockchain", "Web3", "Open Source"], False),
+    ("1", "Senior Software Engineer", "TechCorp Inc.", "Job Offer", "Remote", "$120k - $160k", "2 days ago", "Mar 15, 2026", "We're looking for an experienced software engineer to join our platform team...", ["React", "Node.js", "TypeScript"], False),
+    ("2", "AI Research Grant", "National Science Foundation", "Funding", "Nationwide", "$500k - $2M", "1 week ago", "Apr 30, 2026", "Grant funding for innovative AI research projects in healthcare and education...", ["AI/ML", "Research", "Healthcare"], True),
+    ("3", "Mobile App Development Project", "HealthTech Solutions", "Project", "Hybrid - Boston, MA", "$80k - $100k", "3 days ago", "Mar 25, 2026", "3-month contract to build a patient management mobile application...", ["React Native", "Mobile", "Healthcare"], False),
+    ("4", "Climate Change Research Position", "University of California", "Research", "Berkeley, CA", "$65k - $75k", "5 days ago", "Apr 10, 2026", "Postdoctoral position studying climate impact on coastal ecosystems...", ["Climate", "Research", "PhD Required"], False),
+    ("5", "UX Designer", "DesignHub", "Job Offer", "New York, NY", "$90k - $120k", "1 day ago", "Mar 20, 2026", "Join our design team to create beautiful, user-centered experiences...", ["UI/UX", "Figma", "Design Systems"], True),
+    ("6", "Blockchain Development Grant", "Ethereum Foundation", "Funding", "Remote", "$100k - $250k", "4 days ago", "May 1, 2026", "Funding for open-source blockchain infrastructure projects...", ["Blockchain", "Web3", "Open Source"], False),
 )
-SAVED = (("2", "Active"), ("5", "Active"), ("8", "Active"))
-APPLIED = (("1", "Under Review"), ("7", "Interview Scheduled"))
-POSTED = (("1", "Job Offer", "Active", 42, 328), ("3", "Project", "Active", 18, 156), ("9", "Job Offer", "Closed", 87, 542))
-#: The detail page's only row, but for its id, which comes from the address, and its prose.
+SAVED = (
+    ("2", "AI Research Grant", "National Science Foundation", "Funding", "Nationwide", "$500k - $2M", "Apr 30, 2026", "Active", ["AI/ML", "Research", "Healthcare"]),
+    ("5", "UX Designer", "DesignHub", "Job Offer", "New York, NY", "$90k - $120k", "Mar 20, 2026", "Active", ["UI/UX", "Figma", "Design Systems"]),
+    ("8", "Open Source Development", "Mozilla Foundation", "Project", "Remote", "$60k - $80k", "Mar 28, 2026", "Active", ["JavaScript", "Open Source"]),
+)
+APPLIED = (
+    ("1", "Senior Software Engineer", "TechCorp Inc.", "Job Offer", "Feb 5, 2026", "Under Review", "2 days ago"),
+    ("7", "Data Science Research", "Stanford University", "Research", "Jan 28, 2026", "Interview Scheduled", "5 days ago"),
+)
+POSTED = (
+    ("1", "Senior Software Engineer", "Job Offer", "Active", "Feb 8, 2026", "Mar 15, 2026", 42, 328),
+    ("3", "Mobile App Development Project", "Project", "Active", "Feb 7, 2026", "Mar 25, 2026", 18, 156),
+    ("9", "Junior Developer", "Job Offer", "Closed", "Jan 15, 2026", "Feb 15, 2026", 87, 542),
+)
+#: The detail page's only row, but for its id, which comes from the address.
 DETAIL = {
     "title": "Senior Software Engineer",
     "organization": "TechCorp Inc.",
+    "organizationLogo": "https://via.placeholder.com/80",
     "type": "Job Offer",
     "location": "Remote",
     "locationType": "Fully Remote",
@@ -28,6 +40,7 @@ DETAIL = {
     "employmentType": "Full-time",
     "experience": "5+ years",
     "tags": ["React", "Node.js", "TypeScript", "PostgreSQL", "AWS"],
+    "description": "We're looking for an experienced Senior Software Engineer to join our platform team. You'll be working on building and scaling our core product used by thousands of companies worldwide.",
     "responsibilities": [
         "Design and implement new features for our platform",
         "Lead technical discussions and architectural decisions",
@@ -50,10 +63,11 @@ DETAIL = {
         "Remote work flexibility",
         "Professional development budget",
     ],
+    "about": "TechCorp Inc. is a leading software company building tools that empower teams to work more efficiently. Founded in 2015, we've grown to serve over 10,000 customers across 50 countries.",
     "applicationUrl": "https://example.com/apply",
 }
 TYPE_COUNTS = (("Job Offers", "1,234"), ("Projects", "567"), ("Funding", "189"), ("Research", "342"))
-EXPERIENCE = {"DEBUTANT": "0-1", "JUNIOR": "1-3", "CONFIRME": "3-5", "SENIOR": "5+"}  # bands of years
+EXPERIENCE = {"DEBUTANT": "Débutant (0–1 an)", "JUNIOR": "Junior (1–3 ans)", "CONFIRME": "Confirmé (3–5 ans)", "SENIOR": "Senior (5+ ans)"}
 
 #: The codes of the enumerations.
 ENUMS = {
@@ -81,19 +95,19 @@ SCHEMAS = {
 
 
 def browse(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BROWSE, "id string, title string, organization string, type string, tags array<string>, saved boolean")
+    return spark.createDataFrame(BROWSE, "id string, title string, organization string, type string, location string, salary string, postedDate string, deadline string, description string, tags array<string>, saved boolean")
 
 
 def saved(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SAVED, "id string, status string")
+    return spark.createDataFrame(SAVED, "id string, title string, organization string, type string, location string, salary string, deadline string, status string, tags array<string>")
 
 
 def applied(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(APPLIED, "id string, status string")
+    return spark.createDataFrame(APPLIED, "id string, title string, organization string, type string, appliedDate string, status string, lastUpdate string")
 
 
 def posted(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(POSTED, "id string, type string, status string, applicants int, views int")
+    return spark.createDataFrame(POSTED, "id string, title string, type string, status string, posted string, deadline string, applicants int, views int")
 
 
 def detail(spark: SparkSession, id: str | None) -> DataFrame:
