@@ -37,7 +37,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with the slot that the mix gives them; shares are of sources, or of the pool of tiny ones."""
+    """All documents with the slot that the mix gives them, and the share of their source."""
     return mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id", "source"]).select(
         F.col("row.doc_id").alias("doc_id"),
         F.col("row.source").alias("source"),
@@ -202,41 +202,38 @@ SQL: dict[str, str] = {
     """,
     "op4_pfair_mix": f"""
         with recursive sources as (
-            select case when source is null then '-' else '+' || source end as key, count(*) as n from documents group by 1
-        ), pooled as (
-            select key, case when n * {mixing.PERIOD} >= sum(n) over () then key else '{mixing.REST}' end as pool, n from sources
-        ), weighed as (
-            select pool, sum(n) as n, pow(sum(n), {mixing.POWER}) as w from pooled group by pool
-        ), parts as (
-            select pool, n, w / sum(w) over () as share, cast(greatest(1, round(w / sum(w) over () * {mixing.PERIOD})) as bigint) as p,
-                   row_number() over (order by pool) as i
-            from weighed
+            select case when source is null then '-' else '+' || source end as key, count(*) as n, pow(count(*), {mixing.POWER}) as w from documents group by 1
+        ), shares as (
+            select key, n, cast(greatest(1, round(w / sum(w) over () * {mixing.UNITS})) as hugeint) as u, row_number() over (order by key) as i from sources
         ), one as (
-            select list(p order by i) as ps, cast(sum(p) as bigint) as period from parts
+            select list(u order by i) as us, sum(u) as total, count(*) as sources,
+                   greatest({mixing.BLOCK_ROWS}, (sum(n) + least({mixing.MOST_SLOTS}, {mixing.MOST_LOOKS} // count(*)) - 1) // least({mixing.MOST_SLOTS}, {mixing.MOST_LOOKS} // count(*))) as size
+            from shares
+        ), horizon as (
+            select min(((n // size + 1) * total + u - 1) // u) as slots from shares cross join one
         ), edf(t, done, pick) as (
-            select cast(-1 as bigint), list_transform(ps, lambda x: cast(0 as bigint)), cast(0 as bigint) from one
+            select cast(-1 as bigint), list_transform(us, lambda x: cast(0 as hugeint)), cast(0 as bigint) from one
             union all
             select t + 1, list_transform(done, lambda d, j: d + case when j = i then 1 else 0 end), i
             from (
-                select t, done, period, list_sort(list_transform(range(1, len(ps) + 1), lambda j: {{
-                    'late': (done[j] * period) // ps[j] > t + 1, 'due': ((done[j] + 1) * period + ps[j] - 1) // ps[j], 'j': j
+                select t, done, list_sort(list_transform(range(1, len(us) + 1), lambda j: {{
+                    'late': (done[j] * total) // us[j] > t + 1, 'due': ((done[j] + 1) * total + us[j] - 1) // us[j], 'j': j
                 }}))[1].j as i
-                from edf cross join one where t + 1 < period
+                from edf cross join one cross join horizon where t + 1 < slots
             )
-        ), slots as (
-            select t as slot, pick as i, row_number() over (partition by pick order by t) - 1 as turn from edf where t >= 0
+        ), given as (
+            select t as slot, pick as i, row_number() over (partition by pick order by t) - 1 as block from edf where t >= 0
         ), ended as (
-            select min((n // {mixing.BLOCK_ROWS} // p) * period + slot) as stop
-            from parts join slots using (i) cross join one where turn = n // {mixing.BLOCK_ROWS} % p
+            select min(slot) as stop from given join shares using (i) cross join one where block = n // size
         ), placed as (
-            select doc_id, source, share, i, p, row_number() over (
+            select doc_id, source, u, i, row_number() over (
                 partition by i order by md5('0 ' || coalesce(cast(doc_id as varchar), 'null ' || md5(coalesce(text, '')))), md5(coalesce(text, ''))) - 1 as nth
-            from documents join pooled on key = case when source is null then '-' else '+' || source end join parts using (pool)
+            from documents join shares on key = case when source is null then '-' else '+' || source end
         )
-        select doc_id, source, round(share, 6) as share, nth // {mixing.BLOCK_ROWS} as block,
-               (nth // {mixing.BLOCK_ROWS} // p) * period + slot as slot, cast(nth % {mixing.BLOCK_ROWS} as integer) as place,
-               (nth // {mixing.BLOCK_ROWS} // p) * period + slot < stop as in_mix
-        from placed cross join one cross join ended join slots on slots.i = placed.i and turn = nth // {mixing.BLOCK_ROWS} % p
+        select doc_id, source, round(u / total, 6) as share, cast(nth // size as bigint) as block,
+               cast(case when slot < stop then slot else stop + ((nth // size + 1) * total + u - 1) // u * sources + p.i - 1 end as bigint) as slot,
+               cast(nth % size as integer) as place, coalesce(slot < stop, false) as in_mix
+        from placed p cross join one cross join ended left join given g on g.i = p.i and g.block = nth // size
     """,
     "op9_licence_digests": f"""
         with known as (
