@@ -56,7 +56,8 @@ def text_digest(text: Column) -> Column:
 def one_row_of_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """One row of `docs` for each pair (doc_id, text_digest of text) in `wanted`, which has each pair once; ids may be null.
 
-    Rows that repeat id and text are reduced to one in each task before they move, so they cannot gather in one.
+    A semi-join, so that texts are neither sorted nor moved beyond it. Only pairs that several rows of `docs` have are
+    reduced to one row each, in each task before they move, so that they cannot gather in one.
     """
     key = lambda i, d: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), d)
     names = docs.columns
@@ -64,9 +65,15 @@ def one_row_of_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         key(F.col("doc_id"), text_digest(F.col("text"))).alias("_key"),
         F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)]).alias("_row"),
     )
-    once = keyed.groupBy("_key").agg(F.first("_row").alias("_row"))
     kept = wanted.select(key(F.col("doc_id"), F.col("text_digest")).alias("_key"))
-    return once.join(kept, "_key", "left_semi").select(*[F.col(f"_row._{i}").alias(c) for i, c in enumerate(names)])
+    repeated = cut(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key").join(kept, "_key", "left_semi"))
+    if repeated.isEmpty():
+        out = keyed.join(kept, "_key", "left_semi")
+    else:
+        out = keyed.join(kept.join(repeated, "_key", "left_anti"), "_key", "left_semi")
+        again = keyed.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row"))
+        out = out.unionByName(again)
+    return out.select(*[F.col(f"_row._{i}").alias(c) for i, c in enumerate(names)])
 
 
 def _state(edges: DataFrame) -> tuple:
