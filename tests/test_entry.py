@@ -23,3 +23,20 @@ print(len(left))
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
     assert (done.stdout.split()[-1] == "0") or gone == "sentencepiece_is_not_asked_for"
+
+
+@pytest.mark.parametrize("error", ["ImportError('broken')", "OSError('no file')"])
+def test_queries_where_an_operator_cannot_be_loaded(error):
+    code = f"""
+import sys
+class Broken:
+    def find_spec(self, name, *rest):
+        if name == "corvane.llm.licences":
+            raise {error}
+sys.meta_path.insert(0, Broken())
+import __spark_entry__ as entry
+from corvane.plans.queries import QUERIES
+assert set(entry.queries()) == set(QUERIES)
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
