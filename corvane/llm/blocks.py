@@ -29,16 +29,24 @@ def total_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
+def number_of_blocks(size: int, block_bytes: int | None = None) -> int:
+    return max(LEAST_BLOCKS, -(-size // (block_bytes or BLOCK_BYTES)))
+
+
+def block_of(u1, blocks: int):
+    return F.pmod(u1, F.lit(blocks)).cast("int")
+
+
 def text_blocks(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """(block, u1, u2, least, copies, data): each text once, with the least id and the number of rows that have it.
 
-    size: bytes of all texts. Null ids count as the largest, null texts as empty. A block has about BLOCK_BYTES, or one
+    size: bytes of all texts. Ids that are null or no numbers count as the largest, null texts as empty. A block has about BLOCK_BYTES, or one
     longer text. Copies within a task are joined before the shuffle, those of other tasks meet one by one behind it.
     Whatever reads it should read all columns: then Spark shuffles the texts once for all its uses.
     """
-    blocks = max(LEAST_BLOCKS, -(-size // (block_bytes or BLOCK_BYTES)))
+    blocks = number_of_blocks(size, block_bytes)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*text_ids(text), F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST)).alias("least"), text.cast("binary").alias("data"))
+    rows = docs.select(*text_ids(text), F.coalesce(F.col(id_col).try_cast("long"), F.lit(LARGEST)).alias("least"), text.cast("binary").alias("data"))
 
     def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()  # of texts this task has sent; when it is too large, texts are sent again
@@ -63,7 +71,7 @@ def text_blocks(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([texts, pa.nulls(len(rest), texts.type)])], ["u1", "u2", "least", "copies", "data"])
 
     sent = rows.mapInArrow(first_of_each, "u1 long, u2 int, least long, copies long, data binary")
-    block = F.pmod("u1", F.lit(blocks)).cast("int").alias("block")
+    block = block_of(F.col("u1"), blocks).alias("block")
     # joins would add this filter to some uses and not to others; with the same plan everywhere the texts move once
     sent = sent.where("u1 is not null and u2 is not null").select(block, "*").where("block is not null").repartition("block")
     return sent.groupBy("block", "u1", "u2").agg(

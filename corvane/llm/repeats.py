@@ -7,17 +7,18 @@ length, and each group grows its own subtree down to the depth of a window:
 
 1. The prefix of a suffix ends with the least gram (by hash) of `gram` words in its window, so its length, between `gram`
    and `window`, follows from the window's words alone. Prefixes with one end are dealt to one group, as neighbouring
-   suffixes mostly share it. The first pass sends the ends only, about two in every window - gram + 2 words.
-2. Ends that occur once lead to leaves: nothing that starts there repeats. The others go back to their texts, with
-   a note of whether they are common.
+   suffixes mostly share it. The first pass is over the ends only, about two in every window - gram + 2 words: texts lie
+   in blocks, and a block sends its distinct ends and learns which of them other blocks have too (see blocks).
+2. Ends that occur once lead to leaves: nothing that starts there repeats. Of the others blocks know which are common.
 3. Suffixes behind a repeated end are sent to its group as runs, with their words. A group of a common end would be
-   large, so there each prefix is lengthened to the whole window, which is then a node by itself.
+   large, so there each prefix is lengthened to the whole window, which is then a node by itself: rows with equal windows
+   are counted, partially aggregated, and joined to the counts, which may be split.
 4. Each group sorts its suffixes by their words: the names of all prefixes of 1, 3, 9 .. words are worked out from
    those of the shorter ones, up to the depth of a window. Suffixes with one name there meet in a deep internal node.
 
 Words are compared, not hashes of them; hashes only deal them out. Copies of a whole text are set aside first, by 95
-bits of hashes. Within a batch, what is seen to repeat is not sent more than once, so a group has a few rows for each
-batch at most, however many rows share a passage. Very long texts are taken in parts that overlap by a window.
+bits of hashes. Within a block, what is seen to repeat is not sent more than once, so a group has a few rows for each
+block at most, and no more than COMMON blocks, however many rows share a passage. Very long texts are taken in parts that overlap by a window.
 """
 from __future__ import annotations
 
@@ -26,20 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from corvane.llm import blocks
+from corvane.llm.arrays import SPACE, bounds, stretches
+from corvane.llm.common import cut
 
 WINDOW = 35
 GRAM = 12
 BATCH_BYTES = 4 << 20
-#: An end is common if it occurs so often in one batch, or in so many rows altogether; a group has fewer suffix runs.
+#: An end is common if it occurs so often in one block, or in so many blocks.
 COMMON_HERE, COMMON = 64, 1024
 _SENT_WORDS = 1 << 18  # words in a batch of suffixes
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(11).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 # odd, so they have inverses modulo 2^64
 _FACTOR, _WORD_FACTOR = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -94,14 +95,6 @@ def _classes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[new], which, np.bincount(which)
 
 
-def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of texts that lie one behind the other."""
-    word, first = ~_SPACE[data], np.zeros(len(data) + 1, bool)
-    first[offsets] = True  # no word goes on into the next text
-    starts = np.flatnonzero(word & (first[:-1] | ~np.concatenate([[False], word[:-1]])))
-    return starts, np.flatnonzero(word & (first[1:] | ~np.concatenate([word[1:], [False]]))) + 1
-
-
 def _word_numbers(column: pa.Array) -> np.ndarray:
     """The same number for the same word."""
     return column.dictionary_encode().indices.to_numpy().astype(np.int64)
@@ -130,7 +123,7 @@ class _Texts:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
         self.window, self.gram, self.data = window, gram, data
-        starts, ends = self.starts, self.ends_of_words = _bounds(data, offsets)
+        starts, ends = self.starts, self.ends_of_words = bounds(data, offsets)
         self.first = np.searchsorted(starts, offsets)  # of each text, and an end
         hashes = np.empty(len(starts), np.uint64)
         at = 0
@@ -161,14 +154,6 @@ class _Texts:
         most = _sliding(np.maximum, np.concatenate([pad, self.least, pad]), self.window - self.gram + 1)
         return np.flatnonzero(most == self.grams)
 
-    def behind(self, ends: np.ndarray) -> np.ndarray:
-        """For each window, whether its least gram is one of `ends`."""
-        if self.n < self.window or not len(ends):
-            return np.zeros(len(self.least), bool)
-        chosen = np.full(len(self.grams), 2**64 - 1, np.uint64)
-        chosen[ends] = self.grams[ends]
-        return _sliding(np.minimum, chosen, self.window - self.gram + 1) == self.least
-
     def spelled(self, words: np.ndarray) -> pa.Array:
         """The words with these numbers, each with a space behind it."""
         size = self.ends_of_words[words] - self.starts[words] + 1
@@ -202,7 +187,7 @@ def _batches(b: pa.RecordBatch, column: str, most: int, window: int) -> Iterator
         if len(part) <= most:
             yield at, to, part, offsets, 0
         else:
-            starts, ends = _bounds(part, offsets)
+            starts, ends = bounds(part, offsets)
             first = 0
             while first < len(starts):
                 last = max(first + window, int(np.searchsorted(ends, starts[first] + most)))
@@ -214,184 +199,97 @@ def _batches(b: pa.RecordBatch, column: str, most: int, window: int) -> Iterator
         at = to
 
 
-def _column(b: pa.RecordBatch, name: str, at: int, to: int) -> np.ndarray:
-    return b.column(name).slice(at, to - at).to_numpy(zero_copy_only=False)
-
-
 def _at(u2: np.ndarray, place: np.ndarray) -> np.ndarray:
     return u2.astype(np.int64) << 32 | place
 
 
-_NOWHERE = -1
-
-
-def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(u1, u2, data, copies): each text once, by 95 bits of hashes. Copies within a task are joined before the shuffle.
+def _scan(texts: pa.Table, window: int, gram: int) -> list[tuple[int, int, _Texts]]:
+    """(number of the first text, number of its first word, words and hashes) of the parts of a block."""
+    parts = (x for b in texts.to_batches() for x in _batches(b, "data", BATCH_BYTES, window))
+    return [(at, base, _Texts(data, offsets, window, gram)) for at, _, data, offsets, base in parts]
 
-    Whatever reads it should read all columns: then Spark shuffles the texts once for all its uses.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*_ids(text), text.cast("binary").alias("data"))
-
-    def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()  # of texts this task has sent; when it is too large, texts are sent again
-        for b in batches:
-            keys = list(zip(b.column("u1").to_pylist(), b.column("u2").to_pylist()))
-            new = []
-            for i, k in enumerate(keys):
-                if k not in seen:
-                    seen.add(k)
-                    new.append(i)
-            if len(seen) > 200_000:
-                seen.clear()
-            count = {}
-            for k in keys:
-                count[k] = count.get(k, 0) + 1
-            # copies of texts sent before go on as counts, without the text
-            out, mine = b.take(pa.array(new, pa.int32())), {keys[i] for i in new}
-            n = pa.array([count[keys[i]] for i in new], pa.int64())
-            yield pa.RecordBatch.from_arrays([*out.columns, n], ["u1", "u2", "data", "copies"])
-            if rest := [k for k in count if k not in mine]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in rest], pa.int64()), pa.array([k[1] for k in rest], pa.int32()), pa.nulls(len(rest), pa.binary()), pa.array([count[k] for k in rest], pa.int64())],
-                    ["u1", "u2", "data", "copies"],
-                )
-
-    sent = rows.mapInArrow(first_of_each, "u1 long, u2 int, data binary, copies long")
-    # joins would add this filter to some uses and not to others; with the same plan everywhere the texts move once
-    sent = sent.where("u1 is not null and u2 is not null").repartition("u1", "u2")
-    return sent.groupBy("u1", "u2").agg(F.first("data", ignorenulls=True).alias("data"), F.sum("copies").alias("copies"))
-
-
-def _ids(text) -> list:
-    return [F.xxhash64(text).alias("u1"), F.xxhash64(F.lit(7), text).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("u2")]
-
-
-def _ends(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(u1, u2, ends): for each text the ends that occur elsewhere too, each as 2 * place + (1 if common)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, to, data, offsets, base in _batches(b, "data", BATCH_BYTES, window):
-                t = _Texts(data, offsets, window, gram)
-                ends = t.ends()
-                key, u1, u2 = t.grams[ends] if len(ends) else ends.astype(np.uint64), _column(b, "u1", at, to), _column(b, "u2", at, to)
-                text = t.text[ends]
-                own = (key.view(np.int64), u1[text], _at(u2[text], base + t.place(ends)))
-                one, which, count = _classes(key)
-                here = count[which]
-                few, many = here < COMMON_HERE, np.flatnonzero(here >= COMMON_HERE)
-                told = one[count >= COMMON_HERE]  # one row says for other batches that the end is common
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([own[0][few], own[1][many], own[0][told]])),
-                        pa.array(np.concatenate([here[few], np.full(len(many), -1), here[told]]).astype(np.int32)),
-                        pa.array(np.concatenate([own[1][few], own[1][many], np.zeros(len(told), np.int64)])),
-                        pa.array(np.concatenate([own[2][few], own[2][many], np.full(len(told), _NOWHERE)])),
-                    ],
-                    ["key", "here", "u1", "at"],
-                )
-
-    # rows of ends known to be common go by their text, here = -1
-    sent = texts.mapInArrow(run, "key long, here int, u1 long, at long")
-    group = Window.partitionBy("key", F.col("here") < 0)
-    common = (F.col("here") < 0) | (F.max("here").over(group) >= COMMON_HERE) | (F.count(F.lit(1)).over(group) >= COMMON)
-    repeated = (F.col("here") < 0) | (F.count(F.lit(1)).over(group) > 1)
-    return (
-        sent.select("u1", "at", common.alias("common"), repeated.alias("repeated"))
-        .where((F.col("at") != _NOWHERE) & F.col("repeated"))
-        .select(
-            "u1",
-            F.shiftright("at", 32).cast("int").alias("u2"),
-            (F.col("at").bitwiseAND(F.lit(2**31 - 1)) * 2 + F.col("common").cast("int")).alias("end"),
-        )
-        .groupBy("u1", "u2")
-        .agg(F.collect_list("end").alias("ends"))
-    )
-
-
-def _stretches(mask: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, length) of the runs of True along which the arrays of `same` don't change."""
-    if not len(mask):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    change = np.zeros(len(mask), bool)
-    change[0] = True
-    for x in same:
-        change[1:] |= x[1:] != x[:-1]
-    starts = np.flatnonzero(mask & (change | ~np.concatenate([[False], mask[:-1]])))
-    ends = np.flatnonzero(mask & np.concatenate([change[1:] | ~mask[1:], [True]])) + 1
-    return starts, ends - starts
+def _block_keys(parts: list, ranges: blocks.Ranges) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ends of a block, cut and sorted, and how often each occurs."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(ranges.cut(t.grams[t.ends()]) for *_, t in parts if t.n >= t.window)]), return_counts=True)
 
 
 _SUFFIXES = "key long, u1 long, at long, n int, words binary"
-_NODE = 0  # n of a row whose prefix is its whole window
 
 
-def _suffixes(flagged: DataFrame, window: int, gram: int) -> DataFrame:
-    """Runs of suffixes by prefix: n windows from `at` on, with the words of these; without words where all repeat."""
+def _suffixes(texts: pa.Table, answers: pa.Table, ranges: blocks.Ranges, window: int, gram: int, common: bool) -> pa.Table:
+    """Runs of suffixes by prefix: n windows from `at` on, with the words of these; without words where all repeat.
+
+    With `common` the suffixes behind common ends, single windows with their words, each once; else all others.
+    """
+    texts = blocks.in_order(texts)
+    parts = _scan(texts, window, gram)
+    keys, count = _block_keys(parts, ranges)
+    elsewhere, many = ranges.flags(keys, answers)
+    again = (elsewhere | (count > 1)) & ~many
+    all_u1, all_u2 = texts.column("u1").to_numpy(), texts.column("u2").to_numpy()
 
     def rows(t, key, u1, u2, place, n, first=None):
         # first: the number of the first word of each run, or None
-        for at, to in _parts(np.maximum(n, 1) + window - 1 if first is not None else np.ones(len(key), np.int64)):
+        for at, to in _parts(n + window - 1 if first is not None else np.ones(len(key), np.int64)):
             if first is None:
                 words = pa.nulls(to - at, pa.binary())
             else:
-                size = np.maximum(n[at:to], 1) + window - 1
+                size = n[at:to] + window - 1
                 begin = np.cumsum(size) - size
                 spelled = t.spelled(np.repeat(first[at:to] - begin, size) + np.arange(size.sum()))
                 offsets = np.frombuffer(spelled.buffers()[1], np.int32)
                 ends = np.ascontiguousarray(offsets[np.concatenate([[0], begin + size])])
                 words = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(ends), spelled.buffers()[2]])
             cols = [pa.array(np.asarray(key[at:to]).view(np.int64)), pa.array(u1[at:to]), pa.array(_at(u2[at:to], place[at:to])), pa.array(n[at:to].astype(np.int32)), words]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "u1", "at", "n", "words"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, to, data, offsets, base in _batches(b, "data", BATCH_BYTES, window):
-                t = _Texts(data, offsets, window, gram)
-                if t.n < window:
-                    continue
-                u1, u2 = _column(b, "u1", at, to), _column(b, "u2", at, to)
-                col = b.column("ends").slice(at, to - at)
-                ends, owner = col.flatten().to_numpy(), np.repeat(np.arange(to - at), col.value_lengths().to_numpy())
-                word = (ends >> 1) - base + t.first[owner]
-                own = (word >= t.first[owner]) & (word + gram <= t.first[owner + 1])  # of this part of a long text
-                common = t.behind(word[own & ((ends & 1) == 1)])
-                rare = t.behind(word[own & ((ends & 1) == 0)])
-                text = t.text[: len(t.least)]
-                known = np.zeros(len(t.least), bool)
-
-                # names of the windows that are looked at, from the words that they cover
-                edge = np.zeros(t.n + 1, np.int32)
-                edge[: len(known)] += common | rare
-                edge[window:] -= common | rare
-                covered = np.cumsum(edge[:-1]) > 0
-                names = _names(_word_numbers(t.spelled(np.flatnonzero(covered))), window)
-                number = np.cumsum(covered) - 1  # of each covered word among them
-
-                # by the window itself
-                single = np.flatnonzero(common)
-                one, which, count = _classes(names[number[single]])
-                known[single[count[which] > 1]] = True
-                s = single[one]
-                yield from rows(t, t.windows[s], u1[text[s]], u2[text[s]], base + t.place(s), np.full(len(s), _NODE), s)
-
-                # by the end of the prefix; the first and last window say what a run of up to `window` windows holds
-                s, n = _stretches(rare, t.least, text)
-                if len(s):
-                    one, which, count = _classes(names[number[s]], names[number[s + n - 1]], n)
-                    again = (count[which] > 1) & (n <= window)
-                    for i in np.flatnonzero(again):
-                        known[s[i] : s[i] + n[i]] = True
-                    send = ~again
-                    send[one] = True
-                    s, n = s[send], n[send]
-                    yield from rows(t, t.least[s], u1[text[s]], u2[text[s]], base + t.place(s), n, s)
-
-                s, n = _stretches(known, text)
-                yield from rows(t, u1[text[s]], u1[text[s]], u2[text[s]], base + t.place(s), n)
-
-    return flagged.mapInArrow(run, _SUFFIXES)
+            yield pa.table(cols, ["key", "u1", "at", "n", "words"])
+
+    out = [pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())], ["key", "u1", "at", "n", "words"])]
+    for at, base, t in parts:
+        if t.n < window:
+            continue
+        text = t.text[: len(t.least)]
+        u1, u2 = all_u1[at + text], all_u2[at + text]
+        s, n = stretches(t.least != 0, t.least)
+        end = np.searchsorted(keys, ranges.cut(t.least[s]))
+        single, rare = np.zeros(len(text), bool), np.zeros(len(text), bool)
+        for mask, wanted in ((single, many), (rare, again)):
+            mask[t.least != 0] = np.repeat(wanted[end], n)
+        known = np.zeros(len(text), bool)
+
+        # names of the windows that are looked at, from the words that they cover
+        looked = single if common else single | rare
+        edge = np.zeros(t.n + 1, np.int32)
+        edge[: len(known)] += looked
+        edge[window:] -= looked
+        covered = np.cumsum(edge[:-1]) > 0
+        names = _names(_word_numbers(t.spelled(np.flatnonzero(covered))), window)
+        number = np.cumsum(covered) - 1  # of each covered word among them
+
+        # by the window itself
+        s = np.flatnonzero(single)
+        one, which, count = _classes(names[number[s]])
+        known[s[count[which] > 1]] = True
+        if common:
+            s = s[one]
+            out += rows(t, t.windows[s], u1[s], u2[s], base + t.place(s), np.ones(len(s), np.int64), s)
+            continue
+
+        # by the end of the prefix; the first and last window say what a run of up to `window` windows holds
+        s, n = stretches(rare, t.least, text)
+        if len(s):
+            one, which, count = _classes(names[number[s]], names[number[s + n - 1]], n)
+            again_here = (count[which] > 1) & (n <= window)
+            for i in np.flatnonzero(again_here):
+                known[s[i] : s[i] + n[i]] = True
+            send = ~again_here
+            send[one] = True
+            s, n = s[send], n[send]
+            out += rows(t, t.least[s], u1[s], u2[s], base + t.place(s), n, s)
+
+        s, n = stretches(known, text)
+        out += rows(t, u1[s], u1[s], u2[s], base + t.place(s), n)
+    return pa.concat_tables(out)
 
 
 def _parts(size: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -423,42 +321,10 @@ def _deep_nodes(words: pa.Array, n: np.ndarray, window: int) -> tuple[np.ndarray
     meets = names[order[1:]] == names[order[:-1]]  # neighbours that share a window
     deep = np.zeros(len(names), bool)
     deep[order[1:][meets]] = deep[order[:-1][meets]] = True
-    s, m = _stretches(deep, row)
+    s, m = stretches(deep, row)
     return row[s], inside[s], m
 
 
-class _Nodes:
-    """Rows whose prefix is a whole window, by key: those that meet another row with the same words.
-
-    Of the last key only distinct words are kept from batch to batch, however many rows it has.
-    """
-
-    def __init__(self):
-        self.key, self.seen = None, {}  # words: the number of the row that waits for another, or None
-
-    def meet(self, t: pa.Table) -> list[tuple[int, int]]:
-        """(u1, at) of the rows of `t`, and of waiting ones, that are known to meet another by now."""
-        words = t.column("words").combine_chunks()
-        which = _word_numbers(words)
-        count = np.bincount(which)
-        u1, at, key = (t.column(c).to_numpy() for c in ("u1", "at", "key"))
-        deep, out = count[which] > 1, []
-        _, first = np.unique(which, return_index=True)
-        for k in dict.fromkeys((key[0], key[-1])):
-            mine = self.seen if k == self.key else {}
-            for i in first[key[first] == k]:
-                w = words[i].as_py()
-                if w not in mine:
-                    mine[w] = None if count[which[i]] > 1 else (u1[i], at[i])
-                else:
-                    deep[which == which[i]] = True
-                    if mine[w] is not None:
-                        out.append(mine[w])
-                        mine[w] = None
-            self.key, self.seen = k, mine
-        return out + list(zip(u1[deep], at[deep]))
-
-
 def _meet(suffixes: DataFrame, window: int) -> DataFrame:
     """(u1, u2, start, n): runs of windows of a text that repeat. Each key's rows are in one partition, in a row."""
 
@@ -473,19 +339,15 @@ def _meet(suffixes: DataFrame, window: int) -> DataFrame:
         return told(t.column("u1").to_numpy()[row], t.column("at").to_numpy()[row], start, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the last group, fewer than COMMON runs, may go on in the next batch
-        nodes = _Nodes()
+        held: pa.Table | None = None  # the last group may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
-            t, n = pa.Table.from_batches([b]), b.column("n").to_numpy()
+            t = pa.Table.from_batches([b])
             known = b.column("words").is_null().to_numpy(zero_copy_only=False)
             own = t.filter(pa.array(known))
             yield told(own.column("u1").to_numpy(), own.column("at").to_numpy(), 0, own.column("n").to_numpy())
-            own = t.filter(pa.array(~known & (n == _NODE)))
-            if own.num_rows and (met := nodes.meet(own)):
-                yield told(*zip(*met), 0, np.ones(len(met)))
-            own = t.filter(pa.array(~known & (n != _NODE)))
+            own = t.filter(pa.array(~known))
             if own.num_rows:
                 own = own if held is None else pa.concat_tables([held, own])
                 key = own.column("key").to_numpy()
@@ -499,18 +361,32 @@ def _meet(suffixes: DataFrame, window: int) -> DataFrame:
     return suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u1 long, u2 int, start int, n int")
 
 
-def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(u1, u2, runs) for the texts of distinct_texts in which windows start that start elsewhere too.
+def repeats(texts: DataFrame, size: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(u1, u2, start, n) for the texts of blocks.text_blocks in which windows start that start elsewhere too.
 
-    runs is an array of structs (start, n): n windows from word `start` on. The words that they cover are the text's
-    maximal repeats. Copies of whole texts are not looked at.
+    size: bytes of all texts. n windows from word `start` on; the words that they cover are the text's maximal repeats.
+    Copies of whole texts are not looked at.
     """
-    flagged = texts.join(_ends(texts, window, gram), ["u1", "u2"])
-    return (
-        _meet(_suffixes(flagged, window, gram), window)
-        .groupBy("u1", "u2")
-        .agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    )
+    ranges = blocks.Ranges(size // 64)
+
+    def send(t: pa.Table) -> pa.Table:
+        t = blocks.in_order(t)
+        keys, count = _block_keys(_scan(t, window, gram), ranges)
+        return ranges.rows(t.column("block")[0].as_py(), keys, count >= COMMON_HERE)
+
+    told = cut(blocks.answers(texts.groupBy("block").applyInArrow(send, blocks.SENT), COMMON))
+
+    def suffixes(common: bool) -> DataFrame:
+        both = texts.groupBy("block").cogroup(told.groupBy("block"))
+        return both.applyInArrow(lambda t, a: _suffixes(t, a, ranges, window, gram, common), _SUFFIXES)
+
+    found = _meet(suffixes(False), window)
+    if not told.where("common is not null").isEmpty():
+        rows = suffixes(True)
+        deep = rows.join(rows.groupBy("words").agg(F.count(F.lit(1)).alias("same")).where("same > 1"), "words")
+        place = F.col("at").bitwiseAND(F.lit(2**31 - 1)).cast("int")
+        found = found.unionByName(deep.select("u1", F.shiftright("at", 32).cast("int").alias("u2"), place.alias("start"), "n"))
+    return found
 
 
 def _without(data: pa.Buffer, begin: np.ndarray, end: np.ndarray, least: int | None, keep_text: bool) -> tuple:
@@ -548,7 +424,7 @@ def _text_parts(data: pa.Buffer) -> Iterator[bytes]:
     while at < size:
         to = min(size, at + BATCH_BYTES)
         while to < size:
-            white = np.flatnonzero(_SPACE[np.frombuffer(data.slice(to, min(1 << 16, size - to)), np.uint8)])
+            white = np.flatnonzero(SPACE[np.frombuffer(data.slice(to, min(1 << 16, size - to)), np.uint8)])
             if len(white):
                 to += int(white[0])
                 break
@@ -572,22 +448,25 @@ def remove_repeats(
     shorter than a window stay whole. Rows that repeat a text lose all of it if it has a window. Columns other than
     the two named are not read, so their names cannot clash.
     """
-    texts = distinct_texts(docs, text_col)
+    size = blocks.total_bytes(docs, text_col)
+    texts = blocks.text_blocks(docs, size, id_col, text_col)
+    found = repeats(texts, size, window, gram).withColumn("block", blocks.block_of(F.col("u1"), blocks.number_of_blocks(size)))
     schema = "u1 long, u2 int, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            runs, out = b.column("runs"), []
-            first, last = (runs.flatten().field(c).to_numpy() for c in ("start", "n"))
-            size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(runs), 0).to_numpy())])
-            for i, (data, copies) in enumerate(zip(b.column("data"), b.column("copies"))):
-                begin, n = first[size[i] : size[i + 1]], last[size[i] : size[i + 1]]
-                out.append(_without(data.as_buffer(), begin, begin + n - 1 + window, window if copies.as_py() > 1 else None, keep_text))
-            cols = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))] if out else []
-            if cols:
-                names = ["u1", "u2", "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 + keep_text]
-                yield pa.RecordBatch.from_arrays([b.column("u1"), b.column("u2"), *cols[: 3 + keep_text]], names)
-
-    done = texts.join(repeats(texts, window, gram), ["u1", "u2"], "left").mapInArrow(run, schema)
-    names = docs.select(F.col(id_col).alias("doc_id"), *_ids(F.coalesce(F.col(text_col), F.lit(""))))
+    def take_out(t: pa.Table, f: pa.Table) -> pa.Table:
+        t = blocks.in_order(t)
+        number = {k: i for i, k in enumerate(zip(t.column("u1").to_pylist(), t.column("u2").to_pylist()))}
+        text = np.array([number[k] for k in zip(f.column("u1").to_pylist(), f.column("u2").to_pylist())], np.int64)
+        order = np.argsort(text, kind="stable")
+        begin, n = (f.column(c).to_numpy()[order].astype(np.int64) for c in ("start", "n"))
+        at, out = np.searchsorted(text[order], np.arange(t.num_rows + 1)), []
+        for i, (data, copies) in enumerate(zip(t.column("data"), t.column("copies"))):
+            own, windows = begin[at[i] : at[i + 1]], n[at[i] : at[i + 1]]
+            out.append(_without(data.as_buffer(), own, own + windows - 1 + window, window if copies.as_py() > 1 else None, keep_text))
+        cols = [pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
+        names = ["u1", "u2", "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 + keep_text]
+        return pa.table([t.column("u1"), t.column("u2"), *cols[: 3 + keep_text]], names)
+
+    done = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(take_out, schema)
+    names = docs.select(F.col(id_col).alias("doc_id"), *blocks.text_ids(F.coalesce(F.col(text_col), F.lit(""))))
     return names.join(done, ["u1", "u2"]).drop("u1", "u2")

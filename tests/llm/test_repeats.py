@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corvane.llm import repeats
+from corvane.llm import blocks, repeats
 from tests.llm import fixtures as fx
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,3 +100,24 @@ def test_documents_table(spark):
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], fx.DOCS)).collect() == []
+
+
+@pytest.mark.parametrize("texts", [2000, 8000])
+def test_the_largest_group_stays_flat(spark, texts):
+    """A passage in a tenth of all texts: the rows that meet by an end or a window grow with the blocks, not the texts."""
+    docs = spark.range(texts).selectExpr(
+        "id as doc_id", f"concat_ws(' ', array_join(transform(sequence(1, 60), i -> substring(md5(concat(id, ' ', i)), 1, 5)), ' '), if(id % 10 = 0, '{fx.words(60, 1)}', ''), md5(cast(-id as string)), repeat('x y ', 1)) as text"
+    )
+    size = blocks.total_bytes(docs, "text")
+    frame, ranges = blocks.text_blocks(docs, size), blocks.Ranges(size // 64)
+
+    def send(t):
+        keys, count = repeats._block_keys(repeats._scan(blocks.in_order(t), 35, 12), ranges)
+        return ranges.rows(t.column("block")[0].as_py(), keys, count >= 4)
+
+    told = blocks.answers(frame.groupBy("block").applyInArrow(send, blocks.SENT), 16)
+    for common, key in ((False, "key"), (True, "words")):
+        both = frame.groupBy("block").cogroup(told.groupBy("block"))
+        rows = both.applyInArrow(lambda t, a: repeats._suffixes(t, a, ranges, 35, 12, common), repeats._SUFFIXES)  # noqa: B023
+        largest = rows.where("words is not null").groupBy(key).count().agg({"count": "max"}).first()[0]
+        assert (largest or 0) <= blocks.LEAST_BLOCKS and (common is False or largest > 10)
