@@ -32,30 +32,35 @@ def shuffle_to_shards(
     """(shard, slot, row) for each row of `docs`: shard from 0, slot gapless from 0 within it, row a struct of all columns.
 
     Shard sizes in rows differ by one at most. The order depends on ids, texts, the seed and the number of buckets, not
-    on partitions or retries. Rows that repeat id and text more than `repeats` times are scattered over buckets by their
-    place in the input, so that they do not gather in one. Null ids are scattered by text. An empty table gives none. The
-    struct keeps extra columns apart, so that names such as shard or slot do not clash.
+    on partitions or retries. A bucket holds about `bucket_bytes` of texts, or one longer text: rows that repeat id and text
+    more than `repeats` times, or with more bytes, are dealt to neighbouring buckets by their place in the input, so that they
+    do not gather in one; they alone are written to the shared folder. Null ids are scattered by text. An empty table gives
+    none. The struct keeps extra columns apart, so that names such as shard or slot do not clash.
     """
     text, spark = F.col(text_col), docs.sparkSession
     told = F.xxhash64(F.lit(seed), F.col(id_col), text)
-    total = docs.agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64).alias("bytes")
-    ).first()
-    n, n_bytes = total["rows"], total["bytes"] or 0
+    # rows that share id and text, with their number and the bytes of one: all counts follow from them, without the texts
+    kinds = cut(docs.groupBy(told.alias("_order")).agg(F.count(F.lit(1)).alias("_n"), F.max(F.coalesce(F.octet_length(text), F.lit(0)) + 64).alias("_bytes")))
+    total = kinds.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("_n") * F.col("_bytes")), F.lit(0)).alias("bytes")).first()
+    n, n_bytes = total["rows"], total["bytes"]
     buckets = max(LEAST_BUCKETS, -(-n_bytes // bucket_bytes))
-    often = cut(docs.groupBy(told.alias("_told")).agg(F.count(F.lit(1)).alias("_often")).where(F.col("_often") > repeats))
+    parts = F.greatest(F.ceil(F.col("_n") / repeats), F.ceil(F.col("_n") * F.col("_bytes") / bucket_bytes)).cast("long")
+    often = cut(kinds.select(F.col("_order").alias("_often"), F.least("_n", parts).alias("_parts")).where("_parts > 1"))
+    bucket = F.pmod(F.xxhash64(F.lit(~seed), "_order"), F.lit(buckets))
     rows = docs.select(told.alias("_order"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    if hot := often.count():
-        # at most one row for each `repeats` rows; broadcast only while they are few
-        often = F.broadcast(often) if hot <= FEW else often
-        nth = F.when(F.col("_often").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_often") / repeats)))
-        # places are fixed in the shared folder, as counts and rows must agree on them
-        rows = cut(rows.join(often, F.col("_order") == F.col("_told"), "left").withColumn("_nth", nth))
-        bucket = F.pmod(F.xxhash64(F.lit(~seed), "_order", "_nth"), F.lit(buckets))
-    else:
-        bucket = F.pmod(F.xxhash64(F.lit(~seed), "_order"), F.lit(buckets))
+    once, repeated = F.col("_order") == F.col("_often"), often.count()
+    if repeated:
+        often = F.broadcast(often) if repeated <= FEW else often
+        # their places are fixed in the shared folder, as counts and rows must agree on them
+        hot = rows.join(often, once).withColumn("_nth", F.pmod(F.monotonically_increasing_id(), "_parts"))
+        hot = cut(hot.select(F.pmod(bucket + F.col("_nth"), F.lit(buckets)).alias("_bucket"), "_order", "row"))
+        rows, kinds = (df.join(often, once, "left_anti") for df in (rows, kinds))
+    sizes = kinds.groupBy(bucket.alias("_bucket")).agg(F.sum("_n").alias("_n"))
     rows = rows.select(bucket.alias("_bucket"), "_order", "row")
-    before = starts(rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")), [], "_bucket", "_n")
+    if repeated:
+        rows = rows.unionByName(hot)
+        sizes = sizes.unionByName(hot.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))).groupBy("_bucket").agg(F.sum("_n").alias("_n"))
+    before = starts(sizes, [], "_bucket", "_n")
 
     def fisher_yates(table: pa.Table, place: pa.Table) -> pa.Table:
         order = np.argsort(table.column("_order").to_numpy(), kind="stable")

@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from corvane.llm import queries, sharding
 from tests.llm import fixtures as fx
 
@@ -37,6 +39,19 @@ def test_repeated_rows_are_spread(spark):
     assert len(shards) == 10 and max(shards.values()) < 400
 
 
+def test_long_repeated_rows_are_spread(spark, monkeypatch):
+    """900 rows without an id and with one text of 200 KB: buckets are bounded in bytes."""
+    text = fx.words(50_000, 1)[:200_000]
+    docs = spark.range(900).selectExpr("cast(null as long) as doc_id", "id as n").withColumn("text", F.lit(text)).repartition(6)
+    got = sharding.shuffle_to_shards(docs, 10).select("shard", "slot", "row.n")
+    rows = got.collect()
+    assert set(Counter(r.shard for r in rows).values()) == {90} and sorted(r.n for r in rows) == list(range(900))
+    largest, original = [], sharding.starts
+    monkeypatch.setattr(sharding, "starts", lambda sizes, *more: (largest.append(sizes.agg(F.max("_n")).first()[0]), original(sizes, *more))[1])
+    sharding.shuffle_to_shards(docs, 10)
+    assert largest[0] * 200_000 <= 16 << 20
+
+
 def test_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.QUERIES["op2_shuffled_shards"](spark, "/root/testdata/sf0.01").collect()
