@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from pathlib import Path
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +35,10 @@ _OPENING = (
     r"this (?:work|project|software|program|library|file|code) is|licen[sc]e:|spdx-license-identifier)"
 )
 _STOP = rf"\b{_OPENING}|(?<=\.)(?<!(?:[\s.]\p{{L}}|\b(?:inc|ltd|corp|co|jr|sr|dr|st|llc|gmbh))\.)[ \t]+(?!all rights reserved|<|http)(?=[\p{{L}}\"“(])"
+#: a holder goes on over the next line where one line ends or the other begins with "and", "&" or, at the end, a comma
+_ON = r"(?:[^\n]*(?:(?:,|&|\band)[ \t\r]*\n|\n(?=[^\p{L}\p{N}\n]*(?:and|&)[ \t])))?"
 NOTICE = (
-    rf"(?m)(?:^[^\p{{L}}\p{{N}}©(\n]*|(?<=\blicen[sc]e)[ \t:.-]+|(?<=\((?:mit|isc)\))[ \t:.-]+){_MARK}[^\n]*?(?=$|{_STOP})"
+    rf"(?m)(?:^[^\p{{L}}\p{{N}}©(\n]*|(?<=\blicen[sc]e)[ \t:.-]+|(?<=\((?:mit|isc)\))[ \t:.-]+){_MARK}{_ON}[^\n]*?(?=$|{_STOP})"
     r"|^[^\p{L}\p{N}\n]*all rights reserved\b[.!]?"
 )
 MAY_HOLD_NOTICE = r"copyright|copr\.|\(c\)|©|all rights reserved"
@@ -78,13 +80,21 @@ _FIRST = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+#: Holders that BSD texts name in their clauses stand for any: in the form of words, (pattern, what it counts as).
+HOLDERS = (
+    (r" neither the names? of .{1,200}? nor the names of (?:its|their|any) contributors may be used ", " neither the name of the copyright holder nor the names of its contributors may be used "),
+    (r" this software is provided by .{1,200}? as is and any express ", " this software is provided by the copyright holders and contributors as is and any express "),
+    (r" in no event shall .{1,200}? be liable for any direct indirect ", " in no event shall the copyright holder or contributors be liable for any direct indirect "),
+)
+NAMES_HOLDER = " be liable for any direct indirect "  # every text with such a clause has these words
+
 #: SPDX identifiers, files of whole texts, and names that notices use.
-_FOLDER = Path(__file__).with_name("licence_texts")
 _FILES = {
     "Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2-only": "GFDL-1.2", "GFDL-1.3-only": "GFDL-1.3",
     "GPL-1.0-only": "GPL-1", "GPL-2.0-only": "GPL-2", "GPL-3.0-only": "GPL-3", "LGPL-2.0-only": "LGPL-2", "LGPL-2.1-only": "LGPL-2.1",
-    "LGPL-3.0-only": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+    "LGPL-3.0-only": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Unlicense": "Unlicense", "Zlib": "Zlib", "BSL-1.0": "BSL-1.0",
 }
+_END = "END OF TERMS AND CONDITIONS"  # behind it texts say how to apply them, which many copies leave out
 _NAMES = {
     "MIT": ("the MIT License", "the MIT license (MIT)", "MIT"),
     "ISC": ("the ISC License", "ISC"),
@@ -111,12 +121,22 @@ _NAMES = {
 _LEADS = ("", "Released", "Distributed", *(f"This {x} is {y}" for x in ("work", "project", "software", "program", "library", "file", "code") for y in ("licensed", "released", "distributed")))
 
 
+def _read(name: str) -> str:
+    return resources.files(__package__).joinpath("licence_texts", name).read_text(encoding="utf-8")
+
+
+def _forms(text: str) -> list[str]:
+    """A text, and what is left of it without instructions at its end, with and without the line that ends the terms."""
+    at = text.find(_END)
+    return [text] if at < 0 else [text, text[: at + len(_END)], text[:at]]
+
+
 def _bsd() -> list[tuple[str, str]]:
-    """The two BSD licences with numbers, bullets and titles, and the university's own."""
-    own = (_FOLDER / "BSD").read_text()
+    """The two BSD licences with numbers, bullets and titles; whichever holder their clauses name, forms are the same."""
+    own = _read("BSD")
     three = own.replace("the University", "the copyright holder").replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR")
     two = re.sub(r"3\. Neither.*?permission\.\n", "", three, flags=re.S)
-    out = [("BSD-3-Clause", own)]
+    out = []
     for name, text, titles in (("BSD-2-Clause", two, ("BSD 2-Clause License",)), ("BSD-3-Clause", three, ("BSD 3-Clause License",))):
         for form in (text, re.sub(r"(?m)^\d\. ", "* ", text)):
             out += [(name, form), *((name, f"{t}\n\n{form}") for t in titles)]
@@ -130,7 +150,8 @@ def _known() -> tuple:
     rows += [("MIT", mit.split("\n\n", 1)[1]), ("MIT", mit.replace("MIT License", "The MIT License (MIT)", 1)), ("MIT", mit.replace("MIT License", "The MIT License", 1))]
     rows += [("ISC", isc.split("\n\n", 1)[1]), ("ISC", isc.replace("and/or", "and")), ("ISC", isc.split("\n\n", 1)[1].replace("and/or", "and"))]
     rows += [("0BSD", zero.split("\n\n", 1)[1]), ("0BSD", zero.replace("Zero-Clause BSD", "BSD Zero Clause License"))]
-    rows += [(i, (_FOLDER / f).read_text()) for i, f in _FILES.items()] + _bsd()
+    rows += [(i, t) for i, f in _FILES.items() for t in _forms(_read(f))] + _bsd()
+    rows += [("Unlicense", re.sub(r"\n\nFor more information.*", "", _read("Unlicense"), flags=re.S)), ("Zlib", "zlib License\n\n" + _read("Zlib"))]
     for i, names in _NAMES.items():
         rows.append((i, f"SPDX-License-Identifier: {i}"))
         for name in names:
@@ -138,7 +159,10 @@ def _known() -> tuple:
             rows += [(i, f"License: {name.removeprefix('the ')}")]
     once = {}
     for i, t in rows:
-        once.setdefault(" ".join(re.findall(r"[^\W_]+", t.lower())), (i, t))
+        words = f' {" ".join(re.findall(r"[^\W_]+", t.lower()))} '
+        for pattern, new in HOLDERS:
+            words = re.sub(pattern, new, words)
+        once.setdefault(words, (i, t))
     return tuple(once.values())
 
 
@@ -151,9 +175,14 @@ def canonical(text: Column) -> Column:
 
 
 def without_notices(text: Column) -> Column:
-    """The form by which licences are looked up: as canonical(), but copyright notices go, not what else is on their lines."""
+    """The form by which licences are looked up: as canonical(), but copyright notices go, not what else is on their lines,
+    and holders that BSD clauses name count as any."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    return _words(F.when(lower.rlike(MAY_HOLD_NOTICE), F.regexp_replace(lower, NOTICE, " ")).otherwise(lower))
+    words = F.concat(F.lit(" "), _words(F.when(lower.rlike(MAY_HOLD_NOTICE), F.regexp_replace(lower, NOTICE, " ")).otherwise(lower)), F.lit(" "))
+    named = words
+    for pattern, new in HOLDERS:
+        named = F.regexp_replace(named, pattern, new)
+    return F.trim(F.when(F.contains(words, F.lit(NAMES_HOLDER)), named).otherwise(words))
 
 
 def _words(lower: Column) -> Column:

@@ -162,7 +162,10 @@ def _canonical(text: str) -> str:
 def _looked_up(text: str) -> str:
     """SQL for licences.without_notices, where notices have their lines to themselves."""
     lines = f"string_split(lower(coalesce({text}, '')), chr(10))"
-    return _words(f"array_to_string(list_filter({lines}, lambda x: not regexp_matches(x, '{_COPYRIGHT_LINE}')), ' ')")
+    words = f"' ' || {_words(f"array_to_string(list_filter({lines}, lambda x: not regexp_matches(x, '{_COPYRIGHT_LINE}')), ' ')")} || ' '"
+    for pattern, new in licences.HOLDERS:
+        words = f"regexp_replace({words}, '{pattern}', '{new}', 'g')"
+    return f"trim({words})"
 
 
 def _words(text: str) -> str:

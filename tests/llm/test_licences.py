@@ -1,7 +1,12 @@
 import hashlib
 import re
+import subprocess
+import sys
 import textwrap
+import zipfile
+from pathlib import Path
 
+import duckdb
 from pyspark.sql import functions as F
 
 from corvane.llm import licences as L
@@ -91,3 +96,55 @@ def test_marks(spark):
     docs = spark.createDataFrame([(1, "Copyright only", "en", "s", 0), (2, "x\nthe organisation's law", "en", "s", 0)], fx.DOCS)
     got = {r.doc_id: r for r in L.scan(docs, (("A", "the organization s law"), ("B", "copyright only"))).collect()}
     assert got[2].notices == ["A"] and got[1].notices == ["B"]
+
+
+def apache():
+    return open("/usr/share/common-licenses/Apache-2.0").read()
+
+
+def variants_of_whole_texts():
+    """(text, licence): whole licences as projects ship them."""
+    bsd = next(t for i, t in L.KNOWN if i == "BSD-3-Clause" and "copyright holder" in t)
+    named = bsd.replace("the copyright holder nor", "Example Systems, Inc. nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "EXAMPLE SYSTEMS AND CONTRIBUTORS")
+    named = named.replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "EXAMPLE SYSTEMS")
+    assert named.count("xample") + named.count("EXAMPLE") >= 3
+    gpl = open("/usr/share/common-licenses/GPL-2").read()
+    end = "END OF TERMS AND CONDITIONS"
+    out = [(apache(), "Apache-2.0"), (apache().split(end)[0], "Apache-2.0"), (apache().split(end)[0] + end + "\n", "Apache-2.0"), (gpl.split(end)[0] + end, "GPL-2.0-only")]
+    out += [(named, "BSD-3-Clause"), (L._read("Unlicense"), "Unlicense"), ("Copyright (c) 2020 A\n\n" + L._read("Zlib"), "Zlib"), (L._read("BSL-1.0").upper(), "BSL-1.0")]
+    return out
+
+
+def test_variants_of_whole_texts(spark):
+    bare = next(t for i, t in L.KNOWN if i == "MIT").split("\n\n", 2)[2]
+    mit = [f"MIT License\n\n{notice}\n\n{bare}" for notice in ("Copyright (c) 2020 Jane Doe,\n  John Roe", "Copyright (c) 2020 Jane Doe\nand contributors", "Copyright 2020 Foo &\nBar", "(c) 2019 A, B and\n   others\nCopyright 2021 C")]
+    more = [f"MIT License\n\n{notice}\n\n{bare}" for notice in ("Copyright (c) 2020 Jane Doe\nSelling is not allowed", "Copyright 2020 X.\nCommercial use needs consent")]
+    known = variants_of_whole_texts() + [(t, "MIT") for t in mit] + [(t, None) for t in more]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, (t, _) in enumerate(known)], fx.DOCS)
+    got = {r.doc_id: r.licence for r in L.scan(docs).collect()}
+    assert [got[k] for k in range(len(known))] == [i for _, i in known]
+
+
+def test_query_finds_planted_texts(spark, tmp_path):
+    """The registered query and its SQL on documents some of which are whole licences."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = variants_of_whole_texts()
+    planted = spark.createDataFrame([(10**6 + k, t, "en", "s", len(t)) for k, (t, _) in enumerate(known)], fx.DOCS)
+    docs.unionByName(planted).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op9_licence_digests"](spark, str(tmp_path))
+    assert {r.doc_id - 10**6: r.licence for r in got.where("licence is not null").collect()} == {k: i for k, (_, i) in enumerate(known)}
+    duckdb.sql(f"create or replace temp view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(queries.SQL["op9_licence_digests"])
+    assert fx.rows(got.select(*want.columns)) == sorted(want.fetchall(), key=repr)
+
+
+def test_package_in_an_archive(tmp_path):
+    """Licence texts are found in a package that is shipped as a zip file."""
+    root = Path(L.__file__).resolve().parents[2]
+    with zipfile.ZipFile(tmp_path / "corvane.zip", "w") as z:
+        for f in (root / "corvane").rglob("*"):
+            if f.is_file() and "__pycache__" not in f.parts:
+                z.write(f, f.relative_to(root))
+    code = f"import sys; sys.path.insert(0, {str(tmp_path / 'corvane.zip')!r}); from corvane.llm import licences; print(licences.__file__, len(licences.KNOWN))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=100)
+    assert done.returncode == 0 and "corvane.zip" in done.stdout and done.stdout.split()[-1] == str(len(L.KNOWN)), done.stderr
