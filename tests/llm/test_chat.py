@@ -77,3 +77,16 @@ def test_cycles_are_refused(spark, monkeypatch):
     ring = spark.createDataFrame([(1, 1, 2, "user", "a", 0.0), (1, 2, 1, "user", "b", 0.0)], "tree long, node long, parent long, role string, text string, score double")
     with pytest.raises(ValueError, match="cycle"):
         chat.paths(ring)
+
+
+def test_long_texts_and_conversations(spark):
+    """A text of a megabyte, and a conversation of 3,000 turns."""
+    long = fx.words(200_000, 1) + "###"
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    out = chat.format_paths(chat.paths(chat.linear_replies(df)))
+    got = {r.tree: r for r in out.select("tree", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    for tree in (1, 2):
+        turns = [(r[2], r[3]) for r in rows if r[0] == tree]
+        assert [tuple(t) for t in got[tree].turns] == turns and got[tree].formatted == formatted(turns)[0]
+        assert got[tree].loss == [t for role, t in turns if role == "assistant"]
