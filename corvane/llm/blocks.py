@@ -91,7 +91,8 @@ class Ranges:
         self.bits = min(24, max(6, (4 * expected // RANGE_BYTES).bit_length()))
 
     def cut(self, keys: np.ndarray) -> np.ndarray:
-        return keys >> np.uint64(32 - self.bits)
+        # least hashes are small numbers, so they are spread over all ranges first
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32 - self.bits)
 
     def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(range, bounds) of sorted keys that are cut."""

@@ -223,9 +223,10 @@ def _suffixes(texts: pa.Table, answers: pa.Table, ranges: blocks.Ranges, window:
     With `common` the suffixes behind common ends, single windows with their words, each once; else all others.
     """
     texts = blocks.in_order(texts)
-    parts = _scan(texts, window, gram)
+    some = not common or answers.column("common").null_count < answers.num_rows
+    parts = _scan(texts, window, gram) if some else []
     keys, count = _block_keys(parts, ranges)
-    elsewhere, many = ranges.flags(keys, answers)
+    elsewhere, many = ranges.flags(keys, answers) if some else (count > 1, count > 1)
     again = (elsewhere | (count > 1)) & ~many
     all_u1, all_u2 = texts.column("u1").to_numpy(), texts.column("u2").to_numpy()
 

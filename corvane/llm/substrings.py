@@ -140,9 +140,10 @@ def _runs(texts: pa.Table, answers: pa.Table, ranges: blocks.Ranges, window: int
     Of windows behind common anchors only runs without bytes are given; or with `common` only those with bytes, one by one.
     """
     texts = blocks.in_order(texts)
-    parts = _scan(texts, window, gram)
+    some = not common or answers.column("common").null_count < answers.num_rows
+    parts = _scan(texts, window, gram) if some else []
     keys, here, _ = _block_keys(parts, ranges)
-    elsewhere, many = ranges.flags(keys, answers)
+    elsewhere, many = ranges.flags(keys, answers) if some else (here, here)
     rare = (elsewhere | here) & ~many
     own, block, out = texts.column("least").to_numpy(), texts.column("block")[0].as_py(), []
 

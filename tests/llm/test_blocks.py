@@ -46,6 +46,14 @@ def test_keys_are_told_by_bits(spark, common):
         assert many.tolist() == [len(holders[k]) >= common or k in full for k in keys.tolist()]
 
 
+def test_least_hashes_are_spread():
+    """Keys are the least of many hashes, small numbers, yet all ranges get about as many."""
+    rng, ranges = np.random.default_rng(1), blocks.Ranges(1000)
+    keys = rng.integers(0, 2**64, (60_000, 27), np.uint64).min(axis=1) | np.uint64(1)
+    counts = np.bincount((ranges.cut(keys) >> np.uint64(32)).astype(int), minlength=2**ranges.bits)
+    assert len(counts) == 2**ranges.bits and counts.max() < 2 * counts.mean() and len(np.unique(ranges.cut(keys))) > 59_900
+
+
 def test_no_keys(spark):
     assert blocks.answers(spark.createDataFrame([], blocks.SENT), 5).collect() == []
     ranges = blocks.Ranges(0)
