@@ -13,15 +13,15 @@ from corvane.sources.shared import shared_folder
 
 
 def wanted_words(spark: SparkSession, d: str) -> DataFrame:
-    """(opportunite_id, organisation_id, returned, mot): what the parts of an opportunity's applications are called."""
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_brand", F.split("p_name", " ")[0]).alias("mot"))
+    """(id, organisation_id, returned, mot): what the parts of an opportunity's applications are called, some thirty rows a word at any size."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_brand", F.col("p_partkey").cast("string")).alias("mot"))
     lines = table(spark, d, "lineitem").select("l_partkey", F.col("l_orderkey").alias("id"), (F.col("l_returnflag") == "R").alias("returned"))
     return lines.join(part, "l_partkey").join(board.opportunities(spark, d).select("id", "organisation_id"), "id").select("id", "organisation_id", "returned", "mot")
 
 
 @query("""
     , worded as (
-        select o.id, o.organisation_id, l_returnflag = 'R' as returned, p_brand || ' ' || string_split(p_name, ' ')[1] as mot
+        select o.id, o.organisation_id, l_returnflag = 'R' as returned, p_brand || ' ' || p_partkey as mot
         from lineitem join part on p_partkey = l_partkey join opportunite o on o.id = l_orderkey
     ), a as (
         select distinct organisation_id as id, mot from worded join utilisateur u on u.id = organisation_id where returned and role = 'CANDIDAT'
