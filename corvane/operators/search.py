@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.sources.shared import stored
+
 GRAM = 3
 RAREST = 4  # grams of a needle whose posting lists are intersected
 
@@ -49,12 +51,30 @@ def indexed_search(df: DataFrame, index: DataFrame, needle: str, contains: Calla
     return df.join(on_all.select("_id"), F.col(key) == F.col("_id"), "left_semi").where(contains(needle))
 
 
-def _rare_first(df: DataFrame, words: str, key: str, counts: DataFrame, at_least: float) -> DataFrame:
-    """(id, words, rarest first, and the prefix of which a match of `at_least` must share a word)."""
-    each = df.select(F.col(key).alias("_id"), F.explode(F.array_distinct(F.col(words))).alias("_w")).where("_w is not null")
-    rows = each.join(counts, "_w").groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("_n", "_w"))).alias("_s"))
-    size = F.size("_s")
-    return rows.select("_id", F.col("_s._w").alias("_words"), F.expr(f"slice(_s._w, 1, cast(size(_s) - ceil({at_least}D * size(_s)) + 1 as int))").alias("_prefix"), size.alias("_size"))
+def _lists(df: DataFrame, words: str, level: str, key: str) -> DataFrame:
+    """(_id, _level, _list): the distinct words of each row in order; rows without any go."""
+    some = F.array_sort(F.array_distinct(F.array_compact(F.col(words))))
+    return df.select(F.col(key).alias("_id"), F.col(level).alias("_level"), some.alias("_list")).where(F.size("_list") > 0)
+
+
+def _classes(rows: DataFrame, best: int) -> DataFrame:
+    """(_id, _level, _list, _ids): rows of one list and level are one class, with its `best` smallest ids, of which _id is the first.
+
+    Each task keeps `best` rows of a class before they move, so a list that a third of all rows have is a few rows.
+    """
+    alike = ("_hash", "_list", "_level")  # the hash first, so that sorts seldom compare lists
+    nth = F.row_number().over(Window.partitionBy(*alike).orderBy("_id"))
+    few = rows.withColumn("_hash", F.xxhash64("_list", "_level")).withColumn("_nth", nth).where(F.col("_nth") <= best)
+    return few.groupBy(*alike).agg(F.array_sort(F.collect_list("_id")).alias("_ids")).select(F.element_at("_ids", 1).alias("_id"), "_level", "_list", "_ids")
+
+
+def _rare_first(classes: DataFrame, counts: DataFrame, at_least: float, side: str) -> DataFrame:
+    """(_id, level, words, rarest first, prefix, size, _w) for each word of the prefix, of which a match of `at_least` must share one."""
+    each = classes.select("_id", "_level", F.explode("_list").alias("_w"))
+    rows = each.join(counts, "_w").groupBy("_id", "_level").agg(F.array_sort(F.collect_set(F.struct("_n", "_w"))).alias("_s"))
+    prefix = F.expr(f"slice(_s._w, 1, cast(size(_s) - ceil({at_least}D * size(_s)) + 1 as int))")
+    named = {f"_id_{side}": "_id", f"_level_{side}": "_level", f"_words_{side}": "_s._w", f"_prefix_{side}": prefix, f"_size_{side}": F.size("_s")}
+    return rows.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in named.items()]).withColumn("_w", F.explode(f"_prefix_{side}"))
 
 
 def best_matches(left: DataFrame, right: DataFrame, words: str, level: str, at_least: float, best: int, bonus: float = 0.1, key: str = "id") -> DataFrame:
@@ -62,22 +82,27 @@ def best_matches(left: DataFrame, right: DataFrame, words: str, level: str, at_l
 
     Two lists match if their common words are `at_least` of all their words (0 < at_least <= 1). score is that share, and
     `bonus` more for an equal level; ties go to the smaller id. Repeated words count once; null, empty lists match nothing.
+    Ids are unique on each side.
 
-    Words are put rarest first. Lists that match share a word among the first n - ceil(at_least * n) + 1 of each, and their
-    lengths differ by a factor of at_least at most, so only rows that share a rare word meet, once, at the first one that they
-    share. Matches are reduced to the best of each task before they move.
+    Rows with one list and level are one class, and classes meet, not rows: the `best` rows lie in the `best` classes, of
+    each its smallest ids. Words are put rarest first. Lists that match share a word among the first n - ceil(at_least * n) + 1
+    of each, and their lengths differ by a factor of at_least at most, so only classes that share a rare word meet, once, at
+    the first one that they share. Matches are reduced to the best of each task before they move. The classes, which are read
+    three times, are written to the shared folder.
     """
-    each = lambda df: df.select(F.explode(F.array_distinct(F.col(words))).alias("_w")).where("_w is not null")
-    counts = each(left).unionByName(each(right)).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-    a, b = (_rare_first(df, words, key, counts, at_least) for df in (left, right))
-    a = a.select(F.col("_id").alias("left_id"), F.col("_words").alias("_a"), F.col("_prefix").alias("_pa"), F.col("_size").alias("_na"), F.explode("_prefix").alias("_w"))
-    b = b.select(F.col("_id").alias("right_id"), F.col("_words").alias("_b"), F.col("_prefix").alias("_pb"), F.col("_size").alias("_nb"), F.explode("_prefix").alias("_w"))
-    met = a.join(b, "_w").where((F.col("_na") >= at_least * F.col("_nb")) & (F.col("_nb") >= at_least * F.col("_na")))
-    met = met.where(F.array_intersect("_pa", "_pb")[0] == F.col("_w"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    met = met.withColumn("_share", both / (F.col("_na") + F.col("_nb") - both)).where(F.col("_share") >= at_least).select("left_id", "right_id", "_share")
-    levels = lambda df, name: df.select(F.col(key).alias(f"{name}_id"), F.col(level).alias(f"_{name}_level"))
-    met = met.join(levels(left, "left"), "left_id").join(levels(right, "right"), "right_id")
-    score = F.col("_share") + F.when(F.col("_left_level") == F.col("_right_level"), bonus).otherwise(0.0)
-    rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))
-    return met.select("left_id", "right_id", score.alias("score")).withColumn("rank", rank).where(F.col("rank") <= best)
+    mine = _lists(left, words, level, key)
+    asking, asked = stored(_classes(mine, 1)), stored(_classes(_lists(right, words, level, key), best))
+    counts = asking.select("_list").unionByName(asked.select("_list")).select(F.explode("_list").alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    a, b = _rare_first(asking, counts, at_least, "a"), _rare_first(asked, counts, at_least, "b")
+    met = a.join(b, "_w").where((F.col("_size_a") >= at_least * F.col("_size_b")) & (F.col("_size_b") >= at_least * F.col("_size_a")))
+    met = met.where(F.array_intersect("_prefix_a", "_prefix_b")[0] == F.col("_w"))
+    both = F.size(F.array_intersect("_words_a", "_words_b"))
+    met = met.withColumn("_share", both / (F.col("_size_a") + F.col("_size_b") - both)).where(F.col("_share") >= at_least)
+    score = F.col("_share") + F.when(F.col("_level_a") == F.col("_level_b"), bonus).otherwise(0.0)
+    first = lambda by: F.row_number().over(Window.partitionBy("_id_a").orderBy(F.desc("score"), by))
+    near = met.select("_id_a", "_id_b", score.alias("score")).withColumn("_nth", first("_id_b")).where(F.col("_nth") <= best)
+    rows = near.join(asked.select(F.col("_id").alias("_id_b"), "_ids"), "_id_b").select("_id_a", "score", F.explode("_ids").alias("right_id"))
+    rows = rows.withColumn("rank", first("right_id")).where(F.col("rank") <= best)
+    same = (F.col("m._list") == F.col("c._list")) & F.col("m._level").eqNullSafe(F.col("c._level"))
+    members = mine.alias("m").join(asking.alias("c"), same).select(F.col("m._id").alias("left_id"), F.col("c._id").alias("_id_a"))
+    return members.join(rows, "_id_a").select("left_id", "right_id", "score", "rank")

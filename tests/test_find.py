@@ -67,6 +67,28 @@ def test_a_word_that_all_share_meets_nobody(spark):
     assert out.count() == 2000 and out.where("left_id <> right_id").isEmpty()
 
 
+def test_lists_that_all_rows_have(spark):
+    """20,000 rows of one list on each side: 400 million pairs, if rows met instead of lists."""
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 2, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("y"), F.lit("x"), F.lit(None), F.lit("y"))).alias("words"), (F.col("id") % 2).cast("int").alias("level"))
+    out = search.best_matches(rows, rows, "words", "level", 0.5, 4)
+    got = out.groupBy("left_id").agg(F.array_sort(F.collect_list(F.struct("rank", "right_id", "score"))).alias("r"))
+    want = F.when(F.col("left_id") % 2 == 0, F.array(*map(F.lit, (0, 2, 4, 6)))).otherwise(F.array(*map(F.lit, (1, 3, 5, 7)))).cast("array<bigint>")
+    assert got.count() == 20_000 and got.where(F.col("r.right_id") != want).isEmpty()
+    assert [(r.rank, r.score) for r in got.first().r] == [(k, 1.1) for k in (1, 2, 3, 4)]
+
+
+def test_copies_among_others(spark):
+    """Copies and equal scores interleave by id; levels are null, and the same list has several."""
+    data = [(i, [["a", "b"], ["a", "c"], ["a", "b", "c"]][i * 7 % 3], [None, 1, 2][i // 3 % 3]) for i in range(60)]
+    df = spark.createDataFrame(data, "id long, words array<string>, level int")
+    got = {}
+    for r in search.best_matches(df, df, "words", "level", 0.3, 7).orderBy("rank").collect():
+        got.setdefault(r.left_id, []).append(r.right_id)
+    for i, x, lx in data:
+        score = lambda y, ly: len({*x} & {*y}) / len({*x} | {*y}) + (0.1 if lx is not None and lx == ly else 0)  # noqa: B023, E731
+        assert got[i] == [j for _, j in sorted((-round(score(y, ly), 9), j) for j, y, ly in data)[:7]]
+
+
 def test_rollups(spark):
     rng = random.Random(4)
     data = [(rng.choice(["a", "a", "a", None]), rng.choice(["x", "y", None]), rng.randrange(30)) for _ in range(500)]
