@@ -64,6 +64,14 @@ def list_applications(applications: DataFrame, documents: DataFrame, user: int,
     return listing.Page(found.count, found.number, found.pages, rows.orderBy(*listing.sorting(by)))
 
 
+def account(users: DataFrame, login: str):
+    """The account that signs in with `login`: by email, and by user name only where no email is equal.
+
+    Case counts. No account, and more than one, are errors; of a hot address two rows reach the driver.
+    """
+    return listing.single(listing.first_match(users, F.col("email") == login, F.col("username") == login))
+
+
 def profile(users: DataFrame, profiles: DataFrame, bridge: DataFrame, groups: DataFrame, user: int):
     """The caller with profile (without years of experience) and account type; not found without a profile."""
     own = profiles.where(F.col("utilisateur_id") == user).drop("annees_experience")

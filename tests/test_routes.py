@@ -1,8 +1,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
-from corvane.operators.listing import NotFound
+from corvane.operators.listing import NotFound, NotUnique
 from corvane.plans import routes as R
 from corvane.sources.literals import SCHEMAS
 
@@ -75,3 +76,16 @@ def test_delete(t):
         with pytest.raises(R.Forbidden):
             R.delete_opportunity(t, key, user, roles)
     assert R.delete_opportunity(t, 2, 8, ("ADMIN",))["opportunite"].count() == 59
+
+
+def test_account(spark, t):
+    assert R.account(t["utilisateur"], "u5@x.y").id == 5 and R.account(t["utilisateur"], "u6").id == 6
+    for unknown in ("U5@x.y", "", "u"):
+        with pytest.raises(NotFound):
+            R.account(t["utilisateur"], unknown)
+    twice = t["utilisateur"].withColumn("email", F.when(F.col("id") > 5, "both@x.y").otherwise("u6"))
+    with pytest.raises(NotUnique):
+        R.account(twice, "both@x.y")
+    assert R.account(twice, "u6").id == 5 and R.account(twice, "u7").id == 7
+    with pytest.raises(NotFound):
+        R.account(t["utilisateur"].limit(0), "u6")
