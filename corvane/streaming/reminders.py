@@ -3,45 +3,51 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _OUT = "utilisateur_id long, deadline timestamp"
+BAND = 1 << 16  # users whose state for a deadline is one row
 
 
 def reminders(events: DataFrame, lead: int, delay: str) -> DataFrame:
     """(utilisateur_id, deadline) of a stream of events (utilisateur_id, at, deadline), `lead` seconds before each deadline.
 
     A reminder is due when the watermark, `delay` behind the latest event, has passed its time; by event time, so a run
-    over old events gives what the run at the time gave. State is kept by user and deadline, from the first event that names
-    the deadline until the watermark passes it; later events for it give nothing. Events with a null among the three
-    are left out, as are events behind the watermark. `due_now` is the same for a table.
+    over old events gives what the run at the time gave. State is kept by deadline and band of users, which are BAND
+    neighbouring ids: the users that events have named with the deadline, until the watermark passes it; later events for
+    these give nothing. All of a band are due at once, so a band is one call and not one for each user. Events with a null
+    among the three are left out, as are events behind the watermark. `due_now` is the same for a table.
     """
 
     def remind(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        user, deadline = key
-        end = int(deadline.timestamp() * 1000)
+        end = int(key[0].timestamp() * 1000)
         due, now = end - lead * 1000, state.getCurrentWatermarkMs()
-        if state.hasTimedOut and state.get[0]:
+        if state.hasTimedOut and state.get[1]:
             state.remove()
             return
-        known = state.exists
-        sent = known and state.get[0]
-        for _ in rows:
-            pass
-        if not known and end < now:
+        known, sent = state.get if state.exists else ([], False)
+        known = np.array(known, np.int64)
+        named = [r["utilisateur_id"].unique() for r in rows]
+        fresh = np.setdiff1d(np.concatenate([np.zeros(0, np.int64), *(named if end >= now else [])]), known)
+        if not len(known) + len(fresh):
             return
-        if not sent and due < now:
-            yield pd.DataFrame({"utilisateur_id": [user], "deadline": [deadline]})
+        known = np.concatenate([known, fresh])
+        if due < now:
+            told = fresh if sent else known
+            if len(told):
+                yield pd.DataFrame({"utilisateur_id": told, "deadline": key[0]})
             sent = True
-        state.update((sent,))
+        state.update((known.tolist(), sent))
         state.setTimeoutTimestamp(max(end if sent else due, now))
 
     whole = events.select(F.col("utilisateur_id").cast("long").alias("utilisateur_id"), F.col("at").cast("timestamp").alias("at"), F.col("deadline").cast("timestamp").alias("deadline"))
     whole = whole.where("utilisateur_id is not null and at is not null and deadline is not null").withWatermark("at", delay)
-    return whole.groupBy("utilisateur_id", "deadline").applyInPandasWithState(remind, _OUT, "sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    banded = whole.withColumn("band", F.floor(F.col("utilisateur_id") / BAND))
+    return banded.groupBy("deadline", "band").applyInPandasWithState(remind, _OUT, "known array<long>, sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def due_now(events: DataFrame, lead: int, delay: int) -> DataFrame:

@@ -42,3 +42,17 @@ def test_no_events(spark, tmp_path):
     stream = spark.readStream.schema(DDL).parquet(str(tmp_path / "events"))
     assert reminders.run_available(spark, stream, str(tmp_path / "out"), 60, "1 minute").collect() == []
     assert reminders.due_now(spark.createDataFrame([], DDL), 60, 60).collect() == []
+
+
+def test_state_is_a_row_for_a_band_of_users(spark, tmp_path, monkeypatch):
+    """3,000 users of one deadline, some below zero, in two pieces: each is told once, and their state is a row for each band."""
+    monkeypatch.setattr(reminders, "BAND", 1000)
+    source, out, seen = str(tmp_path / "events"), str(tmp_path / "out"), []
+    for k, (first, last) in enumerate(((-1500, 1000), (0, 1500))):
+        part = [(u, T0 + timedelta(minutes=60 * k), T0 + timedelta(hours=20)) for u in range(first, last)] + [(7, T0 + timedelta(hours=15 + k), T0 + timedelta(hours=90))]
+        seen += part
+        spark.createDataFrame(part, DDL).coalesce(1).write.mode("append").parquet(source)
+        got = reminders.run_available(spark, spark.readStream.schema(DDL).parquet(source), out, lead=6 * 3600, delay="30 minutes")
+        assert spark.read.format("statestore").load(f"{out}/log").count() <= 4 + 1
+    want = rows(reminders.due_now(spark.createDataFrame(seen[:2501], DDL), 6 * 3600, 1800))
+    assert rows(got) == want and len(want) == 2500
