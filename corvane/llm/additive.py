@@ -6,15 +6,19 @@ A row stores its codes and the ratio of its norm to that of its code. A query's
 a lookup table; sums of looked-up values, times the stored ratio, order the candidates, and the best are scored again
 with the vectors themselves.
 
-Vectors are kept in inverted lists by their nearest coarse centroid, each row in exactly one. A query goes to as many
-lists as hold COVERED of the true neighbours in the sample, measured by brute force when the index is fitted: few where
-vectors form clusters, most where they are spread evenly. A long list is cut into blocks by row, so copies of one vector
-do not gather in a task; a list that very many queries ask is sent once for each block of them.
-
-A query asks the most promising lists first, as many as the root of all that it asks. The score of its k-th best there
-bounds what the other lists need to answer: rows below it are not sent, so a block that holds none of a query's best
-sends nothing for it. With b blocks and the first answers from a root of them, that is some 2 k sqrt(b) rows for a query
-instead of k b.
+Within a block the best few are scored first; the k-th of them is a bar, and every row whose looked-up score comes within
+MARGIN standard deviations of its error of that bar is scored again too. The error's size is known for each row, as what
+its code leaves over, so blocks whose rows look alike have longer shortlists than others.
+
+Vectors are kept in inverted lists by their nearest coarse centroid, each row in exactly one. A long list is cut into
+blocks by row, so copies of one vector do not gather in a task; a list that very many queries ask is sent once for each
+block of them.
+
+A query asks the most promising lists first, as many as the root of all. The score of its k-th best there bounds what the
+other lists need to answer: it asks those whose centroid and radius allow such a score, few where vectors form clusters, most
+where they are spread evenly, and no list that could hold a better row is left out. Rows below the bound are not sent, so a
+block that holds none of a query's best sends nothing for it. With b blocks and the first answers from a root of them, that
+is some 2 k sqrt(b) rows for a query instead of k b.
 """
 from __future__ import annotations
 
@@ -39,8 +43,8 @@ SAMPLE = 16_384
 LIST_ROWS, MOST_LISTS = 4096, 1024  # rows for each list until there are so many lists
 CANDIDATES, SPREAD = 32_768, 64  # rows of a list that meet in one task, fewer where the table would make few such blocks,
 QUERIES = 32_768  # with so many queries
-SHORTLIST = 100  # distinct vectors of a block that are scored again
-COVERED, MEASURED = 0.98, 512  # share of the neighbours of so many sampled vectors that the lists asked must hold
+SHORTLIST = 100  # distinct vectors of a block that are scored again at least
+MARGIN = 3.0  # standard deviations of a looked-up score's error within which rows are scored again
 ODD_LISTS = 64  # for vectors of other lengths than most
 
 
@@ -98,7 +102,6 @@ class Model:
     scale: float
     books: np.ndarray  # (books, words, dimension)
     coarse: np.ndarray  # (lists, dimension)
-    probes: int  # lists that a query asks
     block: int  # rows of a list that meet queries in one task
 
     @property
@@ -108,35 +111,28 @@ class Model:
     @property
     def first(self) -> int:
         """Lists that a query asks first."""
-        return min(self.probes, math.isqrt(self.probes - 1) + 1)
+        return math.isqrt(len(self.coarse) - 1) + 1
 
 
 def _near(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmin((centroids**2).sum(1) - 2 * vectors.astype(np.float32) @ centroids.T, axis=1)
 
 
-def train(rows: DataFrame, sample: int = SAMPLE, k: int = 20) -> Model | None:
+def train(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model for `rows` (vec_id, v), fitted on `sample` of them at most; None for an empty table."""
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
     if not len(chosen):
         return None
     lengths = Counter(map(len, chosen))
     most = min(lengths, key=lambda d: (-lengths[d], d))
-    data = np.array([x for x in chosen if len(x) == most], np.float64)
+    data = np.unique(np.array([x for x in chosen if len(x) == most], np.float64), axis=0)  # copies would crowd out the others
+    data = np.random.default_rng(0).permutation(data)
     scale = np.abs(data).max()
     data = (data / scale).astype(np.float32)
     n = rows.count()
     lists = min(MOST_LISTS, max(1, n // LIST_ROWS), len(data))
     coarse = fit(data, books=1, words=lists)[0]
-    # of the k best of some sampled vectors, how far down the order of lists theirs is
-    queries, own = data[:MEASURED], np.arange(min(MEASURED, len(data)))
-    scores = queries @ data.T
-    scores[own, own] = -np.inf
-    best = np.argpartition(-scores, min(k, len(data)) - 1, axis=1)[:, : min(k, len(data) - 1)]
-    order = np.argsort(-(queries @ coarse.T), axis=1)
-    rank = np.argsort(order, axis=1)[own[:, None], _near(data, coarse)[best]]
-    probes = int(np.quantile(rank, COVERED, method="higher")) + 1 if rank.size else lists
-    return Model(scale, fit(data, words=min(WORDS, len(data))), coarse, probes, min(CANDIDATES, max(2 * LIST_ROWS, n // SPREAD)))
+    return Model(scale, fit(data, words=min(WORDS, len(data))), coarse, min(CANDIDATES, max(2 * LIST_ROWS, n // SPREAD)))
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -144,7 +140,9 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 def index(rows: DataFrame, model: Model, beam: int = BEAM) -> DataFrame:
-    """(row, vec_id, v, list, codes, ratio) in the shared folder; row tells rows apart. Every row is in one list.
+    """(row, vec_id, v, list, codes, ratio, far) in the shared folder; row tells rows apart. Every row is in one list.
+
+    far: distance from the list's centroid.
 
     Vectors of another length than the model's are in lists of their own, without codes.
     """
@@ -157,7 +155,7 @@ def index(rows: DataFrame, model: Model, beam: int = BEAM) -> DataFrame:
                 part = b.slice(at, 512)
                 length = pc.list_value_length(part.column("v")).to_numpy()
                 usual = np.flatnonzero(length == m.dimension)
-                lists, ratio = (len(m.coarse) + length % ODD_LISTS).astype(np.int32), np.ones(len(length))
+                lists, ratio, far = (len(m.coarse) + length % ODD_LISTS).astype(np.int32), np.ones(len(length)), np.zeros(len(length))
                 blobs: list[bytes] = [b""] * len(length)
                 if len(usual):
                     v = _matrix(part.column("v").take(pa.array(usual)), m.dimension) / m.scale
@@ -165,18 +163,23 @@ def index(rows: DataFrame, model: Model, beam: int = BEAM) -> DataFrame:
                     size = np.linalg.norm(decode(codes, m.books), axis=1)
                     ratio[usual] = np.divide(np.linalg.norm(v, axis=1), size, out=np.ones(len(v)), where=size > 0)
                     lists[usual] = _near(v, m.coarse)
+                    far[usual] = np.linalg.norm(v - m.coarse[lists[usual]], axis=1) * m.scale
                     for i, c in zip(usual, codes):
                         blobs[i] = c.tobytes()
-                cols = [*part.columns, pa.array(lists), pa.array(blobs, pa.binary()), pa.array(ratio)]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "vec_id", "v", "list", "codes", "ratio"])
+                cols = [*part.columns, pa.array(lists), pa.array(blobs, pa.binary()), pa.array(ratio), pa.array(far)]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "vec_id", "v", "list", "codes", "ratio", "far"])
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
     kind = dict(rows.dtypes)["v"]
-    return cut(numbered.mapInArrow(run, f"row long, vec_id long, v {kind}, list int, codes binary, ratio double"))
+    return cut(numbered.mapInArrow(run, f"row long, vec_id long, v {kind}, list int, codes binary, ratio double, far double"))
+
 
+def _asked(queries: DataFrame, model: Model, radius: np.ndarray | None = None) -> DataFrame:
+    """(list, row, vec_id, v, bound): each query once for every list that it asks: the most promising ones first.
 
-def _asked(queries: DataFrame, model: Model, first: bool) -> DataFrame:
-    """(list, row, vec_id, v, bound): each query once for every list that it asks: the most promising ones first, or the others."""
+    With the lists' radii the others: those that can hold a row that reaches the query's bound.
+    """
+    first = radius is None
     sent = queries.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +192,15 @@ def _asked(queries: DataFrame, model: Model, first: bool) -> DataFrame:
                 v = _matrix(b.column("v").take(pa.array(usual)), m.dimension)
                 scores = (v / np.abs(v).max(axis=1, keepdims=True)).astype(np.float32) @ m.coarse.T
                 order = np.argsort(-scores, axis=1, kind="stable")
-                chosen = order[:, : m.first] if first else order[:, m.first : m.probes]
-                lists.append(chosen.ravel())
-                at.append(np.repeat(usual, chosen.shape[1]))
+                chosen = order[:, : m.first] if first else order[:, m.first :]
+                asks = np.ones(chosen.shape, bool)
+                if not first:
+                    most = v @ (m.coarse.T.astype(np.float64) * m.scale)
+                    slack = np.linalg.norm(v, axis=1, keepdims=True) * radius
+                    bound = b.column("bound").to_numpy()[usual, None]
+                    asks = np.take_along_axis(~(most + slack < bound - 1e-9 * (np.abs(most) + slack)), chosen, axis=1)
+                lists.append(chosen[asks])
+                at.append(np.repeat(usual, asks.sum(axis=1)))
             if at:
                 cols = b.select(["row", "vec_id", "v", "bound"]).take(pa.array(np.concatenate(at))).columns
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), *cols], ["list", "row", "vec_id", "v", "bound"])
@@ -230,7 +239,7 @@ def search(
     not read. An empty table gives none.
     """
     rows, spark = clean(vectors, id_col, vector_col), vectors.sparkSession
-    model = train(rows, k=k)
+    model = train(rows)
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     coded, sent = index(rows, model), spark.sparkContext.broadcast(model)
@@ -238,12 +247,15 @@ def search(
     by = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     best = lambda found: found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
-    found = best(_found(coded, _asked(queries.withColumn("bound", F.lit(float("-inf"))), model, True), sent, k, shortlist))
-    if model.first < model.probes:
+    found = best(_found(coded, _asked(queries.withColumn("bound", F.lit(float("-inf"))), model), sent, k, shortlist))
+    if model.first < len(model.coarse):
+        radius = np.zeros(len(model.coarse))
+        for r in coded.where(F.col("list") < len(radius)).groupBy("list").agg(F.max("far").alias("far")).collect():  # MOST_LISTS rows at most
+            radius[r["list"]] = r.far
         near = cut(found)
         bounds = near.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
         bounded = queries.join(bounds, "row", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-        more = _found(coded, _asked(bounded, model, False), sent, k, shortlist)
+        more = _found(coded, _asked(bounded, model, radius), sent, k, shortlist)
         found = best(near.drop("rank").unionByName(more))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -289,6 +301,7 @@ def _meet(queries: pa.Table, found: pa.Table, model: Model | None, dimension: in
     if model is not None:
         codes = np.frombuffer(b"".join(found.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[lead]
         ratio = number(found, "ratio")[lead].astype(np.float32)
+        error = np.linalg.norm(x[lead] / model.scale - decode(codes, model.books) * ratio[:, None], axis=1) * (MARGIN / math.sqrt(dimension))
     for at in range(0, len(q), 128):
         part = q[at : at + 128]
         if model is None or few == len(lead):
@@ -302,6 +315,12 @@ def _meet(queries: pa.Table, found: pa.Table, model: Model | None, dimension: in
             best = np.argpartition(-scores, few - 1, axis=1)[:, :few]
         for i, b in enumerate(best):
             near = x[lead[b]] @ part[i]
+            if len(b) < len(lead):
+                bar = max(np.partition(near, -k - 1)[-k - 1] if len(near) > k else -np.inf, bound[at + i])
+                unit = np.abs(part[i]).max()
+                might = ~(scores[i] + error * np.linalg.norm(small[i]) < bar / unit / model.scale)
+                b = np.union1d(b, np.flatnonzero(might))
+                near = x[lead[b]] @ part[i]
             top = b[np.argsort(-near, kind="stable")[: k + 1]]
             if near.max() < bound[at + i] - 1e-9 * abs(bound[at + i]):  # products in another order differ in the last bits
                 continue

@@ -109,3 +109,21 @@ def test_beam_search_finds_no_worse_codes():
     books = additive.fit(x, books=4, words=32)
     error = [((x - additive.decode(additive.encode(x, books, beam), books)) ** 2).sum() for beam in (1, 4, 16)]
     assert error[0] > error[1] > error[2]
+
+
+def test_no_neighbour_is_missed_on_other_rows(spark, tmp_path, monkeypatch):
+    """Gaussian vectors in one long list, and three vectors that most rows repeat beside others: each query finds nearly all."""
+    monkeypatch.setattr(additive, "LIST_ROWS", 1500)
+    rng = np.random.default_rng(7)
+    spread = rng.normal(size=(9000, 64))
+    copies = np.concatenate([np.repeat(spread[:3], 2700, axis=0), spread[:900]])
+    for name, x in (("spread", spread), ("copies", copies)):
+        x, ids = x.astype(np.float32), rng.permutation(9000)
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+        pq.write_table(pa.table({"vec_id": pa.array(ids), "embedding": flat}), str(tmp_path / name), row_group_size=3000)
+        got, chosen = found(additive.search(spark.read.parquet(str(tmp_path / name)))), np.flatnonzero(ids % 20 == 0)
+        scores = x[chosen].astype(np.float64) @ x.T.astype(np.float64)
+        scores[np.arange(len(chosen)), chosen] = -np.inf
+        least = np.partition(scores, -20, axis=1)[:, -20]
+        shares = [np.mean([s >= b - 1e-9 * abs(b) for _, s in got[int(ids[i])]]) for i, b in zip(chosen, least)]
+        assert np.mean(shares) > 0.99 and min(shares) >= 0.8
