@@ -68,13 +68,21 @@ def _classes(rows: DataFrame, best: int) -> DataFrame:
     return few.groupBy(*alike).agg(F.array_sort(F.collect_list("_id")).alias("_ids")).select(F.element_at("_ids", 1).alias("_id"), "_level", "_list", "_ids")
 
 
-def _rare_first(classes: DataFrame, counts: DataFrame, at_least: float, side: str) -> DataFrame:
-    """(_id, level, words, rarest first, prefix, size, _w) for each word of the prefix, of which a match of `at_least` must share one."""
+def _numbers(lists: DataFrame) -> DataFrame:
+    """(_w, _i): the words of `_list` numbered, rarest first, in the shared folder."""
+    counts = lists.select(F.explode("_list").alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    return stored(counts.orderBy("_n", "_w").select("_w", F.monotonically_increasing_id().alias("_i")))
+
+
+def _rare_first(classes: DataFrame, numbers: DataFrame, at_least: float, side: str) -> DataFrame:
+    """(_id, level, words, size, _at, _i) for each word of the prefix, of which a match of `at_least` must share one.
+
+    words are numbers, rarest first; _at is the place of _i among them.
+    """
     each = classes.select("_id", "_level", F.explode("_list").alias("_w"))
-    rows = each.join(counts, "_w").groupBy("_id", "_level").agg(F.array_sort(F.collect_set(F.struct("_n", "_w"))).alias("_s"))
-    prefix = F.expr(f"slice(_s._w, 1, cast(size(_s) - ceil({at_least}D * size(_s)) + 1 as int))")
-    named = {f"_id_{side}": "_id", f"_level_{side}": "_level", f"_words_{side}": "_s._w", f"_prefix_{side}": prefix, f"_size_{side}": F.size("_s")}
-    return rows.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in named.items()]).withColumn("_w", F.explode(f"_prefix_{side}"))
+    rows = each.join(numbers, "_w").groupBy("_id", "_level").agg(F.array_sort(F.collect_list("_i")).alias("_s"))
+    prefix = F.posexplode(F.expr(f"slice(_s, 1, cast(size(_s) - ceil({at_least}D * size(_s)) + 1 as int))")).alias(f"_at_{side}", "_i")
+    return rows.select(F.col("_id").alias(f"_id_{side}"), F.col("_level").alias(f"_level_{side}"), F.col("_s").alias(f"_words_{side}"), F.size("_s").alias(f"_size_{side}"), prefix)
 
 
 def best_matches(left: DataFrame, right: DataFrame, words: str, level: str, at_least: float, best: int, bonus: float = 0.1, key: str = "id") -> DataFrame:
@@ -87,17 +95,20 @@ def best_matches(left: DataFrame, right: DataFrame, words: str, level: str, at_l
     Rows with one list and level are one class, and classes meet, not rows: the `best` rows lie in the `best` classes, of
     each its smallest ids. Words are put rarest first. Lists that match share a word among the first n - ceil(at_least * n) + 1
     of each, and their lengths differ by a factor of at_least at most, so only classes that share a rare word meet, once, at
-    the first one that they share. Matches are reduced to the best of each task before they move. The classes, which are read
-    three times, are written to the shared folder.
+    the first one that they share; if too few words stand behind it on a side, they are not compared. Words move as numbers. Matches are reduced to the best of each task before they move. The classes and the words' numbers,
+    which are read more than once, are written to the shared folder.
     """
     mine = _lists(left, words, level, key)
     asking, asked = stored(_classes(mine, 1)), stored(_classes(_lists(right, words, level, key), best))
-    counts = asking.select("_list").unionByName(asked.select("_list")).select(F.explode("_list").alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-    a, b = _rare_first(asking, counts, at_least, "a"), _rare_first(asked, counts, at_least, "b")
-    met = a.join(b, "_w").where((F.col("_size_a") >= at_least * F.col("_size_b")) & (F.col("_size_b") >= at_least * F.col("_size_a")))
-    met = met.where(F.array_intersect("_prefix_a", "_prefix_b")[0] == F.col("_w"))
+    numbers = _numbers(asking.select("_list").unionByName(asked.select("_list")))
+    a, b = _rare_first(asking, numbers, at_least, "a"), _rare_first(asked, numbers, at_least, "b")
+    met = a.join(b, "_i").where((F.col("_size_a") >= at_least * F.col("_size_b")) & (F.col("_size_b") >= at_least * F.col("_size_a")))
+    # where the first shared word stands, so many words at most are left to share
+    left_over = F.least(F.col("_size_a") - F.col("_at_a"), F.col("_size_b") - F.col("_at_b"))
+    met = met.where(left_over * (1 + at_least) >= at_least * (F.col("_size_a") + F.col("_size_b")) - 1e-9)
     both = F.size(F.array_intersect("_words_a", "_words_b"))
     met = met.withColumn("_share", both / (F.col("_size_a") + F.col("_size_b") - both)).where(F.col("_share") >= at_least)
+    met = met.where(F.array_intersect("_words_a", "_words_b")[0] == F.col("_i"))
     score = F.col("_share") + F.when(F.col("_level_a") == F.col("_level_b"), bonus).otherwise(0.0)
     first = lambda by: F.row_number().over(Window.partitionBy("_id_a").orderBy(F.desc("score"), by))
     near = met.select("_id_a", "_id_b", score.alias("score")).withColumn("_nth", first("_id_b")).where(F.col("_nth") <= best)

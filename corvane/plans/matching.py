@@ -13,10 +13,10 @@ from corvane.sources.shared import shared_folder
 
 
 def wanted_words(spark: SparkSession, d: str) -> DataFrame:
-    """(id, organisation_id, returned, mot): what the parts of an opportunity's applications are called, some thirty rows a word at any size."""
+    """(id, returned, mot): what the parts of an opportunity's applications are called, some thirty rows a word at any size."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_brand", F.col("p_partkey").cast("string")).alias("mot"))
     lines = table(spark, d, "lineitem").select("l_partkey", F.col("l_orderkey").alias("id"), (F.col("l_returnflag") == "R").alias("returned"))
-    return lines.join(part, "l_partkey").join(board.opportunities(spark, d).select("id", "organisation_id"), "id").select("id", "organisation_id", "returned", "mot")
+    return lines.join(part, "l_partkey").select("id", "returned", "mot")
 
 
 @query("""
@@ -41,7 +41,8 @@ def wanted_words(spark: SparkSession, d: str) -> DataFrame:
 def match_score(spark: SparkSession, d: str) -> DataFrame:
     """The ten opportunities that share most words with each candidate, a tenth more for an equal level."""
     words = wanted_words(spark, d)
-    mine = words.where("returned").groupBy(F.col("organisation_id").alias("id")).agg(F.collect_set("mot").alias("mots"))
+    owned = words.where("returned").join(board.opportunities(spark, d).select("id", "organisation_id"), "id")
+    mine = owned.groupBy(F.col("organisation_id").alias("id")).agg(F.collect_set("mot").alias("mots"))
     people = board.users(spark, d).where("role = 'CANDIDAT'").select("id", (F.col("nation") % 5 + 1).cast("int").alias("niveau"))
     jobs = board.opportunities(spark, d).select("id", F.substring("type_opportunite", 1, 1).cast("int").alias("niveau"))
     left = people.join(mine, "id")

@@ -89,6 +89,19 @@ def test_copies_among_others(spark):
         assert got[i] == [j for _, j in sorted((-round(score(y, ly), 9), j) for j, y, ly in data)[:7]]
 
 
+def test_words_meet_as_numbers(spark):
+    """Prefixes hold numbers, rarest first, and say where in the list a word stands."""
+    rows = spark.createDataFrame([(1, None, ["a", "b", "c", "d"]), (2, 1, ["b", "d"]), (3, 1, ["d"])], "_id long, _level int, _list array<string>")
+    numbers = search._numbers(rows)
+    order = [r._w for r in numbers.orderBy("_i").collect()]
+    assert order == ["a", "c", "b", "d"]
+    out = search._rare_first(rows, numbers, 0.5, "a")
+    assert dict(out.dtypes)["_words_a"] == "array<bigint>"
+    word = {r._i: r._w for r in numbers.collect()}
+    got = sorted((r._id_a, r._at_a, word[r._i], [word[i] for i in r._words_a]) for r in out.collect())
+    assert got == [(1, 0, "a", order), (1, 1, "c", order), (1, 2, "b", order), (2, 0, "b", ["b", "d"]), (2, 1, "d", ["b", "d"]), (3, 0, "d", ["d"])]
+
+
 def test_rollups(spark):
     rng = random.Random(4)
     data = [(rng.choice(["a", "a", "a", None]), rng.choice(["x", "y", None]), rng.randrange(30)) for _ in range(500)]
