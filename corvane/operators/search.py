@@ -11,6 +11,7 @@ from corvane.sources.shared import stored
 
 GRAM = 3
 RAREST = 4  # grams of a needle whose posting lists are intersected
+PART_PAIRS = 1 << 21  # pairs of a gram and an id, or ids on posting lists, that meet in one task
 
 
 def grams(text: Column) -> Column:
@@ -20,16 +21,29 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.coalesce(F.transform(places, lambda i: F.substring(t, i, F.lit(GRAM))), F.array().cast("array<string>")))
 
 
-def trigram_index(df: DataFrame, texts: list[str], lists: list[str], key: str = "id") -> DataFrame:
-    """(gram, id), each pair once: the posting lists of all fields. A common gram is many rows, not one long list."""
+def index_parts(df: DataFrame, texts: list[str], lists: list[str]) -> int:
+    """Partitions for the index of `df`: PART_PAIRS characters each, as a field has no more grams than characters."""
+    chars = [F.coalesce(F.length(c), F.lit(0)) for c in texts] + [F.coalesce(F.length(F.array_join(c, "")), F.lit(0)) for c in lists]
+    some = df.agg(F.sum(sum(chars, F.lit(0)).cast("long"))).first()[0]  # one row
+    return (some or 0) // PART_PAIRS + 1
+
+
+def trigram_index(df: DataFrame, texts: list[str], lists: list[str], key: str = "id", parts: int | None = None) -> DataFrame:
+    """(gram, id), each pair once: the posting lists of all fields. A common gram is many rows, not one long list.
+
+    Rows are spread by id before their grams are listed, so a task holds the pairs of one of `parts` (by default as
+    `index_parts` says) and not those of all that it reads.
+    """
+    df = df.select(key, *texts, *lists).repartition(parts or index_parts(df, texts, lists), F.col(key))
     fields = [grams(F.col(c)) for c in texts]
     fields += [F.flatten(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), grams)) for c in lists]
     return df.select(F.col(key).alias("id"), F.explode(F.array_distinct(F.flatten(F.array(*fields)))).alias("gram")).distinct()
 
 
-def save_index(index: DataFrame, path: str) -> None:
-    """Writes the index by ranges of grams, sorted, so that a look-up reads the row groups of its grams only."""
-    index.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(path)
+def save_index(index: DataFrame, path: str, parts: int | None = None) -> None:
+    """Writes the index by ranges of grams, `parts` if given, sorted, so that a look-up reads the row groups of its grams only."""
+    ranges = index.repartitionByRange(parts, "gram", "id") if parts else index.repartitionByRange("gram", "id")
+    ranges.sortWithinPartitions("gram", "id").write.parquet(path)
 
 
 def indexed_search(df: DataFrame, index: DataFrame, needle: str, contains: Callable[[str], Column], key: str = "id") -> DataFrame:
@@ -47,7 +61,8 @@ def indexed_search(df: DataFrame, index: DataFrame, needle: str, contains: Calla
     if len(counts) < len(asked):
         return df.limit(0)
     rarest = sorted(asked, key=lambda g: (counts[g], g))[:RAREST]
-    on_all = index.where(F.col("gram").isin(rarest)).groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(rarest))
+    parts = sum(counts[g] for g in rarest) // PART_PAIRS + 1
+    on_all = index.where(F.col("gram").isin(rarest)).repartition(parts, "id").groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(rarest))
     return df.join(on_all.select("_id"), F.col(key) == F.col("_id"), "left_semi").where(contains(needle))
 
 

@@ -35,6 +35,19 @@ def test_search_finds_what_contains_finds(spark, tmp_path, needle):
         assert index.count() == index.distinct().count()
 
 
+def test_an_index_has_parts_by_its_size(spark, monkeypatch):
+    """Pairs are told apart within partitions of a bounded size, by id, and never in the task that reads the rows."""
+    df = texts(spark).unionByName(texts(spark).limit(50))
+    chars = sum(len(r.title or "") + len(r.organization) + sum(len(t or "") for t in r.tags or []) for r in df.collect())
+    assert search.index_parts(df, ["title", "organization"], ["tags"]) == 1 and search.index_parts(df.limit(0), ["title"], ["tags"]) == 1
+    monkeypatch.setattr(search, "PART_PAIRS", 100)
+    assert search.index_parts(df, ["title", "organization"], ["tags"]) == chars // 100 + 1
+    index = search.trigram_index(df, ["title", "organization"], ["tags"])
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and f", {chars // 100 + 1})" in plan and plan.count("hashpartitioning") == 1
+    assert index.count() == index.distinct().count() > 100
+
+
 def lists(spark, n, seed, hot):
     rng = random.Random(seed)
     pick = lambda: ["the"] * hot + [f"w{int(rng.paretovariate(0.6)) % 60}" for _ in range(rng.randint(0, 8))]
