@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MICROS = 1_000_000
+PART_ROWS = 1 << 19  # rows of both sides that meet in one task
 
 
 def micros(c: Column) -> Column:
@@ -33,24 +34,29 @@ def as_of(
     width: seconds of a bucket. With `equal` a row at the same time counts as before. Of rows of `right` at one time the
     one with the largest `tie` is taken, and any of those that share that too. No theta join: both sides are reduced to
     the distinct times of each key, which are sorted within their bucket; the last row of a bucket is carried over to
-    the next by a window with one row for each bucket; rows of `left` find their time by an equi-join.
+    the next by a window with one row for each bucket; rows of `left` find their time by an equi-join. Rows are spread by
+    key and time into partitions of some PART_ROWS before anything is grouped, so that what a task holds does not grow
+    with the tables; the rows of each side are counted for that.
     """
+    parts = (left.count() + right.count()) // PART_ROWS + 1
     key = lambda df: [df[c].alias(f"_k{i}") for i, c in enumerate(by)]
     keys = [f"_k{i}" for i in range(len(by))]
     events = right.where(right[right_time].isNotNull()).select(*key(right), micros(right[right_time]).alias("_t"), F.struct(*[right[c] for c in right.columns]).alias("_row"))
-    events = events.groupBy(*keys, "_t").agg(F.max_by("_row", F.struct(f"_row.{tie}") if tie else F.lit(0)).alias("_row"))
-    asked = left.where(left[left_time].isNotNull()).select(*key(left), micros(left[left_time]).alias("_t")).distinct()
+    bucket = F.expr(f"_t div {width * MICROS}")
+    spread = lambda df: df.repartition(parts, *keys, "_t")
+    events = spread(events).groupBy(*keys, "_t").agg(F.max_by("_row", F.struct(f"_row.{tie}") if tie else F.lit(0)).alias("_row"))
+    at = spread(left.select("*", *key(left), micros(left[left_time]).alias("_t")))
+    asked = at.where("_t is not null").select(*keys, "_t").distinct()
     # at one time a question comes before the answer, unless equal times count
     both = events.withColumn("_side", F.lit(0 if equal else 1)).unionByName(asked.withColumn("_side", F.lit(1 if equal else 0)), allowMissingColumns=True)
-    both = both.withColumn("_bucket", F.expr(f"_t div {width * MICROS}"))
+    both = both.withColumn("_bucket", bucket).repartition(parts, *keys, "_bucket")
     ends = both.groupBy(*keys, "_bucket").agg(F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col("_t"))).alias("_end"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*keys, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
     so_far = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = both.withColumn("_found", F.last("_row", ignorenulls=True).over(so_far)).where(F.col("_side") == (1 if equal else 0))
-    answers = inside.join(carried, [*keys, "_bucket"]).select(*keys, "_t", F.coalesce("_found", "_carried").alias(name))
-    at = left.select("*", *key(left), micros(left[left_time]).alias("_t"))
-    return at.join(answers, [*keys, "_t"], "left").select(*left.columns, name)
+    answers = inside.join(carried.repartition(parts, *keys, "_bucket"), [*keys, "_bucket"]).select(*keys, "_t", F.coalesce("_found", "_carried").alias(name))
+    return at.join(spread(answers), [*keys, "_t"], "left").select(*left.columns, name)
 
 
 def within_intervals(points: DataFrame, intervals: DataFrame, by: list[str], time: str, start: str, end: str, unit: int = 86400) -> DataFrame:

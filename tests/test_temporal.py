@@ -93,3 +93,15 @@ def test_sessions(spark, width):
 
 def test_sessions_empty(spark):
     assert temporal.sessions(spark.createDataFrame([], LEFT), ["user"], "at", 60, 3600).collect() == []
+
+
+def test_as_of_has_parts_by_its_size(spark, monkeypatch):
+    """With many small partitions the result is the same, and each exchange but the carried buckets' has them."""
+    left = spark.range(3000).selectExpr("id % 7 as k", "timestamp_seconds(id * 7919 % 100000) as at", "id")
+    right = spark.range(500).selectExpr("id % 8 as k", "timestamp_seconds(id * 104729 % 100000) as t", "id as n")
+    run = lambda: temporal.as_of(left, right, ["k"], "at", "t", "last", width=3600, tie="n")
+    want = sorted(map(str, run().collect()))
+    monkeypatch.setattr(temporal, "PART_ROWS", 100)
+    plan = run()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 36), REPARTITION_BY_NUM") >= 5
+    assert sorted(map(str, run().collect())) == want
